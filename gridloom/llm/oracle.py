@@ -1,3 +1,5 @@
 """DuckDB SQL of the text operators that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from gridloom.llm import line_dedup
+
+ORACLE_SQL: dict[str, str] = {"op6_line_dedup": line_dedup.ORACLE_SQL}
