@@ -22,8 +22,8 @@ def _hashes(lines: Column, i: Column, salt: int) -> Column:
 
 def _windows(keyed: DataFrame) -> DataFrame:
     """ord, row_key, pos, and a 128-bit hash of each window that has a character other than a space."""
-    lines = keyed.select("ord", "row_key", F.split("text", "\n").alias("lines")).where(F.size("lines") >= SIZE)
-    at = F.filter(F.sequence(F.lit(0), F.size("lines") - SIZE), lambda i: F.trim(F.concat(*(F.get("lines", i + k) for k in range(SIZE)))) != "")
+    lines = keyed.select("ord", "row_key", F.split("text", "\n").alias("lines"))
+    at = F.filter(F.when(F.size("lines") >= SIZE, F.sequence(F.lit(0), F.size("lines") - SIZE)), lambda i: F.trim(F.concat(*(F.get("lines", i + k) for k in range(SIZE)))) != "")
     cell = F.transform(at, lambda i: F.struct(i.alias("pos"), _hashes(F.col("lines"), i, 1).alias("h1"), _hashes(F.col("lines"), i, 2).alias("h2")))
     return lines.select("ord", "row_key", F.inline(cell))
 
