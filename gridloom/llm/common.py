@@ -37,9 +37,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the two columns that are needed, a null text as the empty one; further columns never clash."""
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def texts(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only the two columns that are needed and those to carry, a null text as the empty one; further columns never clash."""
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *carry)
 
 
 def byte_batches(batches, limit: int):

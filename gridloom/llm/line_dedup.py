@@ -11,9 +11,9 @@ SIZE = 3
 _LAST = 2**63 - 1
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """doc_id, text, and what identifies and orders a row: a null doc_id comes last."""
-    return texts(df).withColumns({"ord": F.coalesce("doc_id", F.lit(_LAST)), "row_key": F.xxhash64("doc_id", "text")})
+def _keyed(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, carried columns, and what identifies and orders a row: a null doc_id comes last."""
+    return texts(df, carry=carry).withColumns({"ord": F.coalesce("doc_id", F.lit(_LAST)), "row_key": F.xxhash64("doc_id", "text")})
 
 
 def _hashes(lines: Column, i: Column, salt: int) -> Column:
@@ -28,8 +28,8 @@ def _windows(keyed: DataFrame) -> DataFrame:
     return lines.select("ord", "row_key", F.inline(cell))
 
 
-def dedup_lines(df: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed and the text that is left, for each row of df (doc_id, text).
+def dedup_lines(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed and the text that is left, for each row of df (doc_id, text), and the columns to carry.
 
     A line is removed if it lies in a window of three consecutive lines (split at \\n, compared exactly)
     that also starts earlier: at a smaller doc_id, or earlier in the same text. First occurrences stay, and
@@ -41,8 +41,8 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     Occurrences are counted by a partial aggregation, so a frequent window reaches one task once from each
     map task; only repeated windows are joined back, and texts move once, to meet their removed positions.
     """
-    keyed = _keyed(df)
-    windows = _windows(keyed)
+    keyed = _keyed(df, carry)
+    windows = _windows(_keyed(df))
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where((F.col("ord") != F.col("first.ord")) | (F.col("pos") != F.col("first.pos")))
     starts = later.groupBy("ord", "row_key").agg(F.collect_set("pos").alias("starts"))
@@ -55,6 +55,7 @@ def dedup_lines(df: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.when(F.col("left").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("left")).cast("long").alias("n_removed"),
         F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")).alias("text"),
+        *carry,
     )
 
 

@@ -178,3 +178,9 @@ def near_duplicates(df: DataFrame, n: int = NGRAM, similarity: float = SIMILARIT
     linked = some.select("doc_id", "set_1", "set_2").join(labelled, ["set_1", "set_2"]).select("doc_id", "class_id", F.col("copies").alias("n_copies"), "n_links")
     alone = own.where("n_grams = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
+
+
+def without_near_duplicates(df: DataFrame) -> DataFrame:
+    """The rows of df, one document of each class: the least doc_id. Rows without a doc_id stay."""
+    classes = near_duplicates(df).where("doc_id is not null").select(F.col("class_id").alias("kept_id")).distinct()
+    return df.join(classes, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").unionByName(df.where("doc_id is null"))
