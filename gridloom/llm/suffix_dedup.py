@@ -13,14 +13,15 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import mix, prefix_hashes, span_hashes, texts
 
 #: A perfect difference set: any two residues modulo PERIOD have a common shift into it.
-PERIOD = 73
-COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
+PERIOD = 57
+COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 _LAST = 2**63 - 1
 _PACKED = "bucket int, block long, kind int, packed binary, orders binary, runs binary"
 
@@ -28,43 +29,48 @@ _PACKED = "bucket int, block long, kind int, packed binary, orders binary, runs
 class Block:
     """The bytes of a block's documents in the order of doc_id, with the places of suffixes and cover samples."""
 
-    def __init__(self, docs: pd.DataFrame, length: int):
-        docs = docs.sort_values(["ord", "text"], kind="stable")
-        self.doc_id, self.length = docs["doc_id"], length
-        self.ord, self.row_key = docs["ord"].to_numpy(np.int64), docs["row_key"].to_numpy(np.int64)
-        raw = [t.encode("utf-8", "surrogatepass") for t in docs["text"]]
-        self.size = np.array([len(r) for r in raw], np.int64)
+    def __init__(self, packs: pd.DataFrame, length: int):
+        rows = []
+        for cells, size, body in zip(packs["cells"], packs["size"], packs["body"], strict=True):
+            body = pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+            at = 0
+            for order, row_key, n, null in np.frombuffer(cells, np.int64).reshape(-1, 4).tolist():
+                rows.append((order, body[at : at + n], row_key, null))
+                at += n
+        rows.sort()
+        self.length = length
+        self.doc_id = [None if r[3] else r[0] for r in rows]
+        self.ord, self.row_key = (np.array([r[k] for r in rows], np.int64) for k in (0, 2))
+        self.size = np.array([len(r[1]) for r in rows], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.data = np.frombuffer(b"".join([r[1] for r in rows]), np.uint8)
         self.sums = prefix_hashes(self.data)
 
-    def samples(self) -> np.ndarray:
-        """Cover positions, relative to each document's start, at which a sample string fits."""
+    def samples(self, skip: np.ndarray) -> np.ndarray:
+        """Cover positions, relative to each document's start, at which a sample string fits; none in documents to skip."""
         depth = self.length - PERIOD + 1
-        n = np.maximum(self.size - depth + 1, 0)
+        n = np.where(skip, 0, np.maximum(self.size - depth + 1, 0))
         full = np.arange(int(n.max(initial=0)) // PERIOD + 1)[:, None] * PERIOD + np.array(COVER)
         full = full.ravel()
         return np.concatenate([full[: np.searchsorted(full, m)] + s for s, m in zip(self.start, n, strict=True)] or [np.zeros(0, np.int64)])
 
-    def names(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def names(self, buckets: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sample positions, each one's index of a distinct name, names' buckets, names of 32 bits), names in order."""
-        at = self.samples()
+        at = self.samples(skip)
         h = span_hashes(self.sums, at, at + (self.length - PERIOD + 1))
         key = ((h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
         distinct, name = np.unique(key, return_inverse=True)
         return at, name, (distinct >> np.uint64(32)).astype(np.int64), distinct.astype(np.uint32)
 
-    def suffixes(self, at: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Positions of whole-length suffixes that have one of the sample positions `at` as a cover position.
-
-        skip: documents to leave out."""
+    def suffixes(self, at: np.ndarray) -> np.ndarray:
+        """Positions of whole-length suffixes that have one of the sample positions `at` as a cover position."""
         mark = np.zeros(len(self.data) + 1, np.int32)
         doc = np.searchsorted(self.start, at, side="right") - 1
         np.add.at(mark, np.maximum(at - PERIOD + 1, self.start[doc]), 1)
         np.add.at(mark, at + 1, -1)
         possible = np.cumsum(mark)[:-1] > 0
-        for s, n, out in zip(self.start, self.size, skip, strict=True):
-            possible[(s if out else max(s, s + n - self.length + 1)) : s + n] = False
+        for s, n in zip(self.start, self.size, strict=True):
+            possible[max(s, s + n - self.length + 1) : s + n] = False
         return np.flatnonzero(possible)
 
     def keys(self, at: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,6 +84,28 @@ class Block:
         return key, bucket, first
 
 
+def pack_documents(batches, pack_bytes: int):
+    """Rows of block, doc_id, ord, row_key and text as one compressed row for each block and pack_bytes of text."""
+
+    def packed(groups: dict) -> pa.RecordBatch:
+        bodies = [b"".join([r[3] for r in rows]) for rows in groups.values()]
+        cells = [np.array([(r[0], r[1], len(r[3]), r[2]) for r in rows], np.int64).tobytes() for rows in groups.values()]
+        body = [pa.compress(b, codec="zstd", asbytes=True) if b else b"" for b in bodies]
+        return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), pa.array(cells, pa.binary()), pa.array([len(b) for b in bodies], pa.int64()), pa.array(body, pa.binary())], ["block", "cells", "size", "body"])
+
+    groups, total = {}, 0
+    for batch in batches:
+        for block, doc_id, order, row_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = text.encode("utf-8", "surrogatepass")
+            groups.setdefault(block, []).append((order, row_key, doc_id is None, raw))
+            total += len(raw)
+            if total >= pack_bytes:
+                yield packed(groups)
+                groups, total = {}, 0
+    if groups:
+        yield packed(groups)
+
+
 def _by_bucket(bucket: np.ndarray, buckets: int):
     """(bucket, indexes in their order) of the buckets that have any."""
     order = np.argsort(bucket, kind="stable")
@@ -94,10 +122,18 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "block", "kind", "packed", "orders", "runs"])
 
 
-def emit_names(docs: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
-    """The block's distinct sample names, 32 bits each, packed by bucket."""
+def _copies(block: Block, messages: pd.DataFrame) -> np.ndarray:
+    """Which documents are later exact copies."""
+    keys = [np.frombuffer(p, np.int64) for p in messages.loc[messages["kind"] == 3, "packed"]]
+    return np.isin(block.row_key, np.concatenate(keys)) if keys else np.zeros(len(block.row_key), bool)
+
+
+def emit_names(docs: pd.DataFrame, messages: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
+    """The block's distinct sample names, 32 bits each, packed by bucket; later exact copies have none."""
+    if docs.empty:
+        return _frame([])
     block = Block(docs, length)
-    _, _, bucket, names = block.names(buckets)
+    _, _, bucket, names = block.names(buckets, _copies(block, messages))
     return _frame([_row(b, int(docs["block"].iloc[0]), 0, names[i]) for b, i in _by_bucket(bucket, buckets)])
 
 
@@ -114,21 +150,15 @@ def repeated_names(rows: pd.DataFrame) -> pd.DataFrame:
     return _frame(out)
 
 
-def _copies(block: Block, messages: pd.DataFrame) -> np.ndarray:
-    """Which documents are later exact copies."""
-    keys = [np.frombuffer(p, np.int64) for p in messages.loc[messages["kind"] == 3, "packed"]]
-    return np.isin(block.row_key, np.concatenate(keys)) if keys else np.zeros(len(block.row_key), bool)
-
-
 def _candidates(block: Block, messages: pd.DataFrame, name_buckets: int) -> np.ndarray:
-    at, name, bucket, names = block.names(name_buckets)
+    at, name, bucket, names = block.names(name_buckets, _copies(block, messages))
     twice = np.zeros(len(names), bool)
     edges = np.searchsorted(bucket, np.arange(name_buckets + 1))
     for b, packed in messages.loc[messages["kind"] == 1, ["bucket", "packed"]].itertuples(index=False):
         n = edges[b + 1] - edges[b]
         twice[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
     twice |= np.bincount(name, minlength=len(names)) > 1
-    return block.suffixes(at[twice[name]], _copies(block, messages))
+    return block.suffixes(at[twice[name]])
 
 
 def emit_suffixes(docs: pd.DataFrame, messages: pd.DataFrame, length: int, name_buckets: int, buckets: int) -> pd.DataFrame:
@@ -193,7 +223,7 @@ def cut_block(docs: pd.DataFrame, messages: pd.DataFrame, length: int, name_buck
         spans = int(np.count_nonzero(np.diff(np.r_[False, cut].astype(np.int8)) == 1))
         out.append((doc_id, n, int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
     out = pd.DataFrame(out, columns=columns)
-    out["doc_id"] = out["doc_id"].astype("Int64")
+    out["doc_id"] = pd.array(block.doc_id, "Int64")
     return out
 
 
@@ -219,6 +249,7 @@ def dedup_suffixes(df: DataFrame, length: int = 100, block_bytes: int = 4_000_00
     name_buckets = max(1, -(-total * len(COVER) // PERIOD // bucket_entries))
     buckets = max(1, -(-total // 3 // bucket_entries))
     dealt = base.select(F.pmod(F.xxhash64("ord"), F.lit(blocks)).alias("block"), "doc_id", "ord", "row_key", "text")
+    dealt = dealt.mapInArrow(lambda batches: pack_documents(batches, 2 * block_bytes), "block long, cells binary, size long, body binary")
 
     same = base.select("ord", "row_key", F.octet_length("text").alias("n"), F.md5("text").alias("text_md5")).where(F.col("n") >= length)
     firsts = same.groupBy("text_md5", "n").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("text_md5", "n", "least")
@@ -228,7 +259,7 @@ def dedup_suffixes(df: DataFrame, length: int = 100, block_bytes: int = 4_000_00
         return _frame([_row(0, int(rows["block"].iloc[0]), 3, np.unique(rows["row_key"].to_numpy(np.int64)))])
 
     known = copies.groupBy("block").applyInPandas(pack, _PACKED)
-    names = dealt.groupBy("block").applyInPandas(lambda d: emit_names(d, length, name_buckets), _PACKED)
+    names = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(lambda d, m: emit_names(d, m, length, name_buckets), _PACKED)
     answers = names.groupBy("bucket").applyInPandas(repeated_names, _PACKED).unionByName(known)
     suffixes = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda d, m: emit_suffixes(d, m, length, name_buckets, buckets), _PACKED)
     later = suffixes.groupBy("bucket").applyInPandas(later_suffixes, _PACKED)
