@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import descriptive
+from gridloom.plans import descriptive, evaluation
 
-_MODULES = (descriptive,)
+_MODULES = (descriptive, evaluation)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
