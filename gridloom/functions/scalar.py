@@ -92,6 +92,14 @@ def digamma(x: Column) -> Column:
     return F.when(x > 0, F.ln(y) - 0.5 / y - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132)))) - shift)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of a group, NULL if a side is constant (corr() raises there under ANSI rules)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 1e-14, F.covar_pop(a, b) / spread)
+
+
 def circular_distance(a: Column, b: Column, n: int) -> Column:
     d = F.abs(a - b)
     return F.least(d, n - d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import clip, percent_improvement, ratio
+from gridloom.functions.scalar import clip, correlation, percent_improvement, ratio
 
 
 def error_metrics(y: str = "observed", f: str = "predicted") -> dict[str, Column]:
@@ -146,7 +146,7 @@ def lag_one(df: DataFrame, keys: list[str], unit: list[str], t: str, x: str) ->
     """Correlation of x with its value a time step before, over contiguous pairs within units."""
     w = Window.partitionBy(*keys, *unit).orderBy(t)
     own = df.select(*keys, F.col(x).alias("x"), F.lag(x).over(w).alias("b"), (F.col(t) - F.lag(t).over(w)).alias("step")).where("step = 1 and x is not null and b is not null")
-    return own.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.corr("x", "b").alias("pearson"))
+    return own.groupBy(*keys).agg(F.count("*").alias("n_pairs"), correlation(F.col("x"), F.col("b")).alias("pearson"))
 
 
 def unit_residuals(df: DataFrame, keys: list[str], t: str = "year", y: str = "observed", f: str = "predicted", e: str = "exposure") -> DataFrame:

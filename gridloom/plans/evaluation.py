@@ -107,7 +107,7 @@ SELECT model, season, round(sqrt(avg(pow(predicted - observed, 2))), 6) AS rmse,
 def annual_series_metrics(spark, sf):
     own = _annual(spark, sf).withColumn("predicted", F.round("predicted", 9))
     y, f = F.col("observed").cast("double"), F.col("predicted")
-    out = own.groupBy("model", "season").agg(F.sqrt(F.avg((f - y) * (f - y))).alias("rmse"), F.corr(y, f).alias("pearson"), (F.regr_slope(f, F.col("year")) - F.regr_slope(y, F.col("year"))).alias("slope_difference"), F.regr_slope(y, f).alias("calibration_slope"), F.regr_intercept(y, f).alias("calibration_intercept"))
+    out = own.groupBy("model", "season").agg(F.sqrt(F.avg((f - y) * (f - y))).alias("rmse"), S.correlation(y, f).alias("pearson"), (F.regr_slope(f, F.col("year")) - F.regr_slope(y, F.col("year"))).alias("slope_difference"), F.regr_slope(y, f).alias("calibration_slope"), F.regr_intercept(y, f).alias("calibration_intercept"))
     return rounded(out.join(M.top_overlap(own, ["model", "season"], 3, ["year"]), ["model", "season"]))
 
 
