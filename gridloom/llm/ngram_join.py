@@ -71,7 +71,7 @@ def sketch(df: DataFrame, n: int, bands: int, rows: int, batch_bytes: int = 1 <<
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """Matrix of the sizes of all pairwise intersections."""
+    """Matrix of the sizes of the intersections of different sets (the diagonal means nothing)."""
     k = len(sets)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(k), [len(s) for s in sets])

@@ -90,9 +90,10 @@ def pack_documents(batches, pack_bytes: int):
     def packed(groups: dict) -> pa.RecordBatch:
         bodies = [b"".join([r[3] for r in rows]) for rows in groups.values()]
         cells = [np.array([(r[0], r[1], len(r[3]), r[2]) for r in rows], np.int64).tobytes() for rows in groups.values()]
-        body = [pa.compress(b, codec="zstd", asbytes=True) if b else b"" for b in bodies]
+        body = [codec.compress(b, asbytes=True) if b else b"" for b in bodies]
         return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), pa.array(cells, pa.binary()), pa.array([len(b) for b in bodies], pa.int64()), pa.array(body, pa.binary())], ["block", "cells", "size", "body"])
 
+    codec = pa.Codec("zstd", compression_level=9)
     groups, total = {}, 0
     for batch in batches:
         for block, doc_id, order, row_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -114,6 +115,15 @@ def _by_bucket(bucket: np.ndarray, buckets: int):
         yield int(b), order[edges[b] : edges[b + 1]]
 
 
+def _planes(names: np.ndarray) -> np.ndarray:
+    """Sorted 32-bit names by byte: the high bytes together hardly take room in a compressed shuffle."""
+    return names.astype(">u4").view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view(">u4").ravel().astype(np.uint32)
+
+
 def _row(bucket: int, block: int, kind: int, packed: np.ndarray, orders=b"", runs=b"") -> tuple:
     return bucket, block, kind, packed.tobytes(), orders, runs
 
@@ -134,12 +144,12 @@ def emit_names(docs: pd.DataFrame, messages: pd.DataFrame, length: int, buckets:
         return _frame([])
     block = Block(docs, length)
     _, _, bucket, names = block.names(buckets, _copies(block, messages))
-    return _frame([_row(b, int(docs["block"].iloc[0]), 0, names[i]) for b, i in _by_bucket(bucket, buckets)])
+    return _frame([_row(b, int(docs["block"].iloc[0]), 0, _planes(names[i])) for b, i in _by_bucket(bucket, buckets)])
 
 
 def repeated_names(rows: pd.DataFrame) -> pd.DataFrame:
     """For each block of one bucket, bits: which of its names another block has too."""
-    parts = [np.frombuffer(p, np.uint32) for p in rows["packed"]]
+    parts = [_from_planes(p) for p in rows["packed"]]
     everything = np.sort(np.concatenate(parts))
     twice = np.unique(everything[1:][everything[1:] == everything[:-1]])
     out = []

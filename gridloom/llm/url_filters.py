@@ -50,7 +50,7 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_count: int = 10, min_confidence: float = 0.5, min_lift: float = 1.3) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_count: int = 10, min_confidence: float = 0.6, min_lift: float = 1.3) -> DataFrame:
     """rule_id, items, confidence, support of the rules items => block, from every labelled page.
 
     A page is labelled through labels.doc_id = page_id; toxic or of quality 0 means block. Rules need the
