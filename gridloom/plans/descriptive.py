@@ -77,10 +77,11 @@ kz AS (SELECT *, s / sqrt(np * (np - tp)) AS tau_b, s / np AS tau_a, CASE WHEN v
         _SERIES.rstrip()
         + _PAIRS
         + _KENDALL
-        + f""", kp AS (SELECT *, CASE WHEN z = 0 THEN 1.0 ELSE {erfc_sql("(abs(z) / sqrt(2))")} END AS p FROM kz),
-kq AS (SELECT *, least(1.0, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, band) AS r, count(*) OVER () AS m FROM kp))
+        + f""", kp AS (SELECT *, CASE WHEN z = 0 THEN 1.0 ELSE {erfc_sql("(abs(z) / sqrt(2))")} END AS p FROM kz WHERE n >= 3),
+kq AS (SELECT *, least(1.0, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM (SELECT *, row_number() OVER (ORDER BY p, band) AS r, count(*) OVER () AS m FROM kp)
+  UNION ALL BY NAME SELECT band FROM kz WHERE n < 3)
 SELECT band, round(tau_b, 6) AS tau_b, round(z, 6) AS z, round(p, 6) AS p, round(q, 6) AS q,
-  CASE WHEN q < 0.05 AND tau_b > 0 THEN 'increase' WHEN q < 0.05 AND tau_b < 0 THEN 'decrease' ELSE 'no trend' END AS trend FROM kq""",
+  CASE WHEN q IS NULL OR tau_b IS NULL THEN 'undetermined' WHEN q < 0.05 AND tau_b > 0 THEN 'increase' WHEN q < 0.05 AND tau_b < 0 THEN 'decrease' ELSE 'no trend' END AS trend FROM kq""",
     ),
 )
 def frp_trend_fdr(spark, sf):
