@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,10 @@ def byte_batches(batches, limit: int):
     """Lists of (ids, texts) of about `limit` text bytes, from Arrow record batches of doc_id and text."""
     ids, out, size = [], [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, t, n in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), pc.binary_length(batch.column(1)))), strict=True):
             ids.append(i)
             out.append(t)
-            size += len(t)
+            size += n
             if size >= limit:
                 yield ids, out
                 ids, out, size = [], [], 0

@@ -8,6 +8,7 @@ prefixes: of the pieces that end at a prefix exactly one follows the last piece
 
 from __future__ import annotations
 
+import heapq
 import re
 from itertools import chain
 
@@ -48,15 +49,33 @@ class Codec:
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, word: str) -> list[str]:
-        """Pieces after merging neighbours, best rank first and leftmost on a tie, until none is left."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(((r, k) for k in range(len(parts) - 1) if (r := self.rank.get(parts[k] + parts[k + 1])) is not None), default=None, key=lambda x: (x[0][0], x[1]))
-            if best is None:
-                break
-            k = best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        """Pieces after merging neighbours, best rank first and leftmost on a tie, until none is left.
+
+        A heap holds the pairs that may merge, so a run of any length takes n log n steps.
+        """
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple] = []
+
+        def push(k: int) -> None:
+            if k >= 0 and after[k] < len(parts):
+                pair = parts[k] + parts[after[k]]
+                if (rank := self.rank.get(pair)) is not None:
+                    heapq.heappush(heap, (rank[0], k, pair))
+
+        for k in range(len(parts)):
+            push(k)
+        while heap:
+            _, k, pair = heapq.heappop(heap)
+            if parts[k] is None or after[k] >= len(parts) or parts[k] + parts[after[k]] != pair:
+                continue  # one of the two has merged since
+            gone = after[k]
+            parts[k], parts[gone], after[k] = pair, None, after[gone]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            push(before[k])
+            push(k)
+        return [p for p in parts if p is not None]
 
     def follows(self, a: str, b: str) -> bool:
         """Whether a and b next to each other stay as they are."""

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import byte_batches, texts
 
-#: Before a single white-space character between two others a byte-level BPE always starts a new word.
-_SAFE = re.compile(r"(?<=\S)(?=\s\S)")
+#: Before a single blank, tab or line break between two other characters a byte-level BPE always starts a new word.
+#: Not so before any \s: U+001C to U+001F are white space for re, but not for the tokenizer.
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n]\S)")
 _STATE: dict[str, tuple] = {}
 
 

@@ -13,7 +13,7 @@ from gridloom.llm import license_scans, quality_rules, secret_scans, sentencepie
 from tests.llm.conftest import EDGES
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", " ", "  a  b ", "a\n\n b\tc", "x <|endoftext|> y<|endoftext|>", "don't  stop\r\n now", " a b c", "a" * 5000, "é́ ſ K 日本語 test 🎉", "\x1c \x85 q", "1 2 33 444", "tab\t\tend \n"]
+ODD = ["", " ", "  a  b ", "a\n\n b\tc", "x <|endoftext|> y<|endoftext|>", "don't  stop\r\n now", " a b c", "a" * 5000, "é́ ſ K 日本語 test 🎉", "\x1c \x85 q", "1 2 33 444", "tab\t\tend \n", "!\x1cb ?\x1d! \x1e\x1f (\x1c)"]
 
 
 def test_token_counts_are_the_librarys(spark, make):
@@ -42,7 +42,7 @@ def test_sentencepiece_is_the_librarys(make):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    texts = [*ODD, "a▁b", "▁▁ x", " " * 30 + "y", "<s> <unk> <0x0A>", "antidisestablishmentarianism " * 30]
+    texts = [*ODD, "a▁b", "▁▁ x", " " * 30 + "y", "x" + " " * 50_001 + "z", "ab" * 20_000, "<s> <unk> <0x0A>", "antidisestablishmentarianism " * 30]
     got = {r["doc_id"]: r for r in sentencepiece_codec.encode(make(list(enumerate(texts))), PIECES, batch_bytes=30).collect()}
     for i, text in enumerate(texts):
         assert got[i]["ids"] == sp.encode(text), repr(text)
