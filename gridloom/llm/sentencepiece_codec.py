@@ -37,7 +37,7 @@ class Codec:
         self.id = {self.piece[i]: i for i in plain}
         self.rank = {self.piece[i]: (-model.get_score(i), i) for i in plain}
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.longest = max(map(len, self.id), default=1)
+        self.begins = {p[:k] for p in self.id for k in range(1, len(p))}
         # a byte from 128 on stands as its escape, so that joined pieces turn to bytes in one step
         self.text = [p.replace(MARK, " ") for p in self.piece]
         for b, i in enumerate(self.byte):
@@ -94,7 +94,9 @@ class Codec:
         """Ids of distinct words: sorted, they are a trie in depth-first order, and a common prefix keeps its values."""
         out: dict[str, tuple[int, ...]] = {}
         last: list[str] = [""]  # the last piece of each prefix of the current path
+        open_at: list[list[int]] = [[]]  # and the starts from which a piece may still go on over its end, in order
         before = ""
+        id_of, begins, pairs = self.id, self.begins, self.pairs
         for word in sorted(words):
             if word.startswith(MARK * 2) or word.count(MARK) == len(word):
                 out[word] = tuple(chain.from_iterable(map(self._ids, self.merged(word))))
@@ -104,13 +106,18 @@ class Codec:
                 if x != y:
                     break
                 common += 1
-            del last[common + 1 :]
+            del last[common + 1 :], open_at[common + 1 :]
             for end in range(common + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
+                going, found = [], None
+                for start in (*open_at[-1], end - 1):
                     part = word[start:end]
-                    if (part in self.id or end - start == 1) and (not start or self.follows(last[start], part)):
-                        last.append(part)
-                        break
+                    if found is None and (part in id_of or end - start == 1):
+                        if not start or (known if (known := pairs.get((last[start], part))) is not None else self.follows(last[start], part)):
+                            found = part
+                    if part in begins:
+                        going.append(start)
+                last.append(found)
+                open_at.append(going)
             before = word
             parts, end = [], len(word)
             while end:
