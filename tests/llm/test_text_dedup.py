@@ -197,7 +197,7 @@ def test_leaks_are_those_of_all_windows(spark, make, literals):
         docs.append((i, " ".join(own) + ("" if i % 4 else ".")))
     docs += [(100, items[2][1].upper().replace(" ", ", ")), (101, " ".join(items[3][1].split()[1:])), (102, "a b c d e f g")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(make(docs), bench, literal_rows=literals).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(make(docs), bench, literal_rows=literals, broadcast_items=literals).collect()}
     assert got == brute_leaks(docs, items[:14])
     assert len(got) > 5
 
