@@ -1,7 +1,7 @@
 """Benchmark decontamination: item-sized windows, SimHash fingerprints found through Hamming blocks, exact verification.
 
-DataFrame functions only. A window that shares no shingle with an item has similarity 0, so only windows that
-a shared shingle aligns with an item get a fingerprint; all others could never verify.
+DataFrame functions only. Windows with fewer shared shingles than the similarity takes could never verify, so only
+the others get a fingerprint, wherever in the document they start.
 """
 
 from __future__ import annotations
@@ -62,19 +62,49 @@ def shared_weight(window: Column, item: Column) -> Column:
     return F.aggregate(F.array_intersect(window, item), F.lit(0), lambda acc, s: acc + F.least(count(window, s), count(item, s)))
 
 
-def _aligned(docs: DataFrame, shingles: DataFrame, literal_rows: int) -> DataFrame:
-    """doc_id, words, item_id, n_item and shift: where a shared shingle would put the item's first word."""
+def _hits(docs: DataFrame, shingles: DataFrame, literal_rows: int) -> DataFrame:
+    """doc_id, words and hits of each row that shares a shingle with an item: the set of (item_id, n_item, pos) of such shingles."""
     own = docs.select("doc_id", "row_key", word_array(F.col("text")).alias("words"))
     cells = F.transform(shingle_hashes(F.col("words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
-    known = [r[0] for r in shingles.select("hash").limit(literal_rows + 1).collect()]
+    hit = F.collect_set(F.struct("item_id", "n_item", "pos")).alias("hits")
+    known = [r[0] for r in shingles.select("hash").distinct().limit(literal_rows + 1).collect()]
     if len(known) <= literal_rows:
-        # the outer form, as the filter that Spark derives from the inner one would split each text again for every word
-        hits = own.select("doc_id", "words", F.inline_outer(F.filter(cells, lambda c: c["hash"].isin(known)))).where("hash is not null")
-        return hits.join(F.broadcast(shingles), "hash").select("doc_id", "words", "item_id", "n_item", shift)
+        # the words go with the row's first hit only; the outer form, as the filter that Spark derives from the
+        # inner one would split each text again for every word
+        found = F.filter(cells, lambda c: c["hash"].isin(known))
+        rows = own.select("doc_id", "row_key", "words", F.inline_outer(F.transform(found, lambda c, i: F.struct(c["pos"].alias("pos"), c["hash"].alias("hash"), (i == 0).alias("first")))))
+        rows = rows.where("hash is not null").select("doc_id", "row_key", "pos", "hash", F.when(F.col("first"), F.col("words")).alias("words"))
+        return rows.join(F.broadcast(shingles), "hash").groupBy("doc_id", "row_key").agg(hit, F.first("words", ignorenulls=True).alias("words")).select("doc_id", "words", "hits")
     hits = own.select("doc_id", "row_key", F.inline_outer(cells)).where("hash is not null").join(shingles, "hash")
-    hits = hits.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "item_id", "n_item", shift).distinct()
-    return own.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "words", "item_id", "n_item", "shift")
+    hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("k")).agg(hit)
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", word_array(F.col("text")).alias("words"), "hits")
+
+
+def _windows(hits: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, item_id, n_item, start and window: every window with enough shared shingles to reach the similarity.
+
+    Of w shingles of the window and m of the item, at least similarity / (1 + similarity) * (w + m) must be shared. A
+    window that holds as many hits holds, for some k, the hits k to k + least - 1, so it starts at or before the k-th
+    and ends at or after the last of them. A start is given with the first hit that doesn't precede it, so only once.
+    """
+    items = hits.select("doc_id", "words", "hits", F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["n_item"].alias("n_item"))))).alias("of"))
+    of = F.col("of")
+    at = F.filter("hits", lambda h: (h["item_id"] == of["item_id"]) & (h["n_item"] == of["n_item"]))
+    own = items.select("doc_id", "words", "of.item_id", "of.n_item", F.array_sort(F.transform(at, lambda h: h["pos"])).alias("at"))
+    held = F.least(F.size("words"), F.col("n_item")) - (NGRAM - 1)
+    least = F.greatest(F.lit(1), F.ceil((F.lit(similarity) * (held + F.col("n_item") - (NGRAM - 1)) - 1e-9) / (1 + similarity)).cast("int"))
+    own = own.select("*", held.alias("held"), least.alias("least")).where(F.size("at") >= F.col("least"))
+    last = F.greatest(F.lit(0), F.size("words") - F.col("n_item"))
+
+    def starts(k: Column) -> Column:
+        after = F.when(k > 0, F.get("at", k - 1) + 1).otherwise(0)
+        return F.struct(F.greatest(F.lit(0), after, F.get("at", k + F.col("least") - 1) - F.col("held") + 1).alias("low"), F.least(F.get("at", k), last).alias("high"))
+
+    ranges = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), starts), lambda r: r["low"] <= r["high"])
+    parts = own.select("doc_id", "item_id", "n_item", "words", F.inline(ranges))
+    parts = parts.select("doc_id", "item_id", "n_item", "low", "high", F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + F.col("n_item")).alias("part"))
+    parts = parts.select("doc_id", "item_id", "n_item", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
+    return parts.select("doc_id", "item_id", "n_item", "start", F.slice("part", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window"))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, literal_rows: int = 20_000, broadcast_items: int = 1_000) -> DataFrame:
@@ -88,28 +118,26 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     share a doc_id count as one document, and a null doc_id stays null. Empty tables give an empty result, further
     columns are ignored.
 
-    Candidates are the windows that a shared shingle aligns. Their fingerprints meet the item's through Hamming
-    blocks, which find every fingerprint within RADIUS bits; a pair at the threshold differs in 10 bits on average
-    and in more than RADIUS with a probability of about one in a million. The words travel with the row: no
-    shuffle before the candidates, and the only ones after are of candidates. The items' shingle hashes are
+    Candidates are all windows with enough shared shingles, counted by position. Their fingerprints meet the item's
+    through Hamming blocks, which find every fingerprint within RADIUS bits; a pair at the threshold differs in 10
+    bits on average and in more than RADIUS with a probability of about one in a million. The words travel with the
+    row's hits: the only shuffles are of rows with a hit, and of candidates. The items' shingle hashes are
     literals of the scan up to literal_rows, beyond that they are joined; both find the same. The index of block
     values (296 rows for each item) may be broadcast up to broadcast_items items, beyond that it is merged.
     """
     items = texts(benchmark, key="item_id").where("doc_id is not null").select(F.col("doc_id").alias("item_id"), word_array(F.col("text")).alias("item_words"))
     items = items.where(F.size("item_words") >= NGRAM).distinct()
-    shingles = items.select("item_id", F.size("item_words").alias("n_item"), F.posexplode(shingle_hashes(F.col("item_words"))).alias("item_pos", "hash"))
+    shingles = items.select("item_id", F.size("item_words").alias("n_item"), F.explode(shingle_hashes(F.col("item_words"))).alias("hash")).distinct()
     docs = texts(df).withColumn("row_key", F.xxhash64("doc_id", "text"))
 
-    aligned = _aligned(docs, shingles, literal_rows)
-    start = F.greatest(F.lit(0), F.least(F.col("shift"), F.size("words") - F.col("n_item")))
-    windows = aligned.select("doc_id", "item_id", start.alias("start"), F.slice("words", start + 1, F.col("n_item")).alias("window")).distinct()
+    windows = _windows(_hits(docs, shingles, literal_rows), similarity)
 
-    prints = items.select("item_id", "item_words", shingle_hashes(F.col("item_words")).alias("hashes")).select("item_id", "item_words", simhash("hashes").alias("item_print"))
-    index = prints.select("item_id", "item_print", "item_words", F.inline_outer(hamming_blocks(F.col("item_print"), RADIUS // BLOCKS)))
+    prints = items.select("item_id", F.size("item_words").alias("n_item"), "item_words", shingle_hashes(F.col("item_words")).alias("hashes")).select("item_id", "n_item", "item_words", simhash("hashes").alias("item_print"))
+    index = prints.select("item_id", "n_item", "item_print", "item_words", F.inline_outer(hamming_blocks(F.col("item_print"), RADIUS // BLOCKS)))
     if items.count() > broadcast_items:  # Spark's own estimate does not see the variants of a block
         index = index.hint("merge")
-    printed = windows.select("*", shingle_hashes(F.col("window")).alias("hashes")).select("doc_id", "item_id", "start", "window", simhash("hashes").alias("print"))
-    near = printed.select("doc_id", "item_id", "start", "window", "print", F.inline_outer(hamming_blocks(F.col("print"), 0))).join(index, ["item_id", "number", "value"])
+    printed = windows.select("*", shingle_hashes(F.col("window")).alias("hashes")).select("doc_id", "item_id", "n_item", "start", "window", simhash("hashes").alias("print"))
+    near = printed.select("doc_id", "item_id", "n_item", "start", "window", "print", F.inline_outer(hamming_blocks(F.col("print"), 0))).join(index, ["item_id", "n_item", "number", "value"])
     # the filter stays above the aggregation: below it, Spark would compute the fingerprints once more for it
     near = near.groupBy("doc_id", "item_id", "start", "window", "item_words").agg(F.min(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).alias("hamming"))
     near = near.where(F.col("hamming") <= RADIUS)
@@ -127,7 +155,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     return df.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")), "left_anti")
 
 
-#: The same leaks without fingerprints: all aligned windows are verified.
+#: Leaks without fingerprints, of fewer windows than find_leaks judges: only those that a shared shingle aligns.
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM documents

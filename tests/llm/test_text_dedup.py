@@ -202,6 +202,21 @@ def test_leaks_are_those_of_all_windows(spark, make, literals):
     assert len(got) > 5
 
 
+@pytest.mark.parametrize("literals", [20_000, 0])
+def test_leaks_between_aligned_windows(spark, make, literals):
+    """Changed ends and an insertion in the middle: the best window starts between the two that shared shingles align."""
+    rng = random.Random(11)
+    items, docs = [], []
+    for j, (n, ends, more) in enumerate([(60, 1, 2), (104, 3, 6), (200, 7, 14)]):
+        own = [f"i{j}x{k}" for k in range(n)]
+        items.append((j, " ".join(own)))
+        part = ["changed"] * ends + own[ends : n // 2] + [f"more{k}" for k in range(more)] + own[n // 2 : n - ends] + ["changed"] * ends
+        docs.append((j, " ".join(f"f{rng.randrange(10**9)}" for _ in range(30)) + " " + " ".join(part) + " " + " ".join(f"f{rng.randrange(10**9)}" for _ in range(40))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(make(docs), bench, literal_rows=literals, broadcast_items=literals).collect()}
+    assert got == brute_leaks(docs, items) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_leak_edges(spark, edges, empty):
     bench = spark.createDataFrame([(1, "a text without an id that is long enough"), (2, None)], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(edges, bench).collect()]
