@@ -217,6 +217,20 @@ def test_leaks_between_aligned_windows(spark, make, literals):
     assert got == brute_leaks(docs, items) == {(0, 0), (1, 1), (2, 2)}
 
 
+@pytest.mark.parametrize("literals", [20_000, 0])
+def test_leaks_with_repeated_words(spark, make, literals):
+    """A run of one word makes a shingle of great weight, on one side only: similarity 0.8 and more, but wide angles."""
+    items, docs = [], []
+    for j, (n, run) in enumerate([(124, 11), (92, 7), (196, 20)] * 4):
+        own = [f"i{j}x{k}" for k in range(n)]
+        items.append((j, " ".join([*own, *["blank"] * (run + 4)])))
+        docs.append((j, " ".join([*own, *(f"d{j}y{k}" for k in range(run + 4))])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(make(docs), bench, literal_rows=literals, broadcast_items=literals).collect()}
+    assert got == brute_leaks(docs, items)
+    assert len(got) == len(items)
+
+
 def test_leak_edges(spark, edges, empty):
     bench = spark.createDataFrame([(1, "a text without an id that is long enough"), (2, None)], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(edges, bench).collect()]
