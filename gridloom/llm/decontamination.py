@@ -1,7 +1,7 @@
 """Benchmark decontamination: item-sized windows, SimHash fingerprints found through Hamming blocks, exact verification.
 
-DataFrame functions only. Windows with fewer shared shingles than the similarity takes could never verify, so only
-the others get a fingerprint, wherever in the document they start.
+DataFrame functions only. A window that holds fewer shingles of the items of its size than the similarity takes could
+never verify; every other window gets a fingerprint, wherever it starts, and the blocks of it name the items.
 """
 
 from __future__ import annotations
@@ -82,10 +82,10 @@ def weighted(shingles: Column) -> Column:
 
 
 def _hits(docs: DataFrame, shingles: DataFrame, literal_rows: int) -> DataFrame:
-    """doc_id, words and hits of each row that shares a shingle with an item: the set of (item_id, n_item, pos) of such shingles."""
+    """doc_id, words and hits of each row that shares a shingle with an item: the set of (n_item, pos) of such shingles."""
     own = docs.select("doc_id", "row_key", word_array(F.col("text")).alias("words"))
     cells = F.transform(shingle_hashes(F.col("words")), lambda h, i: F.struct(i.alias("pos"), h.alias("hash")))
-    hit = F.collect_set(F.struct("item_id", "n_item", "pos")).alias("hits")
+    hit = F.collect_set(F.struct("n_item", "pos")).alias("hits")
     known = [r[0] for r in shingles.select("hash").distinct().limit(literal_rows + 1).collect()]
     if len(known) <= literal_rows:
         # the words go with the row's first hit only; the outer form, as the filter that Spark derives from the
@@ -100,16 +100,15 @@ def _hits(docs: DataFrame, shingles: DataFrame, literal_rows: int) -> DataFrame:
 
 
 def _windows(hits: DataFrame, similarity: float) -> DataFrame:
-    """doc_id, item_id, n_item, start and window: every window with enough shared shingles to reach the similarity.
+    """doc_id, n_item, start and window: every window with enough shingles of items of n_item words for the similarity.
 
-    Of w shingles of the window and m of the item, at least similarity / (1 + similarity) * (w + m) must be shared. A
+    Of w shingles of the window and m of an item, at least similarity / (1 + similarity) * (w + m) must be shared. A
     window that holds as many hits holds, for some k, the hits k to k + least - 1, so it starts at or before the k-th
     and ends at or after the last of them. A start is given with the first hit that doesn't precede it, so only once.
     """
-    items = hits.select("doc_id", "words", "hits", F.explode(F.array_distinct(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["n_item"].alias("n_item"))))).alias("of"))
-    of = F.col("of")
-    at = F.filter("hits", lambda h: (h["item_id"] == of["item_id"]) & (h["n_item"] == of["n_item"]))
-    own = items.select("doc_id", "words", "of.item_id", "of.n_item", F.array_sort(F.transform(at, lambda h: h["pos"])).alias("at"))
+    items = hits.select("doc_id", "words", "hits", F.explode(F.array_distinct(F.transform("hits", lambda h: h["n_item"]))).alias("n_item"))
+    at = F.filter("hits", lambda h: h["n_item"] == F.col("n_item"))
+    own = items.select("doc_id", "words", "n_item", F.array_sort(F.transform(at, lambda h: h["pos"])).alias("at"))
     held = F.least(F.size("words"), F.col("n_item")) - (NGRAM - 1)
     least = F.greatest(F.lit(1), F.ceil((F.lit(similarity) * (held + F.col("n_item") - (NGRAM - 1)) - 1e-9) / (1 + similarity)).cast("int"))
     own = own.select("*", held.alias("held"), least.alias("least")).where(F.size("at") >= F.col("least"))
@@ -120,10 +119,10 @@ def _windows(hits: DataFrame, similarity: float) -> DataFrame:
         return F.struct(F.greatest(F.lit(0), after, F.get("at", k + F.col("least") - 1) - F.col("held") + 1).alias("low"), F.least(F.get("at", k), last).alias("high"))
 
     ranges = F.filter(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), starts), lambda r: r["low"] <= r["high"])
-    parts = own.select("doc_id", "item_id", "n_item", "words", F.inline(ranges))
-    parts = parts.select("doc_id", "item_id", "n_item", "low", "high", F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + F.col("n_item")).alias("part"))
-    parts = parts.select("doc_id", "item_id", "n_item", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
-    return parts.select("doc_id", "item_id", "n_item", "start", F.slice("part", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window"))
+    parts = own.select("doc_id", "n_item", "words", F.inline(ranges))
+    parts = parts.select("doc_id", "n_item", "low", "high", F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + F.col("n_item")).alias("part"))
+    parts = parts.select("doc_id", "n_item", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
+    return parts.select("doc_id", "n_item", "start", F.slice("part", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window"))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, literal_rows: int = 20_000, broadcast_items: int = 1_000) -> DataFrame:
@@ -137,31 +136,31 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     share a doc_id count as one document, and a null doc_id stays null. Empty tables give an empty result, further
     columns are ignored.
 
-    Candidates are all windows with enough shared shingles, counted by position. Their fingerprints meet the item's
-    through Hamming blocks, which find every fingerprint within RADIUS bits. A repeated shingle has a feature for each
-    occurrence, so the bits follow the weighted similarity: a pair at 0.8 differs in 10 bits on average and in more
-    than RADIUS in about one of 100,000 cases (see there for small sets). The words travel with the
-    row's hits: the only shuffles are of rows with a hit, and of candidates. The items' shingle hashes are
-    literals of the scan up to literal_rows, beyond that they are joined; both find the same. The index of block
-    values (296 rows for each item) may be broadcast up to broadcast_items items, beyond that it is merged.
+    Fingerprints are of all windows that hold enough shingles of items of their size, whichever item has them. They
+    meet the index of block values by size, block number and value: the blocks name the items, and find every
+    fingerprint within RADIUS bits. A repeated shingle has a feature for each occurrence, so the bits follow the
+    weighted similarity: a pair at 0.8 differs in 10 bits on average and in more than RADIUS in about one of 100,000
+    cases (see there for small sets). The words travel with the row's hits: the only shuffles are of rows with a hit,
+    and of candidates. The items' shingle hashes are literals of the scan up to literal_rows, beyond that they are
+    joined; both find the same. The index has 296 rows of four numbers for each item, under 16 kB; it may be broadcast
+    up to broadcast_items items, beyond that it is merged. Words of an item are joined to its candidates alone.
     """
     items = texts(benchmark, key="item_id").where("doc_id is not null").select(F.col("doc_id").alias("item_id"), word_array(F.col("text")).alias("item_words"))
     items = items.where(F.size("item_words") >= NGRAM).distinct()
-    shingles = items.select("item_id", F.size("item_words").alias("n_item"), F.explode(shingle_hashes(F.col("item_words"))).alias("hash")).distinct()
+    shingles = items.select(F.size("item_words").alias("n_item"), F.explode(shingle_hashes(F.col("item_words"))).alias("hash")).distinct()
     docs = texts(df).withColumn("row_key", F.xxhash64("doc_id", "text"))
 
     windows = _windows(_hits(docs, shingles, literal_rows), similarity)
 
-    prints = items.select("item_id", F.size("item_words").alias("n_item"), "item_words", shingle_hashes(F.col("item_words")).alias("hashes"))
-    prints = prints.withColumn("hashes", features(F.col("hashes"))).select("item_id", "n_item", "item_words", simhash("hashes").alias("item_print"))
-    index = prints.select("item_id", "n_item", "item_print", "item_words", F.inline_outer(hamming_blocks(F.col("item_print"), RADIUS // BLOCKS)))
-    if items.count() > broadcast_items:  # Spark's own estimate does not see the variants of a block
-        index = index.hint("merge")
-    printed = windows.select("*", shingle_hashes(F.col("window")).alias("hashes")).withColumn("hashes", features(F.col("hashes"))).select("doc_id", "item_id", "n_item", "start", "window", simhash("hashes").alias("print"))
-    near = printed.select("doc_id", "item_id", "n_item", "start", "window", "print", F.inline_outer(hamming_blocks(F.col("print"), 0))).join(index, ["item_id", "n_item", "number", "value"])
+    prints = items.select("item_id", F.size("item_words").alias("n_item"), features(shingle_hashes(F.col("item_words"))).alias("hashes")).select("item_id", "n_item", simhash("hashes").alias("item_print"))
+    index = prints.select("item_id", "n_item", "item_print", F.inline_outer(hamming_blocks(F.col("item_print"), RADIUS // BLOCKS)))
+    # Spark's own estimate does not see the variants of a block
+    index = F.broadcast(index) if items.count() <= broadcast_items else index.hint("merge")
+    printed = windows.select("*", shingle_hashes(F.col("window")).alias("hashes")).withColumn("hashes", features(F.col("hashes"))).select("doc_id", "n_item", "start", "window", simhash("hashes").alias("print"))
+    near = printed.select("doc_id", "n_item", "start", "window", "print", F.inline_outer(hamming_blocks(F.col("print"), 0))).join(index, ["n_item", "number", "value"])
     # the filter stays above the aggregation: below it, Spark would compute the fingerprints once more for it
-    near = near.groupBy("doc_id", "item_id", "start", "window", "item_words").agg(F.min(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).alias("hamming"))
-    near = near.where(F.col("hamming") <= RADIUS)
+    near = near.groupBy("doc_id", "item_id", "start", "window").agg(F.min(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).alias("hamming"))
+    near = near.where(F.col("hamming") <= RADIUS).join(items, "item_id")
 
     exact = near.select("doc_id", "item_id", "start", "hamming", shingle_texts(F.col("window")).alias("a"), shingle_texts(F.col("item_words")).alias("b"))
     exact = exact.withColumns({"a": weighted(F.col("a")), "b": weighted(F.col("b"))})
@@ -177,7 +176,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     return df.join(leaked, F.col("doc_id").cast("long").eqNullSafe(F.col("leaked_id")), "left_anti")
 
 
-#: Leaks without fingerprints, of fewer windows than find_leaks judges: only those that a shared shingle aligns.
+#: Leaks without fingerprints: exact similarity of all windows that share a shingle with the item.
 ORACLE_SQL = """
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS words FROM documents
@@ -187,19 +186,20 @@ WITH d AS (
   SELECT doc_id, len(words) AS n, i AS pos, array_to_string(words[i + 1 : i + 5], ' ') AS s FROM d, unnest(range(greatest(len(words) - 4, 0))) AS t(i)
 ), bs AS (
   SELECT item_id, len(words) AS n, i AS pos, array_to_string(words[i + 1 : i + 5], ' ') AS s FROM b, unnest(range(greatest(len(words) - 4, 0))) AS t(i)
+), bc AS (
+  SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL
+), hit AS (
+  SELECT ds.doc_id, bc.item_id, bc.n AS n_item, ds.n AS n_doc, ds.pos, ds.s, bc.c FROM ds JOIN bc USING (s)
 ), w AS (
-  SELECT DISTINCT ds.doc_id, bs.item_id, greatest(0, least(ds.pos - bs.pos, ds.n - bs.n)) AS start, bs.n AS n_item, ds.n AS n_doc
-  FROM ds JOIN bs USING (s)
+  SELECT DISTINCT doc_id, item_id, n_item, n_doc, start
+  FROM hit, unnest(range(greatest(0, pos + 5 - least(n_item, n_doc)), least(pos, greatest(0, n_doc - n_item)) + 1)) AS t(start)
 ), wc AS (
-  SELECT w.doc_id, w.item_id, w.start, ds.s, count(*) AS c
-  FROM w JOIN ds ON ds.doc_id = w.doc_id AND ds.pos >= w.start AND ds.pos + 4 < w.start + w.n_item GROUP BY ALL
-), bc AS (
-  SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL
-), shared AS (
-  SELECT wc.doc_id, wc.item_id, wc.start, sum(least(wc.c, bc.c)) AS shared FROM wc JOIN bc ON bc.item_id = wc.item_id AND bc.s = wc.s GROUP BY ALL
+  SELECT w.doc_id, w.item_id, w.n_item, w.n_doc, w.start, least(count(*), any_value(h.c)) AS c
+  FROM w JOIN hit h ON h.doc_id = w.doc_id AND h.item_id = w.item_id AND h.pos >= w.start AND h.pos + 4 < w.start + w.n_item
+  GROUP BY w.doc_id, w.item_id, w.n_item, w.n_doc, w.start, h.s
 ), scored AS (
-  SELECT s.doc_id, s.item_id, s.start, s.shared, least(w.n_item, w.n_doc) - 4 + w.n_item - 4 - s.shared AS total
-  FROM shared s JOIN w ON w.doc_id = s.doc_id AND w.item_id = s.item_id AND w.start = s.start
+  SELECT doc_id, item_id, start, sum(c) AS shared, least(n_item, n_doc) - 4 + n_item - 4 - sum(c) AS total
+  FROM wc GROUP BY doc_id, item_id, n_item, n_doc, start
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(shared AS DOUBLE) / total DESC, start) AS k FROM scored WHERE shared >= 0.8 * total - 1e-9
 )

@@ -231,6 +231,25 @@ def test_leaks_with_repeated_words(spark, make, literals):
     assert len(got) == len(items)
 
 
+@pytest.mark.parametrize("literals", [20_000, 0])
+def test_leaks_of_moved_parts(spark, make, literals):
+    """Swapped halves, and parts in another order with other words between: no shared shingle aligns the best window."""
+    rng = random.Random(13)
+    other = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    items, docs = [], []
+    for j, n in enumerate((60, 60, 90, 120, 150, 40)):
+        own = [f"i{j}x{k}" for k in range(n)]
+        items.append((j, " ".join(own)))
+        cut = n // 2 if j % 2 == 0 else n // 3
+        docs.append((2 * j, " ".join(other(80) + own[cut:] + own[:cut] + other(80))))
+        docs.append((2 * j + 1, " ".join(other(80) + own[cut:] + other(1 + j) + own[:cut] + other(80))))
+    items += [(20 + j, " ".join(f"i{j}x{k}" for k in range(30, 60)) + " " + " ".join(f"n{j}x{k}" for k in range(30))) for j in range(2)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(make(docs), bench, literal_rows=literals, broadcast_items=literals).collect()}
+    assert got == brute_leaks(docs, items)
+    assert {(0, 0), (4, 2), (6, 3)} <= got
+
+
 def test_leak_edges(spark, edges, empty):
     bench = spark.createDataFrame([(1, "a text without an id that is long enough"), (2, None)], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(edges, bench).collect()]
