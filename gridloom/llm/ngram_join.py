@@ -14,6 +14,8 @@ from gridloom.llm.common import byte_batches, mix, shingle_hashes, texts, word_h
 from gridloom.llm.components import components
 
 NGRAM, SIMILARITY, RECALL = 5, 0.8, 0.9999
+#: Tasks over which the members of one large cell are dealt while they get their chunks.
+SALTS = 64
 
 
 def choose_bands(similarity: float, recall: float, max_hashes: int = 128) -> tuple[int, int]:
@@ -56,14 +58,20 @@ def _signatures(sets: list[np.ndarray], bands: int, rows: int) -> list[np.ndarra
     return out
 
 
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each set, as two numbers."""
+    one = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    two = np.array([np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+    return one, two
+
+
 def sketch(df: DataFrame, n: int, bands: int, rows: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, set_1 and set_2 (a 128-bit hash of the n-gram set), n_grams and the band hashes of each row."""
 
     def run(batches):
         for ids, batch in byte_batches(batches, batch_bytes):
             sets = ngram_sets(batch, n)
-            one = np.array([np.bitwise_xor.reduce(mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            two = np.array([np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            one, two = set_hashes(sets)
             sigs = [s.tolist() for s in _signatures(sets, bands, rows)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(one), pa.array(two), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "set_1", "set_2", "n_grams", "bands"])
 
@@ -154,20 +162,32 @@ def near_duplicates(df: DataFrame, n: int = NGRAM, similarity: float = SIMILARIT
     entries = classes.select("rep", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("band", "hub")
     hubs = written(entries.join(buckets, "band").groupBy("rep").agg(F.array_sort(F.collect_set("hub")).alias("hubs")), "hubs")
-    members = classes.select("rep", "copies", "n_grams").join(hubs, "rep")
-    cells = members.select("n_grams", F.explode("hubs").alias("hub")).groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
-    cells = cells.select("hub", F.greatest(F.ceil(F.col("n") / chunk_rows), F.ceil(F.col("grams") / chunk_grams)).cast("int").alias("chunks"))
+    members = classes.select("rep", "set_1", "set_2", "copies", "n_grams").join(hubs, "rep")
+    large = members.select("n_grams", F.explode("hubs").alias("hub")).groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_grams").alias("grams"))
+    large = large.select("hub", F.greatest(F.ceil(F.col("n") / chunk_rows), F.ceil(F.col("grams") / chunk_grams)).cast("int").alias("chunks")).where("chunks > 1")
+    # the rows get their blocks while they are light: no n-grams yet, and a large cell's rows are dealt by a salt
+    salted = members.select("rep", "set_1", "set_2", F.explode("hubs").alias("hub")).withColumn("salt", F.pmod(F.xxhash64("rep", "set_1"), F.lit(SALTS)).cast("int"))
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = salted.join(large, ["hub", "salt"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("rep", "hub"), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct("hub", F.least("chunk", o).alias("left"), F.greatest("chunk", o).alias("right"), "chunk"))
+    places = placed.groupBy("rep", "set_1", "set_2").agg(F.flatten(F.collect_list(pairs)).alias("places"))
+    members = members.select("rep", "set_1", "set_2", "copies", "hubs").join(places, ["rep", "set_1", "set_2"])
 
     def grams(batches):
+        carried = ["rep", "set_1", "set_2", "copies", "hubs", "places"]
         for batch in batches:
             sets = ngram_sets(batch.column("text").to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "copies", "hubs")] + [pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "copies", "hubs", "grams"])
-
-    sources = texts(df).withColumnRenamed("doc_id", "rep").join(members.select("rep", "copies", "hubs"), "rep").select("rep", "copies", "hubs", "text")
-    payload = sources.mapInArrow(grams, "rep long, copies long, hubs array<long>, grams binary").dropDuplicates(["rep", "grams"])
-    placed = payload.withColumn("hub", F.explode("hubs")).join(cells, "hub").withColumn("chunk", F.pmod(F.xxhash64("rep", "hub"), F.col("chunks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("left"), F.greatest("chunk", o).alias("right")))
-    blocks = placed.select("hub", "rep", "copies", "hubs", "grams", "chunk", F.inline(pairs))
+            one, two = set_hashes(sets)
+            # of several texts under one doc_id each goes with its own class
+            own = pa.array((one == batch.column("set_1").to_numpy()) & (two == batch.column("set_2").to_numpy()))
+            out = pa.RecordBatch.from_arrays([batch.column(c) for c in carried] + [pa.array([s.tobytes() for s in sets], pa.binary())], [*carried, "grams"])
+            yield out.filter(own)
+
+    places_type = "array<struct<hub:long,left:int,right:int,chunk:int>>"
+    sources = texts(df).withColumnRenamed("doc_id", "rep").join(members, "rep").select("rep", "set_1", "set_2", "copies", "hubs", "places", "text")
+    payload = sources.mapInArrow(grams, f"rep long, set_1 long, set_2 long, copies long, hubs array<long>, places {places_type}, grams binary").dropDuplicates(["rep", "set_1", "set_2"])
+    blocks = payload.select("rep", "copies", "hubs", "grams", F.inline("places"))
     found = blocks.groupBy("hub", "left", "right").applyInPandas(lambda cell: verify_cell(cell, similarity), "kind int, rep long, value long")
     found = written(found, "links")
 

@@ -84,6 +84,30 @@ def test_near_duplicates_are_exact(make, chunk):
     assert got == brute_links(rows)
 
 
+def test_near_duplicates_recall_at_the_threshold(make):
+    """Pairs a little above the similarity, where bands miss the most: all but one in a thousand are linked."""
+    rng = random.Random(15)
+    rows, near = [], 0
+    for k in range(500):
+        base = [f"p{k}x{j}" for j in range(104)]
+        changed = list(base)
+        for j in rng.sample(range(0, 104, 8), 2):
+            changed[j] = "changed"
+        changed[-1] = rng.choice([changed[-1], "other"])
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(changed))]
+        a, b = grams(rows[-1][1]), grams(rows[-2][1])
+        near += len(a & b) >= 0.8 * len(a | b)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(make(rows)).collect()}
+    found = sum(got[2 * k] for k in range(500))
+    assert near > 400 and near * 0.999 <= found <= near
+
+
+def test_one_doc_id_with_two_texts(make):
+    rows = [(1, "a b c d e f g h"), (1, "k l m n o p q r"), (2, "A b c d e f g h"), (3, "a b c d e f g h."), (4, "k l m n o p q r")]
+    got = sorted({(r["doc_id"], r["class_id"]) for r in ngram_join.near_duplicates(make(rows)).collect()})
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
 def test_near_duplicates_edges(edges, empty):
     got = [(r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(edges).collect()]
     assert len(got) == len(EDGES)
