@@ -14,12 +14,14 @@ CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a local session (tests) gets one of its own; on a cluster that is an error."""
     path = spark.conf.get(CHECKPOINT, None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = known.get() if known.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
