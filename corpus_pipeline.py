@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +34,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and exact of each document."""
+    import public_tokenizers  # only this stage needs the package of vocabulary files
+
     return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
