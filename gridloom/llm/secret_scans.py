@@ -20,12 +20,57 @@ _CUES = ("passw", "secret", "token", "apikey", "api_key")
 
 #: Kinds in the order of a tie; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
-_RUN = r"(?<![A-Za-z0-9+/_=-])"
-_JWT = re.compile(_RUN + r"(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-_DER = re.compile(_RUN + r"M[A-Za-z0-9+/_-]{30,}={0,2}")  # 0x30, which begins an ASN.1 sequence, encodes to M
-_SSH = re.compile(_RUN + r"(?:AAAA|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{24,}={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
-_UPPER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
+#: A candidate begins where no letter or digit stands before it: after =, /, -, _ and + too, as its structure decides.
+_AT = r"(?<![A-Za-z0-9])"
+#: A token's header has 8 KiB at most, so that a run of many possible starts costs time in proportion.
+_HEAD = re.compile(_AT + r"eyJ[A-Za-z0-9_-]{8,8189}(?=\.)")
+_REST = re.compile(r"\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+_DER = re.compile(_AT + r"M[A-P][A-Za-z0-9+/_-]{8}")  # 0x30, which begins an ASN.1 sequence, encodes to MA to MP
+_SSH_KEY = re.compile(_AT + r"b3BlbnNzaC1rZXktdjEA")
+_SSH_BLOB = re.compile(_AT + r"AAAA[A-Za-z0-9+/_-]{24,}={0,2}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----((?:(?:\s|\\[rn])*[A-Z][A-Za-z-]{2,40}: [^\n\\]*)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+_PEM_CODED = re.compile(_AT + r"LS0tLS1CRUdJTi")
+_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[Ff]70656[Ee]7373)[0-9A-Fa-f]{46,}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_WRAP = re.compile(r"[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*(?=[A-Za-z0-9+/_-])")
+_MAGIC = b"openssh-key-v1\0"
+#: ASN.1 elements nest so deep at most.
+DEPTH = 32
+
+
+class Run:
+    """Base64 characters from a place of a text on, over line wraps, read as far as they are asked for."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.parts, self.size, self.next = text, [], 0, at
+
+    def take(self, need: int | None) -> str | None:
+        """The first `need` characters (None: all of the run), or None if the run has fewer."""
+        while (need is None or self.size < need) and self.next is not None:
+            m = _LINE.match(self.text, self.next)
+            self.parts.append((m.start(), m[0]))
+            self.size += len(m[0])
+            wrap = _WRAP.match(self.text, m.end())
+            self.next = wrap.end() if wrap else None
+        if need is not None and self.size < need:
+            return None
+        return "".join(p for _, p in self.parts)[:need]
+
+    def end(self, used: int) -> tuple[int, bool]:
+        """Where the first `used` characters and their padding end in the text, and whether the run ends there too."""
+        for start, part in self.parts:
+            if used <= len(part):
+                at = start + used
+                break
+            used -= len(part)
+        more = self.text[at : at + 1]
+        while self.text[at : at + 1] == "=":
+            at += 1
+        return at, not (more.isascii() and (more.isalnum() or more in ("+", "/")) and more != "")
+
+    def bytes(self, n: int) -> bytes | None:
+        part = self.take(-(-n * 4 // 3))
+        return None if part is None else (decode64(part) or b"")[:n]
 
 
 def decode64(s: str) -> bytes | None:
@@ -57,22 +102,78 @@ def der_length(data: bytes, at: int = 0) -> tuple[int, int] | None:
 
 
 def is_der(data: bytes) -> bool:
-    """A sequence that fills data, whose elements fill it in turn, two at least, the first an integer or a sequence."""
+    """A sequence that fills data, whose elements fill it in turn, two at least, the first an integer or a sequence.
+
+    Elements within elements are parsed likewise, down to DEPTH; plain ones have the lengths that their tags allow.
+    """
     if not data or data[0] != 0x30 or not (outer := der_length(data)) or outer[1] != len(data):
         return False
-    at, tags = outer[0], []
-    while at < outer[1]:
-        if data[at] & 0x1F == 0x1F or not (inner := der_length(data, at)) or inner[1] == at:
+    tags, open_at = [], [outer]
+    while open_at:
+        at, end = open_at.pop()
+        if at == end:
+            continue
+        tag = data[at]
+        if tag & 0x1F == 0x1F or not (inner := der_length(data, at)) or inner[1] > end:
+            return False
+        if not open_at:
+            tags.append(tag)
+        open_at.append((inner[1], end))
+        size = inner[1] - inner[0]
+        if tag & 0x20:
+            if len(open_at) >= DEPTH:
+                return False
+            open_at.append(inner)
+        elif (tag in (0x02, 0x0A) and not size) or (tag == 0x01 and size != 1) or (tag == 0x05 and size) or (tag == 0x03 and (not size or data[inner[0]] > 7)):
             return False
-        tags.append(data[at])
-        at = inner[1]
-    return len(tags) >= 2 and tags[0] in (0x02, 0x30) and at == outer[1]
+        elif tag == 0x06 and (not size or data[inner[1] - 1] & 0x80):
+            return False
+    return len(tags) >= 2 and tags[0] in (0x02, 0x30)
+
+
+def ssh_container(read, limit: int) -> int | None:
+    """Length of an OpenSSH private key container: magic, cipher, kdf, its options, count, public keys and private part.
+
+    read(n) gives the first n bytes or None; a field that would go beyond limit bytes fails before it is read.
+    """
+    at = len(_MAGIC)
+
+    def field() -> bytes | None:
+        nonlocal at
+        head = read(at + 4)
+        if head is None or len(head) < at + 4:
+            return None
+        n = int.from_bytes(head[at : at + 4], "big")
+        if at + 4 + n > limit:
+            return None
+        data = read(at + 4 + n)
+        if data is None or len(data) < at + 4 + n:
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    if (read(at) or b"") != _MAGIC:
+        return None
+    cipher, kdf = field(), field()
+    if not cipher or not kdf or not re.fullmatch(rb"[a-z0-9@.+-]+", cipher) or not re.fullmatch(rb"[a-z0-9@.+-]+", kdf):
+        return None
+    if (options := field()) is None or (kdf == b"none") != (cipher == b"none") or (kdf == b"none") != (not options):
+        return None
+    count = read(at + 4)
+    if count is None or len(count) < at + 4 or not 1 <= (n := int.from_bytes(count[at : at + 4], "big")) <= 64:
+        return None
+    at += 4
+    for _ in range(n):
+        if not (key := field()) or not is_ssh(key):
+            return None
+    private = field()
+    return at if private and len(private) % 8 == 0 else None
 
 
 def is_ssh(data: bytes) -> bool:
     """An OpenSSH private key, or length-prefixed fields of which the first names a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+    if data.startswith(_MAGIC):
+        return ssh_container(lambda n: data[:n], len(data)) == len(data)
     at, fields = 0, []
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
@@ -80,7 +181,7 @@ def is_ssh(data: bytes) -> bool:
             return False
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
 
 
 def is_token_header(part: str) -> bool:
@@ -103,20 +204,83 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def _tokens(text: str):
+    at = 0
+    while m := _HEAD.search(text, at):
+        rest = _REST.match(text, m.end()) if is_token_header(m[0]) else None
+        if rest:
+            yield "jwt", m.start(), rest.end()
+        at = rest.end() if rest else m.start() + 1
+
+
+def _sequences(text: str):
+    """ASN.1 sequences in base64: their own length says where they end, over line wraps too."""
+    at = 0
+    while m := _DER.search(text, at):
+        at = m.start() + 1
+        head = decode64(m[0][:8]) or b""
+        k = head[1] & 127 if head[1] >= 128 else 0
+        if k > 3 or (head[1] >= 128 and not k) or head[2 + k] not in (0x02, 0x30):
+            continue  # no definite length, or the first element isn't an integer or a sequence
+        n = 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+        if n < 24 or n > len(text):
+            continue
+        run = Run(text, m.start())
+        data = run.bytes(n)
+        if data is not None and len(data) == n and is_der(data):
+            end, alone = run.end(-(-n * 4 // 3))
+            if alone:
+                yield "der", m.start(), end
+                at = end
+
+
+def _containers(text: str):
+    at = 0
+    while m := _SSH_KEY.search(text, at):
+        at = m.end()
+        run = Run(text, m.start())
+        if n := ssh_container(run.bytes, len(text)):
+            at, _ = run.end(-(-n * 4 // 3))
+            yield "ssh", m.start(), at
+
+
+def _coded_pems(text: str):
+    """Base64 of a whole PEM text."""
+    at = 0
+    while m := _PEM_CODED.search(text, at):
+        run = Run(text, m.start())
+        part = run.take(None)
+        at, _ = run.end(len(part))
+        data = decode64(part[: len(part) - (len(part) % 4 == 1)])
+        if data and any(True for _ in _pems(data.decode("latin-1"))):
+            yield "pem", m.start(), at
+
+
+def _pems(text: str):
+    for m in _PEM.finditer(text):
+        data = decode64(re.sub(r"\\[rn]|\s", "", m[3])) or b""
+        coded = "ENCRYPTED" in m[2] and len(data) >= 16 and len(data) % 8 == 0
+        if coded or is_der(data) or is_ssh(data):
+            yield "pem", *m.span()
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded content has the structure of a key or of a signed token."""
-    out = []
+    out = list(_sequences(text))
     if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token_header(m[1])]
-    out += [("der", *m.span()) for m in _DER.finditer(text) if is_der(decode64(m[0]) or b"")]
-    out += [("der", *m.span()) for m in _UPPER_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_der(bytes.fromhex(m[0]))]
-    if "AAAA" in text or "b3BlbnNzaC1" in text:
-        out += [("ssh", *m.span()) for m in _SSH.finditer(text) if is_ssh(decode64(m[0]) or b"")]
+        out += _tokens(text)
+    for m in _HEX_RUN.finditer(text):
+        data = bytes.fromhex(m[0][: len(m[0]) & ~1])
+        if len(m[0]) % 2 == 0 and (is_der(data) or is_ssh(data)):
+            out.append(("der" if data[0] == 0x30 else "ssh", *m.span()))
+    if "AAAA" in text:
+        out += [("ssh", *m.span()) for m in _SSH_BLOB.finditer(text) if is_ssh(decode64(m[0]) or b"")]
+    if "b3BlbnNzaC1" in text:
+        out += _containers(text)
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = decode64(re.sub(r"\\n|\s", "", m[2])) or b""
-            if is_der(data) or is_ssh(data):
-                out.append(("pem", *m.span()))
+        out += _pems(text)
+    if "LS0tLS1CRUdJTi" in text:
+        out += _coded_pems(text)
     return out
 
 

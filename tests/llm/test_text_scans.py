@@ -94,6 +94,67 @@ def test_secret_spans(make):
     assert sum(s["kind"] == "jwt" for s in got[1]["spans"]) == 1
 
 
+def field(x):
+    return len(x).to_bytes(4, "big") + x
+
+
+def ssh_private(cipher=b"none", kdf=b"none", options=b"", private=bytes(64)):
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    return b"openssh-key-v1\0" + field(cipher) + field(kdf) + field(options) + (1).to_bytes(4, "big") + field(public) + field(private)
+
+
+def test_secrets_where_they_stand():
+    key = der(b"\x02\x01\x00", der(b"\x06\x03\x2a\x03\x04", b"\x05\x00"), b"\x04\x81\x90" + bytes(range(144)))
+    b64, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")
+    jwt = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"signature-bytes"))
+    wrap = lambda s, w, sep: sep.join(s[k : k + w] for k in range(0, len(s), w))
+    found = lambda t: [(k, t[a:b]) for k, a, b in secret_scans.confirmed_spans(t)]
+    for before in ("token=", "?jwt=", "/auth/", "JWT=", "?id_jwt=", "x-", "a_", "+", "", " ", '"', "é"):
+        assert found(f"{before}{jwt} end") == [("jwt", jwt)], before
+    for before in ("key=", "PRIVATE_KEY=", "/", "k_", "x-", '"', "(", ": ", ""):
+        for own in (b64, url):
+            assert found(f"{before}{own}\nNext line") == [("der", own)], before
+    for sep in ("\n", "\r\n", "\n    ", "\\n"):
+        own = wrap(b64, 64, sep)
+        assert found(f"key:\n{own}\nNext line of words") == [("der", own)]
+    assert found("a" + b64) == [] and found(b64[:-8]) == [] and found("x" + jwt) == []
+    assert found("eyJbad-" + jwt) == [("jwt", jwt)]
+
+    own = base64.b64encode(ssh_private()).decode()
+    assert found(f"k={wrap(own, 70, chr(10))}\nwords") == [("ssh", wrap(own, 70, "\n"))]
+    coded = base64.b64encode(ssh_private(b"aes256-ctr", b"bcrypt", field(bytes(16)) + bytes(4))).decode()
+    assert found(f"k={coded}") == [("ssh", coded)]
+    for bad in (ssh_private(private=bytes(63)), ssh_private(cipher=b""), ssh_private(kdf=b"none", options=b"x"), b"openssh-key-v1\0" + bytes(200), ssh_private()[:-9]):
+        assert found("k=" + base64.b64encode(bad).decode()) == []
+    assert found(key.hex()) == [("der", key.hex())] and found("0x" + ssh_private().hex().upper()) == [("ssh", ssh_private().hex().upper())]
+
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrap(b64, 64, chr(10))}\n-----END PRIVATE KEY-----\n"
+    inner = base64.b64encode(pem.encode()).decode()
+    assert ("pem", inner) in found(f"data: {inner} x") and ("pem", pem[:-1]) in found("see " + pem)
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n" + base64.b64encode(bytes(range(64))).decode() + "\n-----END RSA PRIVATE KEY-----"
+    assert found(locked) == [("pem", locked)]
+
+
+def test_nested_lengths_are_parsed():
+    good = der(b"\x02\x01\x00", der(b"\x06\x03\x2a\x03\x04", der(b"\x02\x01\x07", b"\x05\x00")))
+    assert secret_scans.is_der(good)
+    for bad in (b"\xff" * 60, b"\x02\x01", b"\x02\x00", b"\x05\x01\x00", b"\x06\x02\x2a\x83", b"\x01\x02\x00\x00", b"\x30\x03\x02\x02\x01"):
+        assert not secret_scans.is_der(der(b"\x02\x01\x00", der(bad))), bad
+    deep = b"\x02\x01\x00"
+    for _ in range(60):
+        deep = der(deep)
+    assert not secret_scans.is_der(der(b"\x02\x01\x00", deep))
+
+
+def test_secret_scan_is_linear_in_hard_texts():
+    import time
+
+    began = time.time()
+    for unit in ("eyJ-", "b3BlbnNzaC1rZXktdjEA\n", "/MIIE", "LS0tLS1CRUdJTi\n", "-----BEGIN RSA KEY-----\nMII", "AAAA/", "30"):
+        secret_scans.confirmed_spans(unit * (200_000 // len(unit)))
+    assert time.time() - began < 60
+
+
 def test_secret_edges(edges, empty):
     assert secret_scans.scan_secrets(edges).count() == len(EDGES)
     assert secret_scans.scan_secrets(empty).count() == 0
