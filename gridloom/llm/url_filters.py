@@ -120,7 +120,7 @@ def minimal(rules: DataFrame) -> DataFrame:
     return rules if out is None else out
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_count: int = 10, min_confidence: float = 0.6, min_lift: float = 1.3, fixed=RULES) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = 0.005, min_count: int = 5, min_confidence: float = 0.6, min_lift: float = 1.3, fixed=RULES) -> DataFrame:
     """rule_id, items, confidence and n (bad pages) of the rules items => block, from every labelled page.
 
     items is an array of token classes: a page has the item if it has one of the class's tokens, which on labelled

@@ -222,7 +222,7 @@ def test_mined_rules_are_the_counted_ones(spark):
     bad = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     baskets = [(set(t), bad[i]) for i, t in tokens.items()]
     got = {tuple(sorted(c)): (r["confidence"], r["n"]) for r in rules for c in product(*r["items"])}
-    want = brute_mined(baskets, 10, 0.6, 1.3)
+    want = brute_mined(baskets, 5, 0.6, 1.3)
     assert got.keys() == want.keys() and len(got) > 3
     assert all(got[c] == pytest.approx(want[c]) for c in want)
 
