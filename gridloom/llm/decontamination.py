@@ -125,6 +125,25 @@ def _windows(hits: DataFrame, similarity: float) -> DataFrame:
     return parts.select("doc_id", "n_item", "start", F.slice("part", F.col("start") - F.col("low") + 1, F.col("n_item")).alias("window"))
 
 
+def _near(printed: DataFrame, index: DataFrame) -> DataFrame:
+    """printed with item_id and hamming of every item of its size whose fingerprint is within RADIUS bits, once for each.
+
+    A pair that agrees in several blocks is taken in the first of them.
+    """
+    pairs = printed.select("*", F.inline_outer(hamming_blocks(F.col("print"), 0))).join(index, ["n_item", "number", "value"])
+    differ = F.col("print").bitwiseXOR(F.col("item_print"))
+
+    def agree(number: int) -> Column:
+        return F.bit_count(F.shiftrightunsigned(differ, number * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1))) <= RADIUS // BLOCKS
+
+    first = F.lit(BLOCKS)
+    for number in reversed(range(BLOCKS)):
+        first = F.when(agree(number), number).otherwise(first)
+    # coalesce() keeps Spark from deriving a filter on print, which would compute every fingerprint once more below
+    pairs = pairs.withColumn("hamming", F.bit_count(differ)).where((F.coalesce("hamming", F.lit(BITS)) <= RADIUS) & (F.col("number") == first))
+    return pairs.select(*printed.columns, "item_id", "hamming")
+
+
 def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, literal_rows: int = 20_000, broadcast_items: int = 1_000) -> DataFrame:
     """doc_id, item_id, start, shared, total, hamming: the best window of each document and leaked item.
 
@@ -143,7 +162,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     cases (see there for small sets). The words travel with the row's hits: the only shuffles are of rows with a hit,
     and of candidates. The items' shingle hashes are literals of the scan up to literal_rows, beyond that they are
     joined; both find the same. The index has 296 rows of four numbers for each item, under 16 kB; it may be broadcast
-    up to broadcast_items items, beyond that it is merged. Words of an item are joined to its candidates alone.
+    up to broadcast_items items; beyond that the distinct fingerprints are merged with it, without their words. Words
+    of an item are joined to its candidates alone.
     """
     items = texts(benchmark, key="item_id").where("doc_id is not null").select(F.col("doc_id").alias("item_id"), word_array(F.col("text")).alias("item_words"))
     items = items.where(F.size("item_words") >= NGRAM).distinct()
@@ -152,15 +172,16 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
 
     windows = _windows(_hits(docs, shingles, literal_rows), similarity)
 
-    prints = items.select("item_id", F.size("item_words").alias("n_item"), features(shingle_hashes(F.col("item_words"))).alias("hashes")).select("item_id", "n_item", simhash("hashes").alias("item_print"))
+    prints = items.select("item_id", F.size("item_words").alias("n_item"), shingle_hashes(F.col("item_words")).alias("hashes")).withColumn("hashes", features(F.col("hashes"))).select("item_id", "n_item", simhash("hashes").alias("item_print"))
     index = prints.select("item_id", "n_item", "item_print", F.inline_outer(hamming_blocks(F.col("item_print"), RADIUS // BLOCKS)))
-    # Spark's own estimate does not see the variants of a block
-    index = F.broadcast(index) if items.count() <= broadcast_items else index.hint("merge")
+    # each step reads its input several times, so none goes into the next one's expression
     printed = windows.select("*", shingle_hashes(F.col("window")).alias("hashes")).withColumn("hashes", features(F.col("hashes"))).select("doc_id", "n_item", "start", "window", simhash("hashes").alias("print"))
-    near = printed.select("doc_id", "n_item", "start", "window", "print", F.inline_outer(hamming_blocks(F.col("print"), 0))).join(index, ["n_item", "number", "value"])
-    # the filter stays above the aggregation: below it, Spark would compute the fingerprints once more for it
-    near = near.groupBy("doc_id", "item_id", "start", "window").agg(F.min(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).alias("hamming"))
-    near = near.where(F.col("hamming") <= RADIUS).join(items, "item_id")
+    if items.count() <= broadcast_items:  # Spark's own estimate does not see the variants of a block
+        near = _near(printed, F.broadcast(index))
+    else:
+        found = _near(printed.select("n_item", "print").distinct(), index.hint("merge")).select("n_item", "print", "item_id", "hamming")
+        near = printed.join(found, ["n_item", "print"])
+    near = near.join(items, "item_id")
 
     exact = near.select("doc_id", "item_id", "start", "hamming", shingle_texts(F.col("window")).alias("a"), shingle_texts(F.col("item_words")).alias("b"))
     exact = exact.withColumns({"a": weighted(F.col("a")), "b": weighted(F.col("b"))})
