@@ -22,8 +22,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    model, min_probability = license_scans.train(spark, documents, _table(spark, sf_dir, "labels"))
-    return license_scans.scan_licenses(documents, model, min_probability)
+    scanner = license_scans.train(spark, documents, _table(spark, sf_dir, "labels"))
+    return license_scans.scan_licenses(documents, scanner)
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
