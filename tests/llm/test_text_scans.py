@@ -49,6 +49,71 @@ def test_sentencepiece_is_the_librarys(make):
         assert got[i]["exact"] == ("▁" not in text), repr(text)
 
 
+def proto(number, value):
+    """A field of a protocol buffer message: a number, a float or bytes."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_file(path, byte_fallback=True, kind=1, map_=b"", blanks=0, more=()):
+    """A hand-written unigram model: no training. Pieces of all lengths with scores that make best paths interesting."""
+    rng = np.random.default_rng(21)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    pieces += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_fallback else []
+    plain = {"▁", *"abcdé"} | {("▁" if rng.random() < 0.4 else "") + "".join(rng.choice(list("abcdé"), rng.integers(1, 6))) for _ in range(150)}
+    # sixteenths add up exactly in single precision, so equal sums are ties for the library too
+    pieces += [(p, -round(16 * (rng.uniform(1, 4) + 1.2 * len(p))) / 16, 1) for p in sorted(plain)] + list(more)
+    out = b"".join(proto(1, proto(1, p.encode()) + proto(2, s) + proto(3, t)) for p, s, t in pieces)
+    out += proto(2, proto(3, kind) + proto(35, int(byte_fallback))) + proto(3, proto(1, b"identity") + proto(2, map_) + proto(3, 1) + proto(4, blanks) + proto(5, 1))
+    path.write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_unigram_is_the_librarys(make, tmp_path, byte_fallback):
+    import random
+
+    import sentencepiece
+
+    path = unigram_file(tmp_path / "unigram.model", byte_fallback)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    texts = ["", " ", "a", "  ab  cd ", "xyz", "aéx zb日c", "abcde" * 400, *("".join(rng.choice("aabbccddé x") for _ in range(rng.randint(1, 200))) for _ in range(150))]
+    got = {r["doc_id"]: r for r in sentencepiece_codec.encode(make(list(enumerate(texts))), path).collect()}
+    own = sentencepiece_codec.Codec(path)
+    for i, text in enumerate(texts):
+        assert got[i]["ids"] == sp.encode(text), repr(text)
+        assert own.decode(got[i]["ids"]) == sp.decode(got[i]["ids"])
+
+
+def test_viterbi_over_the_trie_is_the_best_split(tmp_path):
+    from itertools import combinations
+
+    own = sentencepiece_codec.Codec(unigram_file(tmp_path / "unigram.model"))
+    back = {i: p for p, i in own.id.items()}
+    for word, ids in own.encode_words(["▁" + w for w in ("abcab", "abcad", "abc", "édcba", "bbbbbbb", "ddacdé")]).items():
+        cuts = (c for k in range(len(word)) for c in combinations(range(1, len(word)), k))
+        sums = [sum(own.score.get(word[a:b], -1e9) for a, b in zip((0, *c), (*c, len(word)), strict=True)) for c in cuts]
+        assert sum(own.score[back[i]] for i in ids) == pytest.approx(max(sums))
+
+
+def test_other_models_are_refused(tmp_path):
+    for k, options in enumerate(({"kind": 3}, {"map_": b"x"}, {"blanks": 1}, {"more": [("own", 0.0, 4)]}, {"more": [("▁a▁b", -3.0, 1)]})):
+        with pytest.raises((ValueError, OSError, RuntimeError)):
+            sentencepiece_codec.Codec(unigram_file(tmp_path / f"{k}.model", **options))
+
+
 def test_sentencepiece_round_trip_and_edges(edges, empty):
     coded = sentencepiece_codec.encode(edges, PIECES)
     back = {(r["doc_id"], r["text"]) for r in sentencepiece_codec.decode(coded, PIECES).collect()}
