@@ -152,6 +152,24 @@ def zscore(df: DataFrame, groups: list[str], variables: list[str], population: b
     return out.withColumns({f"{v}_z": ratio(F.col(v) - F.col(f"_m_{v}"), F.col(f"_s_{v}")) for v in variables}).drop(*(f"_{k}_{v}" for k in "ms" for v in variables))
 
 
+def zscore_held_out(df: DataFrame, fold: str, x: str) -> DataFrame:
+    """df with x standardised, in each fold, by mean and population SD of the rows of all other folds.
+
+    The moments of the others follow from those of each fold and of all: no row is copied.
+    """
+    part = df.where(F.col(x).isNotNull()).groupBy(fold).agg(F.count(x).alias("n"), F.avg(x).alias("m"), (F.var_pop(x) * F.count(x)).alias("s"))
+    whole = part.agg(F.sum("n").alias("all_n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("all_m"))
+    apart = F.col("m") - F.col("all_m")
+    own = part.crossJoin(F.broadcast(whole)).withColumn("d", F.col("n") * apart * apart + F.col("s"))
+    own = own.crossJoin(F.broadcast(own.agg(F.sum("d").alias("all_d"))))
+    k = F.col("all_n") - F.col("n")
+    mean = ratio(F.col("all_n") * F.col("all_m") - F.col("n") * F.col("m"), k)
+    # squared deviations from the grand mean, moved to the mean of the others
+    spread = F.sqrt(F.greatest(F.lit(0.0), ratio(F.col("all_d") - F.col("d"), k) - (mean - F.col("all_m")) * (mean - F.col("all_m"))))
+    own = own.select(fold, mean.alias("_mean"), spread.alias("_sd"))
+    return df.join(own, fold).withColumn(f"{x}_z", ratio(F.col(x) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")
+
+
 def one_hot(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
     """A 0/1 column for each level given (leave out the reference)."""
     return df.withColumns({f"{column}_{re_name(level)}": F.coalesce((F.col(column) == level).cast("int"), F.lit(0)) for level in levels})

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import analysis, descriptive, evaluation
+from gridloom.plans import analysis, decisions, descriptive, evaluation
 
-_MODULES = (descriptive, evaluation, analysis)
+_MODULES = (descriptive, evaluation, analysis, decisions)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
