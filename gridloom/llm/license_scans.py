@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -282,12 +282,12 @@ def train(spark: SparkSession, documents: DataFrame | None = None, labels: DataF
         lines = lines.select("text", ngrams("words", (2, 3)).alias("grams")).crossJoin(F.broadcast(flat)).where(_overlap(F.col("templates"), F.col("grams")) <= max_overlap)
         data = data.unionByName(lines.select(F.lit(UNKNOWN_LABEL).alias("family"), "text", (F.pmod(F.xxhash64("text"), F.lit(3)) == 0).alias("held")))
     data = data.select("family", "held", words(F.col("text")).alias("words")).select("family", "held", ngrams("words").alias("grams")).coalesce(1).cache()
-    stages = [
-        StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc"),
-        CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 14),
-        LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0005, maxIter=60),
-    ]
-    model = Pipeline(stages=stages).fit(data.where("not held").select("family", "grams"))
+    fit = data.where("not held").select("family", "grams")
+    # the vocabulary is that of the template variants: other n-grams would only make it longer
+    vector = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0, vocabSize=1 << 12).fit(fit.where(F.col("family") != UNKNOWN_LABEL))
+    index = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(fit)
+    field = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.0005, maxIter=40).fit(vector.transform(index.transform(fit)))
+    model = PipelineModel([index, vector, field])
     held = _scored(model, data.where("held").select("family", "grams")).join(templates, F.col("guess") == F.col("t_family"), "left")
     held = held.select("family", "guess", "x", _overlap(F.col("templates"), F.col("grams")).alias("overlap"), (F.col("family") == F.col("guess")).cast("double").alias("label"))
     held = VectorAssembler(inputCols=["x"], outputCol="features").transform(held).cache()
