@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import correlation, ratio
+from gridloom.operators.order import running_totals
+from gridloom.sources.scratch import checkpointed
 
 
 def average_rank(x: str, keys: list[str], digits: int = 12) -> Column:
@@ -56,11 +58,26 @@ def bootstrap_spearman(df: DataFrame, keys: list[str], x: str, y: str, draws: in
     return rho.groupBy(*keys).agg(F.percentile("rho", F.lit(0.025)).alias("low"), F.percentile("rho", F.lit(0.975)).alias("high"), F.count("rho").alias("draws"))
 
 
+def value_ranks(long: DataFrame, keys: list[str], x: str, name: str, digits: int = 12) -> DataFrame:
+    """long with the mean rank of x in its group: distinct values are counted first, and the counts added up by ranges."""
+    own = long.withColumn("_v", F.round(F.col(x).cast("double"), digits))
+    counts = own.groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    places = running_totals(checkpointed(counts), keys, "_v", ["_n"]).select(*keys, "_v", (F.col("before__n") + (F.col("_n") + 1) / 2.0).alias(name))
+    return own.join(places, [*keys, "_v"]).drop("_v")
+
+
 def pair_matrix(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
-    """a, b and rho for each pair of columns with a < b, over rows in which both are there."""
-    keys = keys or []
+    """a, b, n and rho for each pair of columns with a < b, over rows in which both are there.
+
+    With keys the groups are short series, ranked in windows. Without, a pair is as long as the table, so its ranks
+    come from counts of distinct values.
+    """
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    return spearman(df.select(*keys, F.inline(F.array(*pairs))), [*keys, "a", "b"], "x", "y")
+    if keys:
+        return spearman(df.select(*keys, F.inline(F.array(*pairs))), [*keys, "a", "b"], "x", "y")
+    long = df.select(F.inline(F.array(*pairs))).where("x is not null and y is not null")
+    own = value_ranks(value_ranks(long, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
+    return own.groupBy("a", "b").agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho")).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
 
 def clusters(edges: DataFrame, nodes: DataFrame, max_rounds: int = 30) -> DataFrame:
@@ -71,7 +88,8 @@ def clusters(edges: DataFrame, nodes: DataFrame, max_rounds: int = 30) -> DataFr
     now = nodes.select("node", F.col("node").alias("cluster"))
     for _ in range(max_rounds):
         near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("near"))
-        new = now.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), F.col("cluster").alias("was")).cache()
+        new = now.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"), F.col("cluster").alias("was"))
+        new = checkpointed(new)
         if not new.where("cluster <> was").limit(1).count():
             return new.drop("was")
         now = new.drop("was")

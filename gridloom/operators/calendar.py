@@ -35,7 +35,7 @@ def lag_windows(years: DataFrame, season_start: Column, lags: tuple[int, ...] =
 
 def in_interval(points: DataFrame, intervals: DataFrame, x: str, label: str, default: str) -> DataFrame:
     """Label of the interval (first, last: a short dimension) that holds x, else the default."""
-    out = points.join(F.broadcast(intervals.select(F.col("first").alias("_a"), F.col("last").alias("_b"), label)), (F.col(x) >= F.col("_a")) & (F.col(x) <= F.col("_b")), "left")
+    out = points.join(intervals.select(F.col("first").alias("_a"), F.col("last").alias("_b"), label), (F.col(x) >= F.col("_a")) & (F.col(x) <= F.col("_b")), "left")
     return out.withColumn(label, F.coalesce(label, F.lit(default))).drop("_a", "_b")
 
 

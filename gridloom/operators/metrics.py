@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import clip, correlation, percent_improvement, ratio
+from gridloom.operators.order import exact_quantiles, running_totals
+from gridloom.sources.scratch import checkpointed
 
 
 def error_metrics(y: str = "observed", f: str = "predicted") -> dict[str, Column]:
@@ -54,23 +56,23 @@ def score_counts(df: DataFrame, keys: list[str], score: str, positive: Column) -
 
 def roc_auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Tie-aware area under the ROC curve; NULL with one class only."""
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    own = score_counts(df, keys, score, positive).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg")))
+    own = running_totals(checkpointed(score_counts(df, keys, score, positive)), keys, score, ["neg"])
+    won = F.sum(F.col("pos") * (F.col("before_neg") + 0.5 * F.col("neg")))
     return own.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), won.alias("won")).select(*keys, "n_pos", "n_neg", ratio(F.col("won"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Step sum of precision over the rises of recall, thresholds from the top."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    own = score_counts(df, keys, score, positive).withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    counts = score_counts(df, keys, score, positive).withColumn("from_top", -F.col(score))
+    own = running_totals(checkpointed(counts), keys, "from_top", ["pos", "neg"])
+    own = own.withColumns({"tp": F.col("before_pos") + F.col("pos"), "fp": F.col("before_neg") + F.col("neg")})
     return own.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s")).select(*keys, "n_pos", ratio(F.col("s"), F.col("n_pos")).alias("average_precision"))
 
 
 def quantile_bins(df: DataFrame, keys: list[str], x: str, bins: int) -> DataFrame:
     """df with bin: right-closed intervals between the distinct linear quantiles of x in each group."""
-    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile(x, F.array(*(F.lit(k / bins) for k in range(1, bins))))).alias("_cuts"))
-    own = df.join(F.broadcast(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))
+    cuts = exact_quantiles(df, keys, x, [k / bins for k in range(1, bins)]).select(*keys, F.array_distinct("quantiles").alias("_cuts"))
+    own = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))
     return own.withColumn("bin", F.size(F.filter("_cuts", lambda c: c < F.col(x))) + 1).drop("_cuts")
 
 
@@ -88,7 +90,7 @@ def expected_error(bins: DataFrame, keys: list[str]) -> DataFrame:
 def extremes(df: DataFrame, keys: list[str], q: float = 0.9, y: str = "observed", f: str = "predicted") -> DataFrame:
     """Metrics on the rows at or above the quantile q of the positive observations of each group."""
     cut = df.where(F.col(y) > 0).groupBy(*keys).agg(F.percentile(F.col(y).cast("double"), F.lit(q)).alias("threshold"))
-    own = df.join(F.broadcast(cut), keys).where(F.col(y) >= F.col("threshold"))
+    own = df.join(cut, keys).where(F.col(y) >= F.col("threshold"))
     m = error_metrics(y, f)
     return own.groupBy(*keys).agg(F.first("threshold").alias("threshold"), *(m[k].alias(k) for k in ("n", "rmse", "mae", "bias", "total_ratio")))
 
@@ -191,7 +193,7 @@ def cluster_bootstrap(sums: DataFrame, keys: list[str], strata: list[str], clust
     u = (F.xxhash64(F.lit(seed), "draw", *strata, cluster).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     total, term, k = None, 1.0, 0
     cumulative = []
-    while k < 8:
+    while k < 18:  # a double tells no further step of the distribution apart
         term = term / k if k else 0.36787944117144233
         total = term if total is None else total + term
         cumulative.append(total)

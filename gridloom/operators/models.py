@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import clip, erfc, ratio
 from gridloom.functions.scalar import correlation as pearson
+from gridloom.operators.order import numbered
 
 
 def assembled(df: DataFrame, features: list[str], name: str = "features") -> DataFrame:
@@ -107,13 +108,14 @@ def first_component(df: DataFrame, features: list[str], anchor: str, groups: lis
     sign = own.agg(F.when(pearson(F.col("_s"), F.col(anchor)) < 0, -1.0).otherwise(1.0).alias("_sign"))
     own = own.crossJoin(F.broadcast(sign)).withColumn("_s", F.col("_s") * F.col("_sign"))
     scale = own.groupBy(*groups).agg(F.avg("_s").alias("_m"), F.stddev_samp("_s").alias("_d"))
-    return own.join(F.broadcast(scale), groups).withColumn("score", ratio(F.col("_s") - F.col("_m"), F.col("_d"))).drop("_v", "_z", "_pc", "_s", "_sign", "_m", "_d")
+    return own.join(scale, groups).withColumn("score", ratio(F.col("_s") - F.col("_m"), F.col("_d"))).drop("_v", "_z", "_pc", "_s", "_sign", "_m", "_d")
 
 
 def permutation_importance(df: DataFrame, features: list[str], groups: dict[str, list[str]], y: str, repeats: int = 3, seed: int = 2026) -> DataFrame:
     """Rise of the log loss of an occurrence model when a group of columns is shuffled together, over repeats.
 
-    A shuffle deals the columns' values by row order of a hash: the rows are numbered twice and joined on the number."""
+    A shuffle deals the columns' values by row order of a hash: the rows are numbered twice and joined on the number,
+    each time by ranges of the hash, so no task sees the whole table."""
     own = df.withColumns({"_o": (F.col(y) > 0).cast("double"), "_id": F.xxhash64(*df.columns)})
     model = LogisticRegression(labelCol="_o", probabilityCol="_p", maxIter=50).fit(assembled(own, features))
 
@@ -125,9 +127,8 @@ def permutation_importance(df: DataFrame, features: list[str], groups: dict[str,
     out = None
     for name, columns in groups.items():
         for k in range(repeats):
-            n = Window.orderBy(F.xxhash64(F.lit(seed), F.lit(k), "_id"), "_id")
-            shuffled = own.select(F.row_number().over(n).alias("_n"), *columns)
-            rows = own.drop(*columns).withColumn("_n", F.row_number().over(Window.orderBy("_id")))
+            shuffled = numbered(own.select("_id", *columns), [], F.xxhash64(F.lit(seed), F.lit(k), "_id"), ["_id"], "_n").drop("_id")
+            rows = numbered(own.drop(*columns), [], F.col("_id"), ["_id"], "_n")
             part = loss(rows.join(shuffled, "_n")).select(F.lit(name).alias("feature"), F.lit(k).alias("repeat"), "loss")
             out = part if out is None else out.unionByName(part)
     delta = out.crossJoin(base.withColumnRenamed("loss", "base")).withColumn("delta", F.col("loss") - F.col("base"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import integer_like, ratio
+from gridloom.operators.order import exact_quantiles
 
 
 def quantile(x: str, q: float) -> Column:
@@ -27,7 +28,7 @@ def with_total_level(df: DataFrame, level: str, label) -> DataFrame:
 
 def complete(df: DataFrame, dimensions: list[DataFrame], keys: list[str], zeros: list[str]) -> DataFrame:
     """df on the full grid of the dimension tables (small ones), its measures 0 where a cell has no row."""
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dimensions)
+    grid = reduce(lambda a, b: a.crossJoin(b), dimensions)
     out = grid.join(df, keys, "left")
     return out.withColumns({z: F.coalesce(F.col(z), F.lit(0).cast(df.schema[z].dataType)) for z in zeros})
 
@@ -95,9 +96,11 @@ def inventory(df: DataFrame, variables: list[str], near_zero: float = 1e-12) ->
     cells = F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables))
     long = df.select(F.inline(cells))
     out = long.groupBy("variable").agg(
-        F.count("*").alias("n"), (F.count("*") - F.count("x")).alias("n_missing"), F.count_distinct("x").alias("n_unique"), F.min("x").alias("least"), quantile("x", 0.25).alias("q25"), F.median("x").alias("median"), quantile("x", 0.75).alias("q75"), F.max("x").alias("greatest"),
+        F.count("*").alias("n"), (F.count("*") - F.count("x")).alias("n_missing"), F.count_distinct("x").alias("n_unique"), F.min("x").alias("least"), F.max("x").alias("greatest"),
         F.avg("x").alias("mean"), moments("x")["skewness"].alias("skewness"), ratio(F.count_if(F.col("x") == 0), F.count("x")).alias("zero_rate"), ratio(F.count_if(F.col("x") < 0), F.count("x")).alias("negative_rate"), F.var_pop("x").alias("_v"),
     )
+    at = exact_quantiles(long, ["variable"], "x", [0.25, 0.5, 0.75]).select("variable", *(F.get("quantiles", k).alias(c) for k, c in enumerate(("q25", "median", "q75"))))
+    out = out.join(at, "variable", "left")
     reason = F.when(F.col("n_missing") == F.col("n"), "all missing").when(F.col("n_unique") <= 1, "constant").when(F.col("_v") <= near_zero, "near-zero variance").otherwise("")
     advice = F.when((F.abs("skewness") >= 2) & (F.col("least") >= 0), "log1p").when(F.abs("skewness") >= 2, "power").otherwise("none")
     return out.withColumns({"exclusion": reason, "transformation": advice}).drop("_v")
@@ -148,7 +151,7 @@ def zscore(df: DataFrame, groups: list[str], variables: list[str], population: b
     whole = reduce(lambda a, b: a & b, (F.col(v).isNotNull() for v in variables))
     sd = F.stddev_pop if population else F.stddev_samp
     own = df.where(whole).groupBy(*groups).agg(*(F.avg(v).alias(f"_m_{v}") for v in variables), *(sd(v).alias(f"_s_{v}") for v in variables))
-    out = df.join(F.broadcast(own), groups, "left") if groups else df.crossJoin(F.broadcast(own))
+    out = df.join(own, groups, "left") if groups else df.crossJoin(F.broadcast(own))
     return out.withColumns({f"{v}_z": ratio(F.col(v) - F.col(f"_m_{v}"), F.col(f"_s_{v}")) for v in variables}).drop(*(f"_{k}_{v}" for k in "ms" for v in variables))
 
 
@@ -195,10 +198,12 @@ def separation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.withColumns({"overlap": ratio(overlap, span), "separated": (F.col("pos_min") > F.col("zero_max")) | (F.col("zero_min") > F.col("pos_max"))})
 
 
-def content_signature(df: DataFrame, buckets: int = 1024) -> DataFrame:
-    """SHA-256 of a table's rows whatever their order: of the sorted row digests, by bucket and then of the buckets.
+def content_signature(df: DataFrame) -> DataFrame:
+    """n_rows and a signature of a table's rows whatever their order: sums of the two halves of each row's MD5.
 
-    Rows are digested where they are; a bucket holds a share of the digests, and only bucket digests meet."""
-    row = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns))), 256)
-    parts = df.select(row.alias("h")).groupBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return parts.agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), ""), 256).alias("signature"))
+    Rows are digested where they are and only sums move, so memory does not grow with the table. Columns go by name.
+    """
+    row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in sorted(df.columns))))
+    half = lambda at: F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)"))
+    parts = df.agg(F.count("*").alias("n_rows"), F.coalesce(half(1), F.lit(0)).cast("string").alias("a"), F.coalesce(half(17), F.lit(0)).cast("string").alias("b"))
+    return parts.select("n_rows", F.md5(F.concat_ws(":", F.col("n_rows").cast("string"), "a", "b")).alias("signature"))

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.order import numbered
+from gridloom.sources.scratch import checkpointed
+
 
 def nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", key: str = "grid_uid", rounds: int = 40) -> DataFrame:
     """source, neighbour, rank, distance of each point's k nearest others, ties by key: exact, without a cross join.
@@ -29,12 +32,13 @@ def nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", key: str = "g
         there = own.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
         d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
         found = asked.join(there, ["cx", "cy"]).where("id <> other").select("id", "other", d.alias("distance"))
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k)
+        # written out: both the settled points and the result read a round's pairs
+        found = checkpointed(found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k))
         last = width >= span
-        settled = found.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= width))).select("id").cache()
+        settled = found.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= width))).select("id")
         part = found.join(settled, "id").select(F.col("id").alias("source"), F.col("other").alias("neighbour"), "rank", "distance")
         done = part if done is None else done.unionByName(part)
-        open_points = open_points.join(settled, "id", "left_anti").cache()
+        open_points = open_points.join(settled, "id", "left_anti")
         if last or not open_points.limit(1).count():
             return done
         width *= 2
@@ -60,21 +64,23 @@ def moran(points: DataFrame, edges: DataFrame, value: str, key: str = "grid_uid"
     return mean.crossJoin(s).select("n", (F.col("a") / F.col("s0") / F.col("s2")).alias("moran"), (-1.0 / (F.col("n") - 1)).alias("expected"))
 
 
-def moran_permutation(points: DataFrame, edges: DataFrame, value: str, permutations: int, key: str = "grid_uid", seed: int = 2026) -> DataFrame:
+def moran_permutation(points: DataFrame, edges: DataFrame, value: str, permutations: int, key: str = "grid_uid", seed: int = 2026, batch: int = 250) -> DataFrame:
     """moran() with the pseudo p of `permutations` shuffles of the values: two-sided on |I - E|, z and its spread.
 
-    A permutation deals the values by the order of a hash of seed, permutation and place. Sums of z are the same in all
-    permutations, so each needs the weighted cross products only; permutations are spread over the cluster by their number."""
+    A permutation deals the values by the order of a hash of seed, permutation and place; points are numbered by
+    ranges of the hash. A point holds its values of `batch` permutations as one array, so an edge is joined once for a
+    batch and multiplies arrays; only sums by permutation move on."""
     own = points.select(F.col(key).alias("id"), F.col(value).cast("double").alias("v")).where("v is not null")
     real = moran(points, edges, value, key)
-    numbered = own.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")))
-    mean = own.agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2"), F.count("*").alias("n"))
-    copies = numbered.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = copies.select("draw", "id", F.row_number().over(Window.partitionBy("draw").orderBy(F.xxhash64(F.lit(seed), "draw", "id"), "id")).alias("i"))
-    shuffled = order.join(F.broadcast(numbered.select("i", "v")), "i").crossJoin(F.broadcast(mean)).select("draw", "id", (F.col("v") - F.col("m")).alias("z"))
+    mean = own.agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2"))
+    base = numbered(own, [], F.xxhash64(F.lit(seed), "id"), ["id"], "i").crossJoin(F.broadcast(mean)).select("i", (F.col("v") - F.col("m")).alias("z"))
+    copies = own.select("id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("draw"))
+    order = numbered(copies, ["draw"], F.xxhash64(F.lit(seed), "draw", "id"), ["id"], "i", bits=4)
+    dealt = order.join(base, "i").groupBy("id", F.floor(F.col("draw") / batch).alias("part")).agg(F.array_sort(F.collect_list(F.struct("draw", "z"))).alias("zs"))
+    dealt = checkpointed(dealt.select("id", "part", F.transform("zs", lambda s: s["z"]).alias("zs")))
     e = edges.select("source", "neighbour", (1.0 / F.count("*").over(Window.partitionBy("source"))).alias("w"))
-    pair = shuffled.select("draw", F.col("id").alias("source"), F.col("z").alias("zi")).join(e, "source").join(shuffled.select("draw", F.col("id").alias("neighbour"), F.col("z").alias("zj")), ["draw", "neighbour"])
-    each = pair.groupBy("draw").agg((F.sum(F.col("w") * F.col("zi") * F.col("zj")) / F.sum("w")).alias("a")).crossJoin(F.broadcast(mean)).select("draw", (F.col("a") / F.col("s2")).alias("i"))
-    both = each.crossJoin(F.broadcast(real))
+    pair = e.join(dealt.select(F.col("id").alias("source"), "part", F.col("zs").alias("a")), "source").join(dealt.select(F.col("id").alias("neighbour"), "part", F.col("zs").alias("b")), ["neighbour", "part"])
+    each = pair.select("part", "w", F.posexplode(F.zip_with("a", "b", lambda a, b: a * b)).alias("k", "c")).groupBy("part", "k").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("a"))
+    both = each.crossJoin(F.broadcast(mean)).select((F.col("a") / F.col("s2")).alias("i")).crossJoin(F.broadcast(real))
     hit = F.count_if(F.abs(F.col("i") - F.col("expected")) >= F.abs(F.col("moran") - F.col("expected")))
     return both.agg(F.first("n").alias("n"), F.first("moran").alias("moran"), F.first("expected").alias("expected"), ((hit + 1) / (F.count("*") + 1)).alias("p"), ((F.first("moran") - F.avg("i")) / F.stddev_samp("i")).alias("z"))

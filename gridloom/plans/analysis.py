@@ -159,7 +159,7 @@ def loyo_summary(spark, sf):
 
 @query("spearman_bootstrap_ci")
 def spearman_bootstrap_ci(spark, sf):
-    return rounded(A.bootstrap_spearman(_assoc(spark, sf).where("window = 'Lag30'"), _KEYS, "mean", "fc", 200))
+    return rounded(A.bootstrap_spearman(_assoc(spark, sf), _KEYS, "mean", "fc", 2000))
 
 
 @query("lag_intercorrelation", sql("monthly", _WINDOWS.rstrip() + f""", p AS (SELECT a.index, a.win AS a, b.win AS b, a.mean AS x, b.mean AS y FROM wv a JOIN wv b ON a.year = b.year AND a.season = b.season AND a.index = b.index AND a.win < b.win WHERE a.mean IS NOT NULL AND b.mean IS NOT NULL), k AS (SELECT index, a, b, {_rk("x", "index, a, b")} AS p, {_rk("y", "index, a, b")} AS q FROM p)
@@ -212,7 +212,7 @@ def moran_i(spark, sf):
 @query("moran_permutation")
 def moran_permutation(spark, sf):
     own = pts(spark, sf)
-    return rounded(X.moran_permutation(own, X.nearest(own, 8), "value", 199))
+    return rounded(X.moran_permutation(own, X.nearest(own, 8), "value", 9999))
 
 
 _PATHS = [("spring", "temp", "dry", 0.42), ("spring", "dry", "fire", 0.31), ("spring", "temp", "fire", -0.12), ("summer", "temp", "dry", 0.25), ("summer", "dry", "fuel", -0.4), ("summer", "fuel", "fire", 0.5), ("summer", "temp", "fire", 0.2)]
@@ -253,7 +253,7 @@ def glm_poisson_offset(spark, sf):
 @query("hurdle_rf_oof")
 def hurdle_rf_oof(spark, sf):
     own = panel(spark, sf).withColumn("fold", F.col("year") % 3)
-    return rounded(L.hurdle_forest(own, ["x1", "x2", "x3", "x4", "pixels"], "fire_count", "fold", trees=20, depth=6).select("grid_uid", "year", "season", "fold", "fire_count", "p", "severity", "predicted"))
+    return rounded(L.hurdle_forest(own, ["x1", "x2", "x3", "x4", "pixels"], "fire_count", "fold").select("grid_uid", "year", "season", "fold", "fire_count", "p", "severity", "predicted"))
 
 
 @query("kmeans_blocks")

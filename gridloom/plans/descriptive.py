@@ -300,6 +300,10 @@ def range_separation(spark, sf):
     return rounded(P.separation(panel(spark, sf), ["season"], "x1", "fire_count"))
 
 
-@query("content_signature")
+@query("content_signature", """
+WITH r AS (SELECT md5(concat_ws('|', o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderkey, o_orderpriority, o_orderstatus, CAST(o_totalprice AS DECIMAL(18, 2)))) AS h FROM orders),
+s AS (SELECT count(*) AS n_rows, sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS a, sum(CAST(CAST('0x' || substr(h, 17, 15) AS BIGINT) AS HUGEINT)) AS b FROM r)
+SELECT n_rows, md5(concat_ws(':', n_rows, a, b)) AS signature FROM s""")
 def content_signature(spark, sf):
-    return P.content_signature(table(spark, sf, "orders"))
+    own = table(spark, sf, "orders").withColumns({"o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")})
+    return P.content_signature(own)

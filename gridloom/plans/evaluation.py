@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalar as S
 from gridloom.operators import metrics as M
+from gridloom.operators.order import exact_quantiles
 from gridloom.plans.descriptive import rounded
 from gridloom.plans.relations import oof, panel, sql
 
@@ -147,7 +148,7 @@ def cluster_sufficient_stats(spark, sf):
 @query("cluster_bootstrap_ci")
 def cluster_bootstrap_ci(spark, sf):
     sums = M.cluster_sums(oof(spark, sf), ["model", "country", "grid_uid"])
-    draws = M.cluster_bootstrap(sums, ["model"], ["country"], "grid_uid", 500)
+    draws = M.cluster_bootstrap(sums, ["model"], ["country"], "grid_uid", 2000)
     pairs = M.paired(draws.select("model", "draw", "rmse"), ["draw"], "model", "rmse", [("grid", "season"), ("country", "season"), ("grid", "country")])
     return rounded(M.percentile_interval(pairs, ["candidate", "reference"], "difference"))
 
@@ -188,7 +189,8 @@ def one_standard_error_rule(spark, sf):
 SELECT grid_uid, year, season, round(0.5 * (CAST(fire_count AS DOUBLE) / pixels / f + CAST(burned_count AS DOUBLE) / pixels / b), 6) AS fai, fire_count + burned_count > 0 AS occurrence FROM panel, q"""))
 def fai_q95_panel(spark, sf):
     own = panel(spark, sf).withColumns({"f": S.ratio(F.col("fire_count"), F.col("pixels")), "b": S.ratio(F.col("burned_count"), F.col("pixels"))})
-    cut = own.agg(F.percentile(F.when(F.col("f") > 0, F.col("f")), F.lit(0.95)).alias("fq"), F.percentile(F.when(F.col("b") > 0, F.col("b")), F.lit(0.95)).alias("bq"))
+    q95 = lambda c: exact_quantiles(own.where(F.col(c) > 0), [], c, [0.95]).select(F.get("quantiles", 0).alias(f"{c}q"))
+    cut = q95("f").crossJoin(q95("b"))
     fai = 0.5 * (F.col("f") / F.col("fq") + F.col("b") / F.col("bq"))
     return rounded(own.crossJoin(F.broadcast(cut)).select("grid_uid", "year", "season", fai.alias("fai"), (F.col("fire_count") + F.col("burned_count") > 0).alias("occurrence")))
 

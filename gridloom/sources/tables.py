@@ -81,7 +81,10 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Append df as Parquet; fails if a key is there already. Returns the rows written."""
+    """Append df as Parquet; fails if a key is there already. Returns the rows written.
+
+    For one writer at a time: a plain folder of files has no lock. df is computed once for the check and once for the write.
+    """
     spark = df.sparkSession
     try:
         there = spark.read.parquet(path).select(*keys)
@@ -91,8 +94,9 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
         there = None
     if there is not None and df.join(there, keys, "left_semi").limit(1).count():
         raise ValueError("some keys are in the table already")
+    before = spark.read.parquet(path).count() if there is not None else 0
     df.write.mode("append").parquet(path)
-    return df.count()
+    return spark.read.parquet(path).count() - before
 
 
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from gridloom.operators.calendar import sessions, sliding, tumbling
+from gridloom.sources.scratch import shared_dir
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
@@ -26,8 +27,12 @@ def windowed(stream: DataFrame, kind: str, keys: list[str], width: str, slide: s
 
 
 def run_to_end(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """The result table of a stream once all available input is read (window results only: they fit the driver)."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """The result table of a stream once all available input is read: the last batch's, written by the executors.
+
+    Each batch of the complete mode replaces the table before it in the shared folder; in the append mode they add up."""
+    spark = result.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    how = "overwrite" if mode == "complete" else "append"
+    query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(lambda batch, _: batch.write.mode(how).parquet(f"{path}-rows")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(f"{path}-rows")
