@@ -23,6 +23,7 @@ from gridloom.llm.common import mix, prefix_hashes, span_hashes, texts
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 _LAST = 2**63 - 1
+HOT = 1000
 _PACKED = "bucket int, block long, kind int, packed binary, orders binary, runs binary"
 
 
@@ -30,20 +31,25 @@ class Block:
     """The bytes of a block's documents in the order of doc_id, with the places of suffixes and cover samples."""
 
     def __init__(self, packs: pd.DataFrame, length: int):
-        rows = []
+        found: dict[tuple[int, int], list] = {}
         for cells, size, body in zip(packs["cells"], packs["size"], packs["body"], strict=True):
             body = pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
             at = 0
-            for order, row_key, n, null in np.frombuffer(cells, np.int64).reshape(-1, 4).tolist():
-                rows.append((order, body[at : at + n], row_key, null))
+            for order, row_key, n, null, count in np.frombuffer(cells, np.int64).reshape(-1, 5).tolist():
+                # a row that repeats is held once, with the number of its repeats
+                if (order, row_key) in found:
+                    found[order, row_key][2] += count
+                else:
+                    found[order, row_key] = [body[at : at + n], null, count]
                 at += n
-        rows.sort()
+        rows = sorted(found.items(), key=lambda r: r[0])
         self.length = length
-        self.doc_id = [None if r[3] else r[0] for r in rows]
-        self.ord, self.row_key = (np.array([r[k] for r in rows], np.int64) for k in (0, 2))
-        self.size = np.array([len(r[1]) for r in rows], np.int64)
+        self.doc_id = [None if r[1] else k[0] for k, r in rows]
+        self.count = [r[2] for _, r in rows]
+        self.ord, self.row_key = (np.array([k[i] for k, _ in rows], np.int64) for i in (0, 1))
+        self.size = np.array([len(r[0]) for _, r in rows], np.int64)
         self.start = np.cumsum(self.size) - self.size
-        self.data = np.frombuffer(b"".join([r[1] for r in rows]), np.uint8)
+        self.data = np.frombuffer(b"".join([r[0] for _, r in rows]), np.uint8)
         self.sums = prefix_hashes(self.data)
 
     def samples(self, skip: np.ndarray) -> np.ndarray:
@@ -85,11 +91,11 @@ class Block:
 
 
 def pack_documents(batches, pack_bytes: int):
-    """Rows of block, doc_id, ord, row_key and text as one compressed row for each block and pack_bytes of text."""
+    """Rows of block, doc_id, ord, row_key and text as one compressed row for each block and pack_bytes of text; repeated rows once."""
 
     def packed(groups: dict) -> pa.RecordBatch:
-        bodies = [b"".join([r[3] for r in rows]) for rows in groups.values()]
-        cells = [np.array([(r[0], r[1], len(r[3]), r[2]) for r in rows], np.int64).tobytes() for rows in groups.values()]
+        bodies = [b"".join([r[1] for r in rows.values()]) for rows in groups.values()]
+        cells = [np.array([(*k, len(r[1]), r[0], r[2]) for k, r in rows.items()], np.int64).tobytes() for rows in groups.values()]
         body = [codec.compress(b, asbytes=True) if b else b"" for b in bodies]
         return pa.RecordBatch.from_arrays([pa.array(list(groups), pa.int64()), pa.array(cells, pa.binary()), pa.array([len(b) for b in bodies], pa.int64()), pa.array(body, pa.binary())], ["block", "cells", "size", "body"])
 
@@ -97,8 +103,12 @@ def pack_documents(batches, pack_bytes: int):
     groups, total = {}, 0
     for batch in batches:
         for block, doc_id, order, row_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = groups.setdefault(block, {})
+            if (order, row_key) in rows:
+                rows[order, row_key][2] += 1
+                continue
             raw = text.encode("utf-8", "surrogatepass")
-            groups.setdefault(block, []).append((order, row_key, doc_id is None, raw))
+            rows[order, row_key] = [doc_id is None, raw, 1]
             total += len(raw)
             if total >= pack_bytes:
                 yield packed(groups)
@@ -179,21 +189,22 @@ def emit_suffixes(docs: pd.DataFrame, messages: pd.DataFrame, length: int, name_
     at = _candidates(block, messages, name_buckets)
     key, bucket, first = block.keys(at, buckets)
     at, key, bucket = at[first], key[first], bucket[first]
-    order = block.ord[np.searchsorted(block.start + block.size, at, side="right")]
+    doc = np.searchsorted(block.start + block.size, at, side="right")
     out = []
     for b, i in _by_bucket(bucket, buckets):
-        change = np.flatnonzero(np.r_[True, order[i][1:] != order[i][:-1]])
+        change = np.flatnonzero(np.r_[True, doc[i][1:] != doc[i][:-1]])
         runs = np.diff(np.r_[change, len(i)]).astype(np.int32)
-        out.append(_row(b, int(docs["block"].iloc[0]), 0, key[i], order[i][change].tobytes(), runs.tobytes()))
+        of = doc[i][change]
+        out.append(_row(b, int(docs["block"].iloc[0]), 0, key[i], np.r_[block.ord[of], block.row_key[of]].tobytes(), runs.tobytes()))
     return _frame(out)
 
 
 def later_suffixes(rows: pd.DataFrame) -> pd.DataFrame:
     """For each block of one bucket, bits: which of its suffixes have an equal one in an earlier document."""
     parts = [np.frombuffer(p, np.uint64) for p in rows["packed"]]
-    order = [np.repeat(np.frombuffer(o, np.int64), np.frombuffer(r, np.int32)) for o, r in zip(rows["orders"], rows["runs"], strict=True)]
-    keys, orders = np.concatenate(parts), np.concatenate(order)
-    rank = np.lexsort((orders, keys))
+    order = [np.repeat(np.frombuffer(o, np.int64).reshape(2, -1), np.frombuffer(r, np.int32), axis=1) for o, r in zip(rows["orders"], rows["runs"], strict=True)]
+    keys, orders = np.concatenate(parts), np.concatenate(order, axis=1)
+    rank = np.lexsort((orders[1], orders[0], keys))
     sorted_keys = keys[rank]
     later = np.zeros(len(keys), bool)
     later[rank[1:][sorted_keys[1:] == sorted_keys[:-1]]] = True
@@ -225,15 +236,18 @@ def cut_block(docs: pd.DataFrame, messages: pd.DataFrame, length: int, name_buck
     np.add.at(mark, at[later] + length, -1)
     removed = np.cumsum(mark)[:-1] > 0
     out = []
-    for doc_id, s, n, copy in zip(block.doc_id, block.start, block.size, copies, strict=True):
+    for doc_id, s, n, copy, count in zip(block.doc_id, block.start, block.size, copies, block.count, strict=True):
         cut = removed[s : s + n]
         if copy and n >= length:
             cut = np.ones(n, bool)
         kept = block.data[s : s + n][~cut].tobytes()
         spans = int(np.count_nonzero(np.diff(np.r_[False, cut].astype(np.int8)) == 1))
         out.append((doc_id, n, int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+        if count > 1:  # the repeats start later than all of the first row's strings
+            again = (doc_id, n, n, 1, hashlib.sha256(b"").hexdigest(), b"") if n >= length else out[-1]
+            out += [again] * (count - 1)
     out = pd.DataFrame(out, columns=columns)
-    out["doc_id"] = pd.array(block.doc_id, "Int64")
+    out["doc_id"] = pd.array(out["doc_id"], "Int64")
     return out
 
 
@@ -242,9 +256,9 @@ def dedup_suffixes(df: DataFrame, length: int = 100, block_bytes: int = 4_000_00
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a smaller doc_id, or earlier in
     the same document. Strings are judged on the input. A null text is the empty one, shorter texts stay whole,
-    null doc_ids come last. Rows that share a doc_id follow each other in the order of their texts, so the second
-    of two equal rows counts as later. An empty table gives an empty result; further columns are ignored.
-    keep_bytes=False leaves out `kept`.
+    null doc_ids come last. Rows that share a doc_id, or have none, follow each other in the order of a hash of their
+    texts, so they are dealt to the blocks like others; the second of two equal rows counts as later. An empty table
+    gives an empty result; further columns are ignored. keep_bytes=False leaves out `kept`.
 
     Memory is bounded by a block (about block_bytes of text) and a bucket (about bucket_entries names or suffixes;
     a frequent string enters once from each block). A later exact copy of a text is settled by its hash, so its
@@ -254,16 +268,20 @@ def dedup_suffixes(df: DataFrame, length: int = 100, block_bytes: int = 4_000_00
     if length <= PERIOD + 8:
         raise ValueError(f"length must be over {PERIOD + 8}")
     base = texts(df).withColumns({"ord": F.coalesce("doc_id", F.lit(_LAST)), "row_key": F.xxhash64("doc_id", "text")})
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, n_rows = base.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    total = total or 0
     blocks = max(1, -(-total // block_bytes))
     name_buckets = max(1, -(-total * len(COVER) // PERIOD // bucket_entries))
     buckets = max(1, -(-total // 3 // bucket_entries))
-    dealt = base.select(F.pmod(F.xxhash64("ord"), F.lit(blocks)).alias("block"), "doc_id", "ord", "row_key", "text")
+    dealt = base.select(F.pmod(F.xxhash64("row_key"), F.lit(blocks)).alias("block"), "doc_id", "ord", "row_key", "text")
     dealt = dealt.mapInArrow(lambda batches: pack_documents(batches, 2 * block_bytes), "block long, cells binary, size long, body binary")
 
     same = base.select("ord", "row_key", F.octet_length("text").alias("n"), F.md5("text").alias("text_md5")).where(F.col("n") >= length)
-    firsts = same.groupBy("text_md5", "n").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("text_md5", "n", "least")
-    copies = same.join(firsts, ["text_md5", "n"]).where("ord > least").select(F.pmod(F.xxhash64("ord"), F.lit(blocks)).alias("block"), "row_key")
+    firsts = same.groupBy("text_md5", "n").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count("*").alias("rows")).where("least < most")
+    # groups with over a HOT-th of the rows are fewer than HOT, so they are broadcast and their rows stay where they are
+    often = F.broadcast(firsts.where(F.col("rows") * HOT > n_rows).select("text_md5", "n", "least"))
+    rest = same.join(often, ["text_md5", "n"], "left_anti").join(firsts.where(F.col("rows") * HOT <= n_rows).select("text_md5", "n", "least"), ["text_md5", "n"])
+    copies = same.join(often, ["text_md5", "n"]).unionByName(rest).where("ord > least").select(F.pmod(F.xxhash64("row_key"), F.lit(blocks)).alias("block"), "row_key")
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         return _frame([_row(0, int(rows["block"].iloc[0]), 3, np.unique(rows["row_key"].to_numpy(np.int64)))])

@@ -178,6 +178,23 @@ def test_suffix_edges(edges, empty):
     assert suffix_dedup.dedup_suffixes(empty).count() == 0
 
 
+def test_suffix_rows_without_and_with_shared_ids(make):
+    """Rows without a doc_id are dealt to many blocks; of equal rows one is the first, whatever block they are in."""
+    rng = random.Random(16)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    shared = word(180)
+    rows = [(None, word(300) + shared + word(100)) for _ in range(30)] + [(5, word(200) + shared) for _ in range(10)]
+    rows += [rows[0]] * 40 + [rows[35]] * 40 + [(6, "short")] * 20
+    got = suffix_dedup.dedup_suffixes(make(rows), block_bytes=2_000, bucket_entries=300).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    keyed = make(rows).selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS k").collect()
+    order = sorted(keyed, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k"]))
+    brute = brute_suffix([(k, r["text"]) for k, r in enumerate(order)], 100)
+    want = Counter((r["doc_id"], *brute[k][0]) for k, r in enumerate(order))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in got) == want
+    assert [bytes(r["kept"]) for r in got if r["doc_id"] == 6] == [b"short"] * 20
+
+
 def test_cover_is_a_difference_cover():
     n, d = suffix_dedup.PERIOD, suffix_dedup.COVER
     assert {(a - b) % n for a in d for b in d} == set(range(n)) and sorted(d) == list(d)
