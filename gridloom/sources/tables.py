@@ -99,6 +99,31 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     return spark.read.parquet(path).count() - before
 
 
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON documents, one a line or one a file; without a schema Spark infers it."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def recovered(df: DataFrame, path: str, part: dict[str, str | int], keys: list[str], rows: int | None = None) -> tuple[DataFrame, bool]:
+    """df from the stored part of a partitioned table if that is valid, else computed and written: (table, was there).
+
+    part names the partition (column: value) of path. A stored part is valid if its keys are unique and it has `rows`
+    rows, where given; one that is not is replaced. A write that was cut off has no success mark and counts as absent.
+    """
+    spark = df.sparkSession
+    place = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in part.items())])
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")):
+        own = spark.read.parquet(place)
+        n, distinct = own.agg(F.count("*"), F.count_distinct(F.struct(*keys))).first()
+        if n == distinct and (rows is None or n == rows):
+            return own, True
+    df.drop(*part).write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place), False
+
+
 def manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """file, size_bytes and sha256 of every file below path; each is read by one task, none by the driver."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

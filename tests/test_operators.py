@@ -138,3 +138,47 @@ def test_sources(spark, tmp_path):
     tables.write_csv(df, gz, compression="bzip2")
     assert tables.read_csv(spark, gz, "k int, v double", ["v"]).collect()[0]["v"] == 2.0
     assert tables.manifest(spark, str(tmp_path), "s.csv").first()["size_bytes"] == f.stat().st_size
+
+
+def test_json_and_recovery(spark, tmp_path):
+    own = spark.createDataFrame([(1, 2.5), (2, 3.5)], "k int, v double")
+    tables.write_json(own.coalesce(1), f"{tmp_path}/j")
+    assert tables.read_json(spark, f"{tmp_path}/j", "k int, v double").where("k = 1").first()["v"] == 2.5
+    part = {"season": 1, "response": "fc"}
+    _, was = tables.recovered(own, f"{tmp_path}/c", part, ["k"], 2)
+    again, there = tables.recovered(own.withColumn("v", F.col("v") + 1), f"{tmp_path}/c", part, ["k"], 2)
+    assert (was, there) == (False, True) and {r["v"] for r in again.collect()} == {2.5, 3.5}
+    new, there = tables.recovered(own.limit(1), f"{tmp_path}/c", part, ["k"], 1)
+    assert not there and new.count() == 1
+
+
+def test_order_operators_are_exact(spark):
+    import numpy as np
+
+    from gridloom.operators import order
+
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(round(v, 1))) for g, v in zip(rng.integers(0, 3, 900), rng.exponential(3, 900), strict=True)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    qs = [0.0, 0.05, 0.5, 0.77, 1.0]
+    for r in order.exact_quantiles(df, ["g"], "x", qs).collect():
+        own = [v for g, v in rows if g == r["g"]]
+        assert r["n"] == len(own) and np.allclose(r["quantiles"], np.quantile(own, qs))
+    counts = df.groupBy("g", "x").agg(F.count("*").alias("n"))
+    for r in order.running_totals(counts, ["g"], "x", ["n"], ranges=7).collect():
+        assert r["before_n"] == sum(g == r["g"] and v < r["x"] for g, v in rows)
+    places = [r["i"] for r in order.numbered(df.withColumn("id", F.monotonically_increasing_id()), [], F.xxhash64("id"), ["id"], "i").collect()]
+    assert sorted(places) == list(range(900))
+    assert order.exact_quantiles(df.limit(0), [], "x", [0.5]).first()["n"] is None
+
+
+def test_t_tail_and_components(spark):
+    from gridloom.functions.scalar import t_two_sided
+    from gridloom.operators import graph
+
+    # two-sided tails from tables: t(1) = 12.7062, t(5) = 2.5706, t(10) = 2.2281, t(30) = 2.0423 at 0.05, normal at the limit
+    got = spark.createDataFrame([(12.7062, 1), (2.5706, 5), (2.2281, 10), (2.0423, 30), (1.9600, 10**7), (4.3027, 2)], "t double, v long").select(t_two_sided(F.col("t"), F.col("v")).alias("p")).collect()
+    assert all(abs(r["p"] - 0.05) < 2e-5 for r in got)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30) if k % 10 != 9], "source long, neighbour long")
+    labels = {r["node"]: r["component"] for r in graph.weak_components(edges).collect()}
+    assert all(labels[k] == k - k % 10 for k in labels)
