@@ -178,11 +178,12 @@ def content_share(weights: np.ndarray, features: list[list[int]], sizes: list[in
     return sum(n for n, label in zip(sizes, viterbi(weights, features), strict=True) if label == CONTENT) / total if total else 0.0
 
 
-def train(documents: DataFrame, labels: DataFrame, max_documents: int = 1500, chunk: int = 40) -> np.ndarray:
+def train(documents: DataFrame, labels: DataFrame, max_documents: int = 1500, max_lines: int = 2000, chunk: int = 40) -> np.ndarray:
     """A field fitted on a bounded sample of labelled documents: the max_documents first by a hash of doc_id.
 
-    A document of quality 1 lends its lines as content, one of quality 0 as boilerplate. A line that occurs
-    under both qualities is content. Sequences are cut to `chunk` lines for the fit only.
+    Line labels are those of the documents: one of quality 1 lends its lines as content, one of quality 0 as
+    boilerplate, except lines whose features occur at least as often under quality 1. The fit (and nothing else)
+    takes max_lines lines of a document at most, and cuts them to sequences of `chunk` lines.
     """
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
@@ -191,11 +192,10 @@ def train(documents: DataFrame, labels: DataFrame, max_documents: int = 1500, ch
     def run(batches):
         for batch in batches:
             quality = batch.column(2).to_pylist()
-            found = [describe(t)[1] for t in batch.column(1).to_pylist()]
+            found = [describe(t)[1][:max_lines] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["quality", "features"])
 
     fitted = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "quality int, features array<array<int>>").collect()
-    good = {tuple(f) for q, fs in fitted if q for f in fs if f[-1] is not None}
     bad_count: dict[tuple, int] = {}
     good_count: dict[tuple, int] = {}
     for q, fs in fitted:
@@ -207,7 +207,7 @@ def train(documents: DataFrame, labels: DataFrame, max_documents: int = 1500, ch
     for q, fs in fitted:
         for a in range(0, len(fs), chunk):
             part = fs[a : a + chunk]
-            sequences.append((part, [CONTENT if q or (tuple(f) in good and good_count[tuple(f)] >= bad_count.get(tuple(f), 0)) else BOILERPLATE for f in part]))
+            sequences.append((part, [CONTENT if q or good_count.get(tuple(f), 0) >= bad_count[tuple(f)] else BOILERPLATE for f in part]))
     return fit_crf(sequences)
 
 
