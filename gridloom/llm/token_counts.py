@@ -36,7 +36,7 @@ def _counter(path: str, cache_words: int, batch_bytes: int):
         group, size = [], 0
         for k, piece in enumerate(new, 1):
             group.append(piece)
-            size += len(piece)
+            size += len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
             if size >= batch_bytes or k == len(new):
                 out.update(zip(group, (len(e) for e in tokenizer.encode_batch_fast(group, add_special_tokens=False)), strict=True))
                 group, size = [], 0
