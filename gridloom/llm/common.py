@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and any executor can be lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables that this driver has written() so far; for callers, once they have stored the results that read them."""
+    count = len(_TABLES)
+    while _TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A small intermediate result, cut from its lineage by checkpoint() in the shared folder."""
     shared_dir(df.sparkSession)

@@ -119,6 +119,17 @@ def test_near_duplicates_edges(edges, empty):
     assert {r["doc_id"] for r in ngram_join.without_near_duplicates(edges).collect()} == {1, 2, 3, None, 5, 7, 8, 9}
 
 
+def test_clean_up_removes_the_written_tables(spark, make):
+    from pathlib import Path
+
+    from gridloom.llm import common
+
+    found = ngram_join.near_duplicates(make([(1, "a b c d e f"), (2, "a b c d e f")])).collect()
+    paths = [Path(p) for p in common._TABLES]
+    assert len(found) == 2 and paths and all(p.exists() for p in paths)
+    assert common.clean_up(spark) == len(paths) and not any(p.exists() for p in paths)
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
