@@ -204,3 +204,17 @@ def cluster_bootstrap(sums: DataFrame, keys: list[str], strata: list[str], clust
     own = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     s = lambda c: F.sum(F.col("w") * F.col(c))
     return own.groupBy(*keys, "draw").agg(F.sqrt(ratio(s("se"), s("n"))).alias("rmse"), ratio(s("ae"), s("n")).alias("mae"), ratio(s("brier"), s("n")).alias("brier"), ratio(s("nll"), s("n")).alias("log_loss"), ratio(s("predicted") - s("observed"), s("n")).alias("bias"))
+
+
+def bootstrap_spread(draws: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """metric, mean and standard error of resampled metrics, long."""
+    long = draws.select(*keys, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))))
+    return long.groupBy(*keys, "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("cluster_se"))
+
+
+def independent_errors(df: DataFrame, keys: list[str], y: str = "observed", f: str = "predicted", p: str = "p") -> DataFrame:
+    """metric and its standard error if rows were independent: means by their SD, RMSE by the delta method."""
+    e, o = F.col(f) - F.col(y), (F.col(y) > 0).cast("double")
+    root = F.sqrt(F.count("*").cast("double"))
+    own = df.groupBy(*keys).agg(ratio(F.stddev_samp(e * e), 2 * F.sqrt(F.avg(e * e)) * root).alias("rmse"), (F.stddev_samp(F.abs(e)) / root).alias("mae"), (F.stddev_samp((F.col(p) - o) * (F.col(p) - o)) / root).alias("brier"), (F.stddev_samp(e) / root).alias("bias"))
+    return own.select(*keys, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("row_se")) for m in ("rmse", "mae", "brier", "bias")))))

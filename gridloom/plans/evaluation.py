@@ -145,12 +145,31 @@ def cluster_sufficient_stats(spark, sf):
     return rounded(M.cluster_sums(oof(spark, sf), ["model", "country", "grid_uid"]))
 
 
+_PAIRS = [("grid", "season"), ("country", "season"), ("grid", "country")]
+
+
 @query("cluster_bootstrap_ci")
 def cluster_bootstrap_ci(spark, sf):
-    sums = M.cluster_sums(oof(spark, sf), ["model", "country", "grid_uid"])
-    draws = M.cluster_bootstrap(sums, ["model"], ["country"], "grid_uid", 2000)
-    pairs = M.paired(draws.select("model", "draw", "rmse"), ["draw"], "model", "rmse", [("grid", "season"), ("country", "season"), ("grid", "country")])
-    return rounded(M.percentile_interval(pairs, ["candidate", "reference"], "difference"))
+    """Stratified by country: every metric of each pair of models."""
+    draws = M.cluster_bootstrap(M.cluster_sums(oof(spark, sf), ["model", "country", "grid_uid"]), ["model"], ["country"], "grid_uid", 2000)
+    long = draws.select("model", "draw", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in ("rmse", "mae", "brier", "log_loss", "bias")))))
+    pairs = M.paired(long, ["draw", "metric"], "model", "v", _PAIRS)
+    return rounded(M.percentile_interval(pairs, ["metric", "candidate", "reference"], "difference"))
+
+
+@query("cluster_inflation")
+def cluster_inflation(spark, sf):
+    """Standard errors of whole clusters, drawn without strata, over those of independent rows."""
+    own = oof(spark, sf)
+    draws = M.cluster_bootstrap(M.cluster_sums(own, ["model", "country", "grid_uid"]), ["model"], [], "grid_uid", 2000)
+    both = M.bootstrap_spread(draws, ["model"], ["rmse", "mae", "brier", "bias"]).join(M.independent_errors(own, ["model"]), ["model", "metric"])
+    return rounded(both.withColumn("inflation", S.ratio(F.col("cluster_se"), F.col("row_se"))))
+
+
+@query("independent_errors", sql("oof", """, e AS (SELECT model, pow(predicted - observed, 2) AS se, abs(predicted - observed) AS ae, pow(p - CAST(observed > 0 AS INT), 2) AS br, predicted - observed AS d FROM oof)
+SELECT model, unnest(['rmse', 'mae', 'brier', 'bias']) AS metric, round(unnest([stddev_samp(se) / (2 * sqrt(avg(se)) * sqrt(count(*))), stddev_samp(ae) / sqrt(count(*)), stddev_samp(br) / sqrt(count(*)), stddev_samp(d) / sqrt(count(*))]), 6) AS row_se FROM e GROUP BY model"""))
+def independent_errors(spark, sf):
+    return rounded(M.independent_errors(oof(spark, sf), ["model"]))
 
 
 @query("one_way_icc", sql("oof", """, x AS (SELECT season, grid_uid, observed - predicted AS r FROM oof WHERE model = 'country'), c AS (SELECT season, grid_uid, count(*) AS n, avg(r) AS m, var_pop(r) * count(*) AS w FROM x GROUP BY ALL),
