@@ -59,6 +59,36 @@ def kendall(df: DataFrame, keys: list[str], t: str, y: str, continuity: bool = F
     )
 
 
+def exact_p(n: Column, s: Column) -> Column:
+    """Exact two-sided p of Kendall's s for n distinct values of short series, from the counts of orders by inversions.
+
+    The counts for k values are running sums over k neighbours of those for k - 1; they are kept as shares of all orders.
+    """
+    one = F.array(F.lit(1.0))
+
+    def longer(acc: Column, k: Column) -> Column:
+        def at(j: Column) -> Column:
+            low = F.greatest(F.lit(0), j - k + 1)
+            return F.aggregate(F.slice(acc, low + 1, F.least(j + 1, F.size(acc)) - low), F.lit(0.0), lambda a, x: a + x) / k
+
+        return F.transform(F.sequence(F.lit(0), F.size(acc) + k - 2), at)
+
+    shares = F.aggregate(F.when(n >= 2, F.sequence(F.lit(2), n.cast("int"))).otherwise(F.array().cast("array<int>")), one, longer)
+    every = n * (n - 1) / 2
+    few = F.least((every - s) / 2, (every + s) / 2).cast("int")
+    tail = F.aggregate(F.slice(shares, 1, few + 1), F.lit(0.0), lambda a, x: a + x)
+    return F.least(F.lit(1.0), 2 * tail)
+
+
+def kendall_small(df: DataFrame, keys: list[str], t: str, y: str, most: int = 33) -> DataFrame:
+    """n, s, tau_b, p and whether p is exact: it is for series of up to `most` points without equal values, else normal."""
+    own = kendall(df, keys, t, y).select(*keys, F.col("n").cast("int"), "s", "tau_b", F.col("p").alias("normal_p"))
+    distinct = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.count_distinct(F.round(y, 12)).alias("_d"))
+    own = own.join(distinct, keys)
+    exact = (F.col("_d") == F.col("n")) & (F.col("n") <= most) & (F.col("n") >= 3)
+    return own.select(*keys, "n", "s", "tau_b", F.when(exact, exact_p(F.col("n"), F.col("s"))).otherwise(F.col("normal_p")).alias("p"), exact.alias("exact"))
+
+
 def step_up(df: DataFrame, family: list[str], p: str, order: list[str], name: str = "q") -> DataFrame:
     """Benjamini-Hochberg q values within each family; NULL p stay NULL and don't count.
 

@@ -430,3 +430,12 @@ def kendall_excluding_peaks(spark, sf):
     ranked = A.top_rows(own, ["country"], [F.desc("n"), F.asc("year")], 2).select("country", "year")
     both = own.withColumn("period", F.lit("all")).unionByName(own.join(ranked, ["country", "year"], "left_anti").withColumn("period", F.lit("without peaks")))
     return rounded(T.kendall(both.withColumn("v", F.col("n").cast("double")).drop("n"), ["country", "period"], "year", "v").select("country", "period", F.col("n").cast("long"), "tau_b", "z"))
+
+
+@query("kendall_exact", "WITH RECURSIVE " + sql("panel", """, v AS (SELECT country, season, year, round(avg(x4), 9) AS y FROM panel GROUP BY ALL),
+q AS (SELECT a.country, a.season, sum(sign(b.y - a.y)) AS s FROM v a JOIN v b ON a.country = b.country AND a.season = b.season AND a.year < b.year GROUP BY ALL), c AS (SELECT country, season, count(*) AS n FROM v GROUP BY ALL),
+m(k, d) AS (SELECT 1, [CAST(1 AS DOUBLE)] UNION ALL SELECT k + 1, list_transform(range(0, len(d) + k), lambda j: list_sum(d[greatest(1, j - k + 1) : least(len(d), j + 1)]) / (k + 1)) FROM m WHERE k < 33)
+SELECT country, season, CAST(n AS INTEGER) AS n, CAST(s AS DOUBLE) AS s, round(s / (n * (n - 1) / 2.0), 6) AS tau_b, round(least(1, 2 * list_sum(d[1 : CAST((n * (n - 1) / 2.0 - abs(s)) / 2 + 1 AS BIGINT)])), 6) AS p, true AS exact FROM q JOIN c USING (country, season) JOIN m ON k = n""")[5:])
+def kendall_exact(spark, sf):
+    own = panel(spark, sf).groupBy("country", "season", "year").agg(F.round(F.avg("x4"), 9).alias("y"))
+    return rounded(T.kendall_small(own, ["country", "season"], "year", "y"))

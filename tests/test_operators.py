@@ -182,3 +182,13 @@ def test_t_tail_and_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30) if k % 10 != 9], "source long, neighbour long")
     labels = {r["node"]: r["component"] for r in graph.weak_components(edges).collect()}
     assert all(labels[k] == k - k % 10 for k in labels)
+
+
+def test_exact_kendall_p_counts_all_orders(spark):
+    from itertools import permutations
+
+    for n in (3, 4, 6):
+        every = [sum((b > a) - (b < a) for i, a in enumerate(o) for b in o[i + 1 :]) for o in permutations(range(n))]
+        for s in sorted(set(every)):
+            p = spark.range(1).select(T.exact_p(F.lit(n), F.lit(float(s))).alias("p")).first()["p"]
+            assert abs(p - min(1.0, sum(abs(x) >= abs(s) for x in every) / len(every))) < 1e-12 or s == 0
