@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for clean_up() to delete."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and any executor can be lost."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _TABLES.append(path)
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -71,6 +78,30 @@ def byte_batches(batches, limit: int):
         yield ids, out
 
 
+def arrow_slices(batches, limit: int):
+    """(ids, texts) as Arrow arrays of about `limit` text bytes (a longer text alone), from record batches of doc_id and text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        cuts = np.r_[0, np.flatnonzero(np.diff(size // limit)) + 1, batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+
+
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of the texts of an Arrow array, first word of each text and the end).
+
+    Words are maximal runs of characters other than the blank and U+0009 to U+000D.
+    """
+    split = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+    parts = split.flatten()
+    full = pc.greater(pc.binary_length(parts), 0)
+    ends = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))].astype(np.int64)
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    return parts.filter(full), ends[np.r_[0, np.cumsum(sizes)].astype(np.int64)]
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(7))
     values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
