@@ -259,8 +259,12 @@ def _scored(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def units(text: str) -> Column:
-    """The lines of a column of texts, and the runs of several lines between lines without a letter or digit."""
-    runs = F.filter(F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+"), lambda t: t.contains("\n"))
+    """The lines of a column of texts, and the runs of several lines between lines without a letter or digit.
+
+    Both patterns only repeat single characters, possessively: Java matches those by a loop, of any length.
+    """
+    bare = F.regexp_replace(text, r"(?md)^[^\p{L}\p{N}\n]++$", "")
+    runs = F.filter(F.split(bare, r"\n{2,}+"), lambda t: t.contains("\n"))
     return F.concat(F.split(text, "\n"), runs)
 
 
