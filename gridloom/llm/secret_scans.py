@@ -22,15 +22,23 @@ _CUES = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
 #: A candidate begins where no letter or digit stands before it: after =, /, -, _ and + too, as its structure decides.
 _AT = r"(?<![A-Za-z0-9])"
-#: A token's header has 8 KiB at most, so that a run of many possible starts costs time in proportion.
-_HEAD = re.compile(_AT + r"eyJ[A-Za-z0-9_-]{8,8189}(?=\.)")
-_REST = re.compile(r"\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+#: A token's header is a JSON object: 0x7B and a quotation mark or white space encode to ey or ew.
+_TOKEN_CUE = re.compile(r"e[yw][A-Za-z0-9_-]{9}")
+_TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_TOKEN_START = re.compile(_AT + r"e[yw]")
+_SIGNED = re.compile(r"\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*|\.\.[A-Za-z0-9_-]{16,}")
+_ENCRYPTED = re.compile(r"\.[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]+){3}")
+_BLANK_END = re.compile(r"\s*\Z")
+_JSON = json.JSONDecoder()
 _DER = re.compile(_AT + r"M[A-P][A-Za-z0-9+/_-]{8}")  # 0x30, which begins an ASN.1 sequence, encodes to MA to MP
 _SSH_KEY = re.compile(_AT + r"b3BlbnNzaC1rZXktdjEA")
 _SSH_BLOB = re.compile(_AT + r"AAAA[A-Za-z0-9+/_-]{24,}={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----((?:(?:\s|\\[rn])*[A-Z][A-Za-z-]{2,40}: [^\n\\]*)*)([A-Za-z0-9+/=\s\\]+)-----END \1-----")
+_PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY|CERTIFICATE)-----")
+_PEM_BREAK = re.compile(r"(?:\s|\\[rn])*+")
+_PEM_HEADER = re.compile(r"[A-Z][A-Za-z-]{2,40}: [^\n\\]*+")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s\\]++")
 _PEM_CODED = re.compile(_AT + r"LS0tLS1CRUdJTi")
-_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[Ff]70656[Ee]7373)[0-9A-Fa-f]{46,}")
+_HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:30|000000|6[Ff]70656[Ee]7373|2[Dd]2[Dd]2[Dd]2[Dd]2[Dd]424547494[Ee])[0-9A-Fa-f]{46,}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _WRAP = re.compile(r"[ \t]*(?:\\r)?(?:\\n|\r?\n)[ \t]*(?=[A-Za-z0-9+/_-])")
 _MAGIC = b"openssh-key-v1\0"
@@ -184,13 +192,16 @@ def is_ssh(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
 
 
-def is_token_header(part: str) -> bool:
-    """A JSON object that names its algorithm, as the header of a signed token does."""
+def token_header(data: bytes, text: str, at: int) -> dict | None:
+    """The JSON object that fills data from byte `at` on, if it names its algorithm, as the header of a token does; text is data in Latin-1."""
     try:
-        head = json.loads(decode64(part) or b"")
+        head, end = _JSON.raw_decode(text, at)
+        if not _BLANK_END.match(text, end):
+            return None
+        data[at:].decode()
     except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+        return None
+    return head if isinstance(head, dict) and isinstance(head.get("alg"), str) else None
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -205,12 +216,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _tokens(text: str):
+    """Signed tokens (three parts, or two where the content is detached) and encrypted ones (five).
+
+    A header reaches to the end of its run of characters. The run is decoded once for each of four alignments; a start's
+    JSON begins at its byte there. At a later start, which stands in a string for the JSON before it, the quotation mark
+    ends that string and begins one for the new JSON, so of two that go on one fails soon: the cost is linear.
+    """
     at = 0
-    while m := _HEAD.search(text, at):
-        rest = _REST.match(text, m.end()) if is_token_header(m[0]) else None
-        if rest:
-            yield "jwt", m.start(), rest.end()
-        at = rest.end() if rest else m.start() + 1
+    while cue := _TOKEN_CUE.search(text, at):
+        run = _TOKEN_RUN.match(text, cue.start())
+        begin, end = cue.start(), run.end()
+        while begin > at and text[begin - 1].isascii() and (text[begin - 1].isalnum() or text[begin - 1] in "-_"):
+            begin -= 1
+        at = end
+        if text[end : end + 1] != ".":
+            continue
+        decoded: dict[int, tuple[int, bytes, str]] = {}
+        for m in _TOKEN_START.finditer(text, begin, end):
+            k = m.start() % 4
+            if k not in decoded:
+                data = decode64(text[m.start() : end]) or b""
+                decoded[k] = m.start(), data, data.decode("latin-1")
+            first, data, plain = decoded[k]
+            head = token_header(data, plain, (m.start() - first) // 4 * 3) if data else None
+            rest = (_ENCRYPTED.match(text, end) if "enc" in head else None) or _SIGNED.match(text, end) if head else None
+            if rest:
+                yield "jwt", m.start(), rest.end()
+                at = rest.end()
+                break
 
 
 def _sequences(text: str):
@@ -257,21 +290,40 @@ def _coded_pems(text: str):
 
 
 def _pems(text: str):
-    for m in _PEM.finditer(text):
-        data = decode64(re.sub(r"\\[rn]|\s", "", m[3])) or b""
-        coded = "ENCRYPTED" in m[2] and len(data) >= 16 and len(data) % 8 == 0
+    """PEM blocks. Header lines are read one by one; a line that several blocks begin before is read once."""
+    after: dict[int, int] = {}  # by where header lines may begin: where they end
+    at = 0
+    while m := _PEM_BEGIN.search(text, at):
+        at = m.end()
+        body_at, walked = m.end(), []
+        while body_at not in after:
+            walked.append(body_at)
+            header = _PEM_HEADER.match(text, _PEM_BREAK.match(text, body_at).end())
+            if not header:
+                break
+            body_at = header.end()
+        body_at = after.get(body_at, body_at)
+        after.update(dict.fromkeys(walked, body_at))
+        body, last = _PEM_BODY.match(text, body_at), f"-----END {m[1]}-----"
+        if not body or not text.startswith(last, body.end()):
+            continue
+        at = body.end() + len(last)
+        data = decode64(re.sub(r"\\[rn]|\s", "", body[0])) or b""
+        coded = text.find("ENCRYPTED", m.end(), body_at) >= 0 and len(data) >= 16 and len(data) % 8 == 0
         if coded or is_der(data) or is_ssh(data):
-            yield "pem", *m.span()
+            yield "pem", m.start(), at
 
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates whose decoded content has the structure of a key or of a signed token."""
     out = list(_sequences(text))
-    if "eyJ" in text:
+    if "ey" in text or "ew" in text:
         out += _tokens(text)
     for m in _HEX_RUN.finditer(text):
         data = bytes.fromhex(m[0][: len(m[0]) & ~1])
-        if len(m[0]) % 2 == 0 and (is_der(data) or is_ssh(data)):
+        if data[:5] == b"-----" and any(True for _ in _pems(data.decode("latin-1"))):
+            out.append(("pem", *m.span()))
+        elif len(m[0]) % 2 == 0 and (is_der(data) or is_ssh(data)):
             out.append(("der" if data[0] == 0x30 else "ssh", *m.span()))
     if "AAAA" in text:
         out += [("ssh", *m.span()) for m in _SSH_BLOB.finditer(text) if is_ssh(decode64(m[0]) or b"")]

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import license_scans, quality_rules, secret_scans, sentencepiece_codec, token_counts, url_filters
 from tests.llm.conftest import EDGES
@@ -211,6 +212,14 @@ def test_nested_lengths_are_parsed():
     assert not secret_scans.is_der(der(b"\x02\x01\x00", deep))
 
 
+def test_license_units_of_long_runs_of_blank_lines(spark):
+    blank = spark.range(1).select(F.concat(F.lit("word"), F.repeat(F.lit("\n"), 10_000_000), F.lit("end one\nend two")).alias("t"))
+    n, last = blank.select(license_scans.units("t").alias("u")).select(F.size("u"), F.element_at("u", -1)).first()
+    assert (n, last) == (10_000_003, "end one\nend two")
+    marks = spark.range(1).select(F.concat(F.lit("a\nb\n"), F.repeat(F.lit(" -- \r\n"), 500_000), F.lit("c\nd")).alias("t"))
+    assert marks.select(F.slice(F.reverse(license_scans.units("t")), 1, 2)).first()[0] == ["c\nd", "a\nb"]
+
+
 def test_secret_scan_is_linear_in_hard_texts():
     import time
 
@@ -220,6 +229,43 @@ def test_secret_scan_is_linear_in_hard_texts():
     assert time.time() - began < 60
 
 
+def test_secret_scan_ends_on_header_chains_and_long_headers():
+    import time
+
+    def coded(x):
+        return base64.urlsafe_b64encode(x).decode().rstrip("=")
+
+    began = time.time()
+    begin = "-----BEGIN RSA PRIVATE KEY-----"
+    for hard in (begin + "\n" + "Abc: " * 100_000, (begin + "\nAbc: ") * 50_000, f"{begin}\nAbc: x\n" * 50_000, (begin + "\\n\\n") * 50_000, "eyJ_" * 100_000 + ".abcdef.", '"-eyJh' * 100_000, coded(b'{"?":{"' * 60_000) + ".abcdef.x"):
+        assert secret_scans.confirmed_spans(hard) == []
+    assert time.time() - began < 20
+    long = ".".join((coded(json.dumps({"alg": "RS256", "x5c": ["A" * 100_000]}).encode()), coded(b'{"sub":"1"}'), coded(b"signature-bytes")))
+    assert secret_scans.confirmed_spans(f"see {long}, so") == [("jwt", 4, 4 + len(long))]
+    assert time.time() - began < 25
+
+
+def test_secret_tokens_of_other_forms():
+    def coded(x):
+        return base64.urlsafe_b64encode(x).decode().rstrip("=")
+
+    for head in (b'{ "alg": "HS256" }', b'{\n "alg": "HS256"\n}', b'{\r\n\t"alg":"HS256"}', '{"kid":"é","alg":"HS256"}'.encode()):
+        token = ".".join((coded(head), coded(b'{"sub":"1"}'), coded(b"signature-bytes")))
+        assert secret_scans.confirmed_spans(f"x={token}.") == [("jwt", 2, 2 + len(token))], head
+    sealed = coded(b'{"alg":"RSA-OAEP","enc":"A256GCM"}')
+    for parts in ((sealed, "a2V5", "aXY", "dGV4dA", "dGFn"), (sealed, "", "aXY", "dGV4dA", "dGFn")):
+        token = ".".join(parts)
+        assert secret_scans.confirmed_spans(f"({token})") == [("jwt", 1, 1 + len(token))]
+    detached = coded(b'{"alg":"HS256"}') + ".." + coded(b"signature-bytes")
+    assert secret_scans.confirmed_spans(detached) == [("jwt", 0, len(detached))]
+    assert secret_scans.confirmed_spans(coded(b'{"typ":"JWT"}') + ".abcdef.ghi") == []
+    key = base64.b64encode(der(b"\x02\x01\x00", der(b"\x02\x01\x05", b"\x04\x81\x90" + bytes(144)))).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----"
+    assert secret_scans.confirmed_spans(pem.encode().hex()) == [("pem", 0, 2 * len(pem))]
+    headed = pem.replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n", 1)
+    assert ("pem", 0, len(headed)) in secret_scans.confirmed_spans(headed)
+
+
 def test_secret_edges(edges, empty):
     assert secret_scans.scan_secrets(edges).count() == len(EDGES)
     assert secret_scans.scan_secrets(empty).count() == 0
