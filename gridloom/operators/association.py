@@ -29,9 +29,12 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) ->
 
 
 def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, given: str, least: int = 6) -> DataFrame:
-    """Spearman correlation of x and y with the ranks of a third variable taken out, by its closed form."""
+    """Spearman correlation of x and y with the ranks of a third variable taken out, by its closed form.
+
+    NULL where x or y goes with the third one exactly: what is left there is rounding noise."""
     own = ranked(df, keys, [x, y, given]).groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col(f"r_{x}"), F.col(f"r_{y}")).alias("xy"), correlation(F.col(f"r_{x}"), F.col(f"r_{given}")).alias("xg"), correlation(F.col(f"r_{y}"), F.col(f"r_{given}")).alias("yg"))
-    rho = ratio(F.col("xy") - F.col("xg") * F.col("yg"), F.sqrt((1 - F.col("xg") * F.col("xg")) * (1 - F.col("yg") * F.col("yg"))))
+    left = (1 - F.col("xg") * F.col("xg")) * (1 - F.col("yg") * F.col("yg"))
+    rho = F.when(left > 1e-12, (F.col("xy") - F.col("xg") * F.col("yg")) / F.sqrt(left))
     return own.select(*keys, "n", F.when(F.col("n") >= least, rho).alias("rho"))
 
 

@@ -144,7 +144,7 @@ def spearman_battery(spark, sf):
 
 
 @query("partial_spearman_year", sql("monthly", _ASSOC.rstrip() + f""", k AS (SELECT season, win, index, {_rk("mean", "season, win, index")} AS a, {_rk("fc", "season, win, index")} AS b, {_rk("year", "season, win, index")} AS g FROM j), r AS (SELECT season, win, index, count(*) AS n, corr(a, b) AS xy, corr(a, g) AS xg, corr(b, g) AS yg FROM k GROUP BY ALL)
-SELECT CAST(season AS INTEGER) AS season, win AS "window", index, n, round(CASE WHEN n >= 6 AND (1 - xg * xg) * (1 - yg * yg) > 0 THEN (xy - xg * yg) / sqrt((1 - xg * xg) * (1 - yg * yg)) END, 6) AS rho FROM r"""))
+SELECT CAST(season AS INTEGER) AS season, win AS "window", index, n, round(CASE WHEN n >= 6 AND (1 - xg * xg) * (1 - yg * yg) > 1e-12 THEN (xy - xg * yg) / sqrt((1 - xg * xg) * (1 - yg * yg)) END, 6) AS rho FROM r"""))
 def partial_spearman_year(spark, sf):
     return rounded(A.partial_spearman(_assoc(spark, sf), _KEYS, "mean", "fc", "year"))
 

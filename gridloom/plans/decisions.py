@@ -387,7 +387,7 @@ def spearman_p(spark, sf):
     return rounded(own.select("country", "season", "n", "rho", S.correlation_p(F.col("rho"), F.col("n") - 2).alias("p")))
 
 
-@query("partial_spearman_p", sql("panel", _YEARLY.rstrip() + f""", c AS (SELECT country, season, count(*) AS n, corr(rr, rx) AS a, corr(rr, ry) AS b, corr(rx, ry) AS d, CAST(count(*) - 3 AS DOUBLE) AS v FROM k GROUP BY country, season), r AS (SELECT *, (a - b * d) / sqrt((1 - b * b) * (1 - d * d)) AS rho FROM c)
+@query("partial_spearman_p", sql("panel", _YEARLY.rstrip() + f""", c AS (SELECT country, season, count(*) AS n, corr(rr, rx) AS a, corr(rr, ry) AS b, corr(rx, ry) AS d, CAST(count(*) - 3 AS DOUBLE) AS v FROM k GROUP BY country, season), r AS (SELECT *, CASE WHEN (1 - b * b) * (1 - d * d) > 1e-12 THEN (a - b * d) / sqrt((1 - b * b) * (1 - d * d)) END AS rho FROM c)
 SELECT country, season, n, round(rho, 6) AS rho, round({_p_sql('rho', 'v')}, 6) AS p FROM r"""))
 def partial_spearman_p(spark, sf):
     own = R.partial_spearman(_yearly(spark, sf), ["country", "season"], "rate", "x", "year")
