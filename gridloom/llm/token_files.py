@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -159,8 +160,21 @@ def splits_at_blanks(config: dict) -> bool:
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Words of visible ASCII and the letters of U+00C0 to U+00FF: one letter in lower case each, no marks to compose.
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+#: WORD_PATTERN on such words in lower case.
+_PLAIN_PARTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\s]+)"
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of the runs `index` of flat, whose runs have `sizes`."""
+    begin, sizes = (np.cumsum(sizes) - sizes)[index], sizes[index]
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(begin - before, sizes) + np.arange(sizes.sum())], sizes
+
+
 class Words:
-    """A tokenizer file with the ids of the words that this worker has met."""
+    """A tokenizer file with the ids of the parts of words that this worker has met."""
 
     def __init__(self, path: str, keep: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -170,13 +184,27 @@ class Words:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_blanks(json.load(f))
+            config = json.load(f)
+        self.by_word = splits_at_blanks(config)
+        self.added = [t["content"] for t in config.get("added_tokens", [])]
         self.keep, self.known = keep, {}
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1
 
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def parts(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(parts, parts of each word): plain words in lower case at the places where the pattern parts them, others whole.
+
+        A part alone has the ids that it has within its word; a plain word with an added token's text is left whole.
+        """
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for text in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, text))
+        split = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(words), _PLAIN_PARTS, "\\1 "), words)
+        own, bounds = words_of(split)
+        return own, np.diff(bounds)
+
     def encode(self, column: pa.Array, end: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids of each text with the end id, all ids)."""
         if not self.by_word:
@@ -184,29 +212,31 @@ class Words:
             return np.array([len(x) + 1 for x in ids], np.int64), np.fromiter(chain.from_iterable([*x, end] for x in ids), dtype)
         words, bounds = words_of(column)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        parts, count = self.parts(coded.dictionary)
+        coded_parts = parts.dictionary_encode()
+        distinct = coded_parts.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.known]
         fresh = dict(zip(new, self._ids(new), strict=True)) if new else {}
         ids = [self.known[w] if w in self.known else fresh[w] for w in distinct]
         if len(self.known) + len(fresh) > self.keep:
             self.known = {}
         self.known.update((w, x) for w, x in fresh.items() if len(w) <= 48)
-        ids.append([end])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype, int(sizes.sum()))
+        flat, sizes = gathered(flat, sizes, coded_parts.indices.to_numpy(zero_copy_only=False))
+        at = np.r_[0, np.cumsum(sizes)]
+        edge = np.r_[0, np.cumsum(count)]
+        flat, sizes = np.append(flat, np.array([end], dtype)), np.append(np.diff(at[edge]), 1)  # the end id is one more word
         n_docs = len(bounds) - 1
-        code = np.full(len(words) + n_docs, len(distinct), np.int64)
+        code = np.full(len(words) + n_docs, len(count), np.int64)
         is_word = np.ones(len(code), bool)
         is_word[bounds[1:] + np.arange(n_docs)] = False
         code[is_word] = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype, int(sizes.sum()))
-        begin = (np.cumsum(sizes) - sizes)[code]
-        sizes = sizes[code]
-        before = np.r_[0, np.cumsum(sizes)]
-        out = flat[np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])]
-        return np.diff(before[np.r_[0, bounds[1:] + np.arange(1, n_docs + 1)]]), out
+        out, sizes = gathered(flat, sizes, code)
+        return np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, bounds[1:] + np.arange(1, n_docs + 1)]]), out
 
 
-def write_tokens(df: DataFrame, tokenizer_path: str, end: int, shards: int | None = None, file_ids: int = 1 << 23, batch_bytes: int = 4 << 20, keep_words: int = 400_000) -> DataFrame:
+def write_tokens(df: DataFrame, tokenizer_path: str, end: int, shards: int | None = None, file_ids: int = 1 << 23, batch_bytes: int = 8 << 20, keep_words: int = 400_000) -> DataFrame:
     """The manifest of files that hold the ids of all texts of df (doc_id, text): shard, part, path, start, n_docs, n_ids.
 
     Each document has the ids that the tokenizers library gives for its whole text without special tokens, then the end id.
