@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gridloom.plans import analysis, counts, decisions, descriptive, evaluation
+from gridloom.plans import analysis, counts, decisions, descriptive, evaluation, mixed
 
-_MODULES = (descriptive, evaluation, analysis, decisions, counts)
+_MODULES = (descriptive, evaluation, analysis, decisions, counts, mixed)
 QUERIES: dict = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}

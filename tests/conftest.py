@@ -1,8 +1,10 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # its threads can wait for each other for ever beside a JVM
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 

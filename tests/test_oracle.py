@@ -53,6 +53,9 @@ HOLDS = {
     "zinb1_rate": lambda r: r["loglik"] < 0,
     "two_way_wald": lambda r: r["se"] >= 0,
     "count_family_comparison": lambda r: r["delta_aic"] >= 0 and r["score"] < 0.05,
+    "mixed_mediators": lambda r: r["n"] > r["n_units"] > 0 and r["scale"] > 0 and (r["se"] is None or wald(r)),
+    "mixed_tweedie": lambda r: wald(r) and 1 < r["power"] < 2 and r["scale"] > 0 and r["n"] > r["n_units"],
+    "path_effects": lambda r: r["low"] <= r["median"] <= r["high"] and r["draws"] == 5000 and 0 < r["p"] <= 1 and abs(r["response_ratio"] - math.exp(r["estimate"])) < 1e-3,
     "hurdle_rf_oof": lambda r: 0 <= r["p"] <= 1 and r["severity"] > 0 and abs(r["predicted"] - r["p"] * r["severity"]) < 1e-4 and r["fold"] == r["year"] % 3,
     "kmeans_blocks": lambda r: 1 <= r["block"] <= 5 and r["n"] > 0,
     "permutation_importance": lambda r: 0 <= r["share_positive"] <= 1 and r["sd"] >= 0,
