@@ -166,6 +166,17 @@ _PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
 _PLAIN_PARTS = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\s]+)"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters from U+00C0 on as byte-level models write them: a visible byte as its own character, the others from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(visible)]
+    letter = {**{b: chr(b) for b in visible}, **{b: chr(256 + k) for k, b in enumerate(others)}}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_BYTES = _byte_letters()
+
+
 def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values, sizes) of the runs `index` of flat, whose runs have `sizes`."""
     begin, sizes = (np.cumsum(sizes) - sizes)[index], sizes[index]
@@ -193,6 +204,17 @@ class Words:
     def _ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _part_ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts. What the steps before the model make of a plain part is known: its bytes as the model writes them; so it goes to the library's model at once."""
+        own = pa.array(parts, pa.large_string())
+        plain = pc.and_(pc.match_substring_regex(own, _PLAIN), pc.match_substring_regex(own, f"^{_PLAIN_PARTS}$"))
+        for text in self.added:
+            plain = pc.and_not(plain, pc.match_substring(own, text))
+        plain = plain.to_pylist()
+        tokenize = self.tokenizer.model.tokenize
+        rest = iter(self._ids([p for p, known in zip(parts, plain, strict=True) if not known]))
+        return [[t.id for t in tokenize(p if p.isascii() else p.translate(_BYTES))] if known else next(rest) for p, known in zip(parts, plain, strict=True)]
+
     def parts(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(parts, parts of each word): plain words in lower case at the places where the pattern parts them, others whole.
 
@@ -215,12 +237,14 @@ class Words:
         parts, count = self.parts(coded.dictionary)
         coded_parts = parts.dictionary_encode()
         distinct = coded_parts.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.known]
-        fresh = dict(zip(new, self._ids(new), strict=True)) if new else {}
-        ids = [self.known[w] if w in self.known else fresh[w] for w in distinct]
-        if len(self.known) + len(fresh) > self.keep:
+        ids = [self.known.get(w) for w in distinct]
+        new = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(new, self._part_ids([distinct[i] for i in new]), strict=True):
+            ids[i] = x
+        often = np.bincount(coded_parts.indices.to_numpy(zero_copy_only=False), minlength=len(distinct)) > 1  # most others never come again
+        if len(self.known) > self.keep:
             self.known = {}
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= 48)
+        self.known.update((distinct[i], ids[i]) for i in new if often[i] and len(distinct[i]) <= 48)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), dtype, int(sizes.sum()))
         flat, sizes = gathered(flat, sizes, coded_parts.indices.to_numpy(zero_copy_only=False))
