@@ -53,6 +53,11 @@ HOLDS = {
     "zinb1_rate": lambda r: r["loglik"] < 0,
     "two_way_wald": lambda r: r["se"] >= 0,
     "count_family_comparison": lambda r: r["delta_aic"] >= 0 and r["score"] < 0.05,
+    "oof_attributions": lambda r: abs(r["base"] + sum(r[f"phi_{c}"] for c in ("x1", "x2", "x3", "x4", "pixels")) - r["predicted"]) < 1e-5,
+    "attribution_summary": lambda r: r["mean_abs"] >= abs(r["mean"]) - 1e-6 and 0 <= r["positive"] <= 1 and 1 <= r["rank"] <= 5,
+    "attribution_groups": lambda r: r["mean_abs"] >= abs(r["mean"]) - 1e-6 and 1 <= r["rank"] <= 2,
+    "attribution_consensus": lambda r: r["judges"] == 2 and 0 < r["consensus"] <= 1 and (r["monotone"] is None or 0.5 <= r["monotone"] <= 1),
+    "forest_baseline": lambda r: r["rmse"] >= r["mae"] >= abs(r["bias"]) - 1e-6,
     "mixed_mediators": lambda r: r["n"] > r["n_units"] > 0 and r["scale"] > 0 and (r["se"] is None or wald(r)),
     "mixed_tweedie": lambda r: wald(r) and 1 < r["power"] < 2 and r["scale"] > 0 and r["n"] > r["n_units"],
     "path_effects": lambda r: r["low"] <= r["median"] <= r["high"] and r["draws"] == 5000 and 0 < r["p"] <= 1 and abs(r["response_ratio"] - math.exp(r["estimate"])) < 1e-3,
