@@ -1,18 +1,18 @@
 """Count regressions by maximum likelihood: NB1, NB2, zero-truncated NB1, hurdle and zero-inflated NB1, with offset.
 
-The likelihood, its score and the score's outer products are sums of columns, one aggregation a step; only a few dozen
-numbers come to the driver, which takes the Newton-like step (outer products for the Hessian) and halves it as needed.
+Probabilities and scores of rows are columns; fits are those of count_fits, with the observed information.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import digamma, expit, lgamma, log1mexp, normal_two_sided, ratio
+from gridloom.functions.scalar import digamma, expit, lgamma, log1mexp, normal_two_sided, ratio, t_two_sided
+from gridloom.operators.count_fits import Fit, clipped, fit_many, linear, parameters
 
 
 def _gamma_ratio(y: Column, r: Column) -> Column:
@@ -59,23 +59,6 @@ def zero_probability(mean: Column, alpha: Column, kind: str = "nb1") -> Column:
     return F.exp((nb1_terms if kind == "nb1" else nb2_terms)(F.lit(0.0), mean, alpha)["ln0"])
 
 
-@dataclass(frozen=True)
-class Fit:
-    """names, estimate and covariance (inverse of the score's outer products), log likelihood, rows, the greatest score left a row."""
-
-    family: str
-    names: tuple[str, ...]
-    estimate: np.ndarray
-    covariance: np.ndarray
-    loglik: float
-    rows: int
-    gradient: float
-
-    @property
-    def aic(self) -> float:
-        return 2 * len(self.names) - 2 * self.loglik
-
-
 def _linear(theta: np.ndarray, features: list[str]) -> Column:
     out = F.lit(float(theta[0]))
     for b, c in zip(theta[1:], features, strict=True):
@@ -132,66 +115,62 @@ def prepared(df: DataFrame, features: list[str], y: str, exposure: str, positive
     return own.where("_y > 0") if positive_only else own
 
 
-def fit(df: DataFrame, family: str, features: list[str], y: str, exposure: str, zero_features: list[str] | None = None, rounds: int = 60, tolerance: float = 1e-6) -> Fit:
-    """Maximum likelihood of nb1, nb2, ztnb1 (positive counts only) or zinb1; features should be of about unit scale.
+def fit(df: DataFrame, family: str, features: list[str], y: str, exposure: str, zero_features: list[str] | None = None) -> Fit:
+    """Maximum likelihood of nb1, nb2, ztnb1 (positive counts only) or zinb1 from three starts; features should be of about unit scale."""
+    return fit_many(df, family, features, y, exposure, zero_features=zero_features)[0]
 
-    A step that does not raise the likelihood is halved, down to nothing; the result says how far the score is from 0.
+
+def wald_table(spark, model: Fit, covariance: np.ndarray | None = None, df: int | None = None) -> DataFrame:
+    """term, estimate, se, z, p, interval and exp(estimate) of each parameter, with the likelihood, AIC and rows of the fit.
+
+    With df, tails and intervals are Student's with that many degrees of freedom (for clusters: their number less 1). A variance
+    that is not above 0 has no error: se and what follows are NULL.
     """
-    zero = zero_features or [] if family == "zinb1" else []
-    names = ["(intercept)", *features, "ln_alpha", *(["zero:(intercept)", *(f"zero:{c}" for c in zero)] if family == "zinb1" else [])]
-    own = prepared(df, sorted({*features, *zero}), y, exposure, family == "ztnb1").cache()
-    total = own.agg(F.sum("_y"), F.sum(F.exp("_off"))).first()
-    if not total[0]:
-        own.unpersist()
-        raise ValueError("no positive count to fit")
-    n = len(names)
-    theta = np.zeros(n)
-    theta[0] = np.log(total[0] / total[1])
-    if family == "zinb1":
-        theta[len(features) + 2] = -1.0
-    value, gradient, outer, rows = _sums(scores(own, family, features, zero, theta), n)
-    for _ in range(rounds):
-        step = np.linalg.solve(outer + 1e-9 * np.trace(outer) / n * np.eye(n), gradient)
-        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        scale = 1.0
-        while scale > 1e-4:
-            new = _sums(scores(own, family, features, zero, theta + scale * step), n)
-            if np.isfinite(new[0]) and new[0] >= value - 1e-10 * abs(value):
-                break
-            scale /= 2
-        else:
-            break
-        moved = new[0] - value
-        theta = theta + scale * step
-        value, gradient, outer, rows = new
-        if float(gradient @ np.linalg.pinv(outer) @ gradient) < tolerance and moved < tolerance:
-            break
-    own.unpersist()
-    return Fit(family, tuple(names), theta, np.linalg.pinv(outer), float(value), rows, float(np.abs(gradient).max() / max(rows, 1)))
-
-
-def wald_table(spark, model: Fit, covariance: np.ndarray | None = None) -> DataFrame:
-    """term, estimate, se, z, p and interval of each parameter, with the likelihood, AIC and rows of the fit."""
     v = model.covariance if covariance is None else covariance
-    rows = [(model.family, t, float(b), float(np.sqrt(max(s, 0.0))), model.loglik, model.aic, model.rows) for t, b, s in zip(model.names, model.estimate, np.diag(v), strict=True)]
-    own = spark.createDataFrame(rows, "family string, term string, estimate double, se double, loglik double, aic double, n long")
+    rows = [(model.family, t, float(b), float(np.sqrt(s)) if s > 0 else None, model.loglik, model.aic, model.rows, model.settled and model.identified) for t, b, s in zip(model.names, model.estimate, np.diag(v), strict=True)]
+    own = spark.createDataFrame(rows, "family string, term string, estimate double, se double, loglik double, aic double, n long, valid boolean")
     z = ratio(F.col("estimate"), F.col("se"))
-    return own.withColumns({"z": z, "p": normal_two_sided(z), "low": F.col("estimate") - 1.959963984540054 * F.col("se"), "high": F.col("estimate") + 1.959963984540054 * F.col("se")})
-
-
-def two_way_covariance(df: DataFrame, model: Fit, features: list[str], y: str, exposure: str, first: str, second: str) -> np.ndarray:
-    """Covariance robust to two kinds of clusters: bread (outer products) around sums of scores by each kind, less those by both.
-
-    Scores are summed by cluster before their outer products are, so only parameters' numbers reach the driver.
+    wide = 1.959963984540054 if df is None else t_quantile(0.975, df)
+    p = normal_two_sided(z) if df is None else t_two_sided(z, F.lit(df))
+    return own.withColumns({"z": z, "p": p, "low": F.col("estimate") - wide * F.col("se"), "high": F.col("estimate") + wide * F.col("se"), "ratio": F.exp("estimate")})
+
+
+def t_quantile(q: float, df: int) -> float:
+    """The quantile of Student's t for whole degrees of freedom, by bisection of its distribution function."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        angle = math.atan(mid / math.sqrt(df))
+        total, term = 0.0, math.cos(angle) if df % 2 else 1.0
+        for k in range(1 if df % 2 else 0, df - 1, 2):
+            total += term
+            term *= (k + 1) / (k + 2) * math.cos(angle) ** 2
+        inside = (2 / math.pi) * (angle + math.sin(angle) * total) if df % 2 else math.sin(angle) * total
+        low, high = (mid, high) if (1 + inside) / 2 < q else (low, mid)
+    return (low + high) / 2
+
+
+def two_way_covariance(df: DataFrame, model: Fit, features: list[str], y: str, exposure: str, first: str, second: str, zero_features: list[str] | None = None) -> tuple[np.ndarray, dict]:
+    """(covariance robust to two kinds of clusters, numbers of clusters and clipped directions).
+
+    The bread is the inverse of the observed information. Scores are summed by cluster of each kind and of both; each kind's cross
+    products have the factor G / (G - 1) * (n - 1) / (n - k), those of both are taken away, and what is below 0 in a
+    direction is clipped. Only parameters' numbers reach the driver.
     """
-    n = len(model.names)
-    own = df.select(first, second, F.col(y).cast("double").alias("_y"), F.ln(F.col(exposure).cast("double")).alias("_off"), *(F.col(c).cast("double") for c in features)).where(F.col(exposure) > 0).dropna()
-    scored = scores(own, model.family, features, [], model.estimate).select(first, second, *(f"_s{i}" for i in range(n)))
-    meat = np.zeros((n, n))
-    for keys, sign in (([first], 1), ([second], 1), ([first, second], -1)):
-        sums = scored.groupBy(*keys).agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(n))).withColumn("_ll", F.lit(0.0))
-        meat += sign * _sums(sums, n)[2]
-    return model.covariance @ meat @ model.covariance
+    n, zero = len(model.names), list(zero_features or [])
+    own = df.select(F.col(first).alias("_c1"), F.col(second).alias("_c2"), F.col(y).cast("double").alias("_y"), F.ln(F.col(exposure).cast("double")).alias("_off"), *(F.col(c).cast("double") for c in sorted({*features, *zero}))).where(F.col(exposure) > 0).dropna()
+    own = own.where("_y > 0") if model.family == "ztnb1" else own
+    scored = scores(own, model.family, features, zero, model.estimate).select("_c1", "_c2", *(f"_s{i}" for i in range(n)))
+    meat, found = np.zeros((n, n)), {}
+    for keys, name, sign in ((["_c1"], first, 1), (["_c2"], second, 1), (["_c1", "_c2"], "both", -1)):
+        summed = scored.groupBy(*keys).agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(n))).withColumn("_ll", F.lit(0.0))
+        _, _, outer, groups = _sums(summed, n)
+        if groups < 2:
+            raise ValueError(f"{name}: at least two clusters are needed")
+        found[name] = groups
+        meat += sign * outer * groups / (groups - 1) * (model.rows - 1) / (model.rows - n)
+    covariance, found["clipped"] = clipped(model.covariance @ meat @ model.covariance)
+    return covariance, found
 
 
 def compare(spark, fits: list[Fit]) -> DataFrame:
@@ -204,3 +183,29 @@ def compare(spark, fits: list[Fit]) -> DataFrame:
 def hurdle_expected(mean: Column, alpha: Column, positive: Column) -> Column:
     """Expected count of a hurdle: P(y > 0) times the mean of the zero-truncated NB1."""
     return positive * mean / -F.expm1(nb1_terms(F.lit(0.0), mean, alpha)["ln0"])
+
+
+def out_of_fold(df: DataFrame, family: str, features: list[str], y: str, exposure: str, keys: list[str], fold: str, zero_features: list[str] | None = None) -> DataFrame:
+    """df with expected, positive (chance of a count above 0) and log_p of each complete row, by fits on the other folds of its keys.
+
+    family: nb1, nb2, zinb1, or hurdle (occurrence times zero-truncated NB1). All folds and keys are fitted at once; the fits are a
+    small table that rows meet by key and fold.
+    """
+    spark, zero = df.sparkSession, list(zero_features or [])
+    key = F.concat_ws("|", *(F.col(c).cast("string") for c in keys)) if keys else F.lit("")
+    own = df.where(F.col(exposure) > 0).dropna(subset=[y, *features, *zero, fold]).withColumns({"k": key, "f": F.col(fold).cast("long")})
+    count, k = ("ztnb1" if family == "hurdle" else family), len(features) + 1
+    own = own.join(F.broadcast(parameters(spark, fit_many(df, count, features, y, exposure, keys, fold, zero), "_b")), ["k", "f"])
+    mean, alpha, n = F.exp(linear("_b", features) + F.ln(F.col(exposure).cast("double"))), F.exp(F.get("_b", k)), F.col(y).cast("double")
+    t = (nb2_terms if family == "nb2" else nb1_terms)(n, F.col("_m"), F.col("_a"))
+    if family == "hurdle":
+        own = own.join(F.broadcast(parameters(spark, fit_many(df, "occurrence", features, y, exposure, keys, fold), "_o")), ["k", "f"])
+        p = expit(linear("_o", features))
+        own = own.withColumns({"_m": mean, "_a": alpha, "positive": p})
+        out = {"expected": hurdle_expected(F.col("_m"), F.col("_a"), F.col("positive")), "log_p": F.when(n == 0, F.ln(1 - F.col("positive"))).otherwise(F.ln("positive") + t["ll"] - log1mexp(-t["ln0"]))}
+    else:
+        pi = expit(linear("_b", zero, k + 1)) if family == "zinb1" else F.lit(0.0)
+        own = own.withColumns({"_m": mean, "_a": alpha, "_z": pi})
+        whole = F.col("_z") + (1 - F.col("_z")) * F.exp(t["ln0"])
+        out = {"expected": (1 - F.col("_z")) * F.col("_m"), "positive": 1 - whole, "log_p": F.when(n == 0, F.ln(whole)).otherwise(F.ln(1 - F.col("_z")) + t["ll"])}
+    return own.withColumns(out).drop("k", "f", "_b", "_o", "_m", "_a", "_z")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import counts as K
 from gridloom.operators import panel as P
+from gridloom.operators.models import blocks
 from gridloom.plans.descriptive import rounded
-from gridloom.plans.relations import panel, sql
+from gridloom.plans.relations import panel, pts, sql
 
 QUERIES, ORACLE_SQL = {}, {}
 _X = ["x1_z", "x5_z"]
@@ -70,7 +71,27 @@ def count_family_comparison(spark, sf):
 
 @query("two_way_wald")
 def two_way_wald(spark, sf):
-    """Wald tests of the NB1 rates with errors clustered by unit and by year."""
+    """Wald tests of the NB1 rates with errors clustered by unit and by year, with one degree of freedom less than the fewer clusters."""
     own = _scaled(spark, sf)
     model = K.fit(own, "nb1", _X, "fire_count", "pixels")
-    return rounded(K.wald_table(spark, model, K.two_way_covariance(own, model, _X, "fire_count", "pixels", "grid_uid", "year")), 4)
+    covariance, found = K.two_way_covariance(own, model, _X, "fire_count", "pixels", "grid_uid", "year")
+    return rounded(K.wald_table(spark, model, covariance, min(found["grid_uid"], found["year"]) - 1), 4)
+
+
+def _folds(spark, sf):
+    """The scaled panel with temporal folds by year, and spatial ones by k-means blocks of the units' places."""
+    own = _scaled(spark, sf)
+    block = blocks(pts(spark, sf).where(F.col("x").isNotNull() & F.col("y").isNotNull()), "x", "y", 4).select("grid_uid", F.col("block").cast("long").alias("spatial"))
+    return own.join(block, "grid_uid").withColumn("temporal", (F.col("year") % 3).cast("long"))
+
+
+@query("oof_count_families")
+def oof_count_families(spark, sf):
+    """Mean log score, error and Brier score of NB1, hurdle and zero-inflated NB1 on rows that their fits did not see, by season and kind of fold."""
+    own, out = _folds(spark, sf), None
+    for kind in ("temporal", "spatial"):
+        for family in ("nb1", "hurdle", "zinb1"):
+            part = K.out_of_fold(own, family, _X, "fire_count", "pixels", [], kind).select(F.lit(kind).alias("folds"), F.lit(family).alias("family"), "season", "fire_count", "expected", "positive", "log_p")
+            out = part if out is None else out.unionByName(part)
+    miss, hit = F.col("expected") - F.col("fire_count"), F.col("positive") - (F.col("fire_count") > 0).cast("double")
+    return rounded(out.groupBy("folds", "family", "season").agg(F.count("*").alias("n"), (-F.avg("log_p")).alias("log_loss"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(hit * hit).alias("brier")), 4)

@@ -51,7 +51,8 @@ HOLDS = {
     "nb1_rate": wald,
     "truncated_nb1_rate": wald,
     "zinb1_rate": lambda r: r["loglik"] < 0,
-    "two_way_wald": lambda r: r["se"] >= 0,
+    "two_way_wald": lambda r: r["se"] > 0 and r["low"] < r["estimate"] < r["high"] and r["valid"],
+    "oof_count_families": lambda r: r["n"] > 0 and r["log_loss"] > 0 and 0 <= r["brier"] <= 1,
     "count_family_comparison": lambda r: r["delta_aic"] >= 0 and r["score"] < 0.05,
     "oof_attributions": lambda r: abs(r["base"] + sum(r[f"phi_{c}"] for c in ("x1", "x2", "x3", "x4", "pixels")) - r["predicted"]) < 1e-5,
     "attribution_summary": lambda r: r["mean_abs"] >= abs(r["mean"]) - 1e-6 and 0 <= r["positive"] <= 1 and 1 <= r["rank"] <= 5,
