@@ -54,17 +54,23 @@ def url_tokens(url: Column) -> Column:
     )
 
 
+def set_key(tokens: str) -> Column:
+    """A text for each token array, not the same for any two: tokens with their lengths before them. It begins with a digit, or is empty."""
+    return F.array_join(F.transform(tokens, lambda t: F.concat(F.length(t).cast("string"), F.lit(":"), t)), "")
+
+
 def labelled(pages: DataFrame, labels: DataFrame, fixed=RULES) -> DataFrame:
     """tokens_key, tokens, n and n_bad of each distinct token set of labelled pages.
 
     The fixed list labels the pages that one of its rules fits. Of the others those are labelled whose page_id is a
-    doc_id of labels: toxic or of quality 0 means bad.
+    doc_id of labels: toxic or of quality 0 means bad. That a page and the document of its number belong together is an
+    assumption: no table says so, and no other one labels pages.
     """
     label = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.max(((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")).alias("bad"))
     _, action = listed(*host_and_path(F.col("url")), fixed)
     own = pages.select(F.col("page_id").cast("long"), action.alias("action"), url_tokens(F.col("url")).alias("tokens")).join(label, "page_id", "left")
     own = own.withColumn("bad", F.coalesce((F.col("action") == "block").cast("int"), "bad")).where("bad is not null")
-    return own.groupBy(F.array_join("tokens", "\n").alias("tokens_key")).agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.sum("bad").alias("n_bad"))
+    return own.groupBy(set_key("tokens").alias("tokens_key")).agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"), F.sum("bad").alias("n_bad"))
 
 
 def token_classes(sets: DataFrame, least: int, total: int) -> DataFrame:
@@ -172,7 +178,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, fixed=RULES, hot_share: float
     host, path = host_and_path(F.col("url"))
     rule, action = listed(F.col("host"), F.col("path"), fixed)
     own = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"), url_tokens(F.col("url")).alias("tokens"))
-    own = own.withColumn("tokens_key", F.array_join("tokens", "\n")).withColumns({"rule": rule, "action": action})
+    own = own.withColumn("tokens_key", set_key("tokens")).withColumns({"rule": rule, "action": action})
     distinct = own.groupBy("tokens_key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("rows"))
     found = checkpointed(distinct.select("tokens_key", "rows").join(fired(distinct, rules), "tokens_key", "left"))
     total = found.agg(F.sum("rows")).first()[0] or 0
