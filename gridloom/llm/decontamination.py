@@ -41,7 +41,14 @@ def occurrences(values: Column) -> Column:
     """(value, number) of each value of an array: how many equal ones came before it, so that weights become a set."""
 
     def numbered(ordered: Column) -> Column:
-        return F.transform(ordered, lambda v, i: F.struct(v.alias("value"), (i + 1 - F.array_position(ordered, v)).cast("long").alias("number")))
+        """Each run of equal values is numbered from its own first place on, so the cost is linear."""
+        first = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+        def runs(at: Column) -> Column:
+            length = lambda s, j: F.coalesce(F.get(at, j + 1), F.size(ordered)) - s
+            return F.flatten(F.transform(at, lambda s, j: F.transform(F.sequence(F.lit(0), length(s, j) - 1), lambda k: F.struct(F.get(ordered, s).alias("value"), k.cast("long").alias("number")))))
+
+        return F.get(F.transform(F.array(first), runs), 0)
 
     # a lambda binds the sorted array, or it would be sorted again for each value
     repeated = F.get(F.transform(F.array(F.array_sort(values)), numbered), 0)
