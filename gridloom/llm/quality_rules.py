@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ def fit_crf(sequences: list[tuple[list[list[int]], list[int]]], rounds: int = 20
     forward-backward recursion. Without sequences all weights are 0, which labels every line as content.
     """
     weights = np.zeros((N_FEATURES + 2, 2))
-    sequences = [s for s in sequences if s[0]]
+    sequences = [s for s in sequences if len(s[0])]
     if not sequences:
         return weights
     sequences.sort(key=lambda s: -len(s[0]))
@@ -178,12 +179,13 @@ def content_share(weights: np.ndarray, features: list[list[int]], sizes: list[in
     return sum(n for n, label in zip(sizes, viterbi(weights, features), strict=True) if label == CONTENT) / total if total else 0.0
 
 
-def train(documents: DataFrame, labels: DataFrame, max_documents: int = 1500, max_lines: int = 2000, chunk: int = 40) -> np.ndarray:
+def train(documents: DataFrame, labels: DataFrame, max_documents: int = 1500, chunk: int = 40, max_chunks: int = 5000) -> np.ndarray:
     """A field fitted on a bounded sample of labelled documents: the max_documents first by a hash of doc_id.
 
     Line labels are those of the documents: one of quality 1 lends its lines as content, one of quality 0 as
-    boilerplate, except lines whose features occur at least as often under quality 1. The fit (and nothing else)
-    takes max_lines lines of a document at most, and cuts them to sequences of `chunk` lines.
+    boilerplate, except lines whose features occur at least as often under quality 1. Documents are cut to sequences
+    of `chunk` lines; the fit (and nothing else) takes max_chunks of them at most, the first by a hash of document and
+    place, wherever they stand in their text. They come to the driver as packed numbers: 10 MB at these bounds.
     """
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
@@ -191,23 +193,25 @@ def train(documents: DataFrame, labels: DataFrame, max_documents: int = 1500, ma
 
     def run(batches):
         for batch in batches:
-            quality = batch.column(2).to_pylist()
-            found = [describe(t)[1][:max_lines] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["quality", "features"])
-
-    fitted = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "quality int, features array<array<int>>").collect()
-    bad_count: dict[tuple, int] = {}
-    good_count: dict[tuple, int] = {}
-    for q, fs in fitted:
-        for f in fs:
-            side = good_count if q else bad_count
-            side[tuple(f)] = side.get(tuple(f), 0) + 1
+            out = []
+            for doc_id, text, q in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = np.array(describe(text)[1], np.int32)
+                for at in range(0, len(found), chunk):
+                    out.append((zlib.crc32(f"{doc_id}:{at}".encode()), q, found[at : at + chunk].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "quality", "lines"])
+
+    cut = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(run, "h long, quality int, lines binary")
+    fitted = [(r["quality"], np.frombuffer(r["lines"], np.int32).reshape(-1, len(_GROUPS) + 1)) for r in cut.orderBy("h", "quality", "lines").limit(max_chunks).collect()]
+    if not fitted:
+        return fit_crf([])
     # a clean line of a poor document looks like the lines of good ones: the commoner side decides
-    sequences = []
-    for q, fs in fitted:
-        for a in range(0, len(fs), chunk):
-            part = fs[a : a + chunk]
-            sequences.append((part, [CONTENT if q or good_count.get(tuple(f), 0) >= bad_count[tuple(f)] else BOILERPLATE for f in part]))
+    side = np.repeat([bool(q) for q, _ in fitted], [len(f) for _, f in fitted])
+    _, which = np.unique(np.concatenate([f for _, f in fitted]), axis=0, return_inverse=True)
+    good, bad = (np.bincount(which.ravel(), weights=w, minlength=int(which.max()) + 1) for w in (side, ~side))
+    label = np.where(side | (good >= bad)[which.ravel()], CONTENT, BOILERPLATE)
+    edges = np.cumsum([0, *(len(f) for _, f in fitted)])
+    sequences = [(f, label[a:b]) for (_, f), a, b in zip(fitted, edges[:-1], edges[1:], strict=True)]
     return fit_crf(sequences)
 
 
