@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -22,14 +23,30 @@ def safe_pieces(text: str) -> list[str]:
     return _SAFE.split(text)
 
 
+def splits_at_blanks(config: dict) -> bool:
+    """Whether a tokenizer starts a new word at each place of _SAFE: byte-level BPE by its own pattern, texts unchanged, no added token with white space.
+
+    Fixed values: names of the tokenizer file's format.
+    """
+    before = config.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+    apart = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in config.get("added_tokens", []))
+    return bool(plain and apart and not config.get("normalizer") and config["model"]["type"] == "BPE")
+
+
 def _counter(path: str, cache_words: int, batch_bytes: int):
     """A function of texts to token counts; the worker keeps it, and the counts of short pieces, for later tasks."""
     if path not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _STATE[path]
+        with open(path, encoding="utf-8") as f:
+            splits = splits_at_blanks(json.load(f))
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        _STATE[path] = tokenizer, {}, splits
+    tokenizer, known, splits = _STATE[path]
 
     def fill(new: list[str]) -> dict[str, int]:
         out: dict[str, int] = {}
@@ -43,7 +60,7 @@ def _counter(path: str, cache_words: int, batch_bytes: int):
         return out
 
     def count(batch: list[str]) -> list[int]:
-        split = [safe_pieces(t) for t in batch]
+        split = [safe_pieces(t) if splits else [t] for t in batch]
         new = fill(list({p for pieces in split for p in pieces if p not in known}))
         if len(known) + len(new) > cache_words:
             known.clear()
@@ -62,7 +79,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, batch_bytes: int = 1 << 20,
     has them. A null text is the empty one (0 bytes, 0 tokens). Rows that repeat are counted row by row,
     a null doc_id stays null, further columns are ignored, and an empty table gives an empty result.
     Texts gather to batches of about batch_bytes, and only the distinct pieces that a worker has not
-    seen before (it keeps cache_words at most) are encoded; a long text is split at safe boundaries.
+    seen before (it keeps cache_words at most) are encoded; a long text is split at safe boundaries. A tokenizer for
+    which those are not known to be safe gets each text whole.
     The tokenizer file must be at the same path on every executor.
     """
 
