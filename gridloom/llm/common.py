@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
-_TABLES: list[str] = []
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+_REST: list[str] = []
+
+
+@contextmanager
+def own_tables(spark: SparkSession, at_end: bool = True):
+    """The list of the tables that are written within this block, for delete(); others' clean_up() leaves them alone. at_end: delete what is left of them."""
+    tables: list[str] = []
+    token = _TABLES.set(tables)
+    try:
+        yield tables
+    finally:
+        _TABLES.reset(token)
+        if at_end:
+            delete(spark, tables)
+
+
+def delete(spark: SparkSession, tables: list[str], keep: str | None = None) -> int:
+    """Delete tables of a list, and take them off it, except one to keep."""
+    gone = [t for t in tables if t != keep]
+    for t in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    tables[:] = [t for t in tables if t == keep]
+    return len(gone)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for clean_up() to delete."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _TABLES.append(path)
+    (_REST if (own := _TABLES.get()) is None else own).append(path)
     return path
 
 
@@ -43,13 +69,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def leave(tables: list[str]) -> None:
+    """Tables that results still read, for clean_up()."""
+    _REST.extend(tables)
+
+
 def clean_up(spark: SparkSession) -> int:
-    """Delete the tables that this driver has written() so far; for callers, once they have stored the results that read them."""
-    count = len(_TABLES)
-    while _TABLES:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return count
+    """Delete the tables that this driver has written() outside of own_tables(); for callers, once they have stored the results that read them."""
+    return delete(spark, _REST)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

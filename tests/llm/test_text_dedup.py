@@ -352,3 +352,30 @@ def test_pipeline_follows_its_operators(spark, tmp_path):
     assert set(kept[2]) == {i for i, (c, _) in classes.items() if i == c}
     assert set(kept[3]) == set(kept[2]) - {31}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4]) == len(kept[3])
+
+
+def test_occurrences_of_many_repeats(spark):
+    from pyspark.sql import functions as F
+
+    values = [5, 3, 5, 5, 3, 9]
+    one = spark.createDataFrame([(values,), ([7] * 200_000,), ([],), ([4],)], "v array<long>").select(F.expr("size(v)").alias("n"), decontamination.occurrences(F.col("v")).alias("o"))
+    got = {r["n"]: [tuple(x) for x in r["o"]] for r in one.collect()}
+    assert sorted(got[6]) == [(3, 0), (3, 1), (5, 0), (5, 1), (5, 2), (9, 0)] and got[0] == [] and got[1] == [(4, 0)]
+    assert got[200_000] == [(7, k) for k in range(200_000)]
+
+
+def test_pipeline_on_empty_tables_and_its_tables_go(spark, tmp_path):
+    import os
+
+    from gridloom.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    left = {f for f in set(os.listdir(folder)) - before if f.startswith(("stage-", "join-", "suffix-", "trie-"))}
+    assert len(left) == 1
+    common.clean_up(spark)
+    assert not left & set(os.listdir(folder))

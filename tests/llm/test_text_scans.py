@@ -266,6 +266,29 @@ def test_secret_tokens_of_other_forms():
     assert ("pem", 0, len(headed)) in secret_scans.confirmed_spans(headed)
 
 
+def test_url_keys_tell_line_breaks_apart(spark):
+    urls = spark.createDataFrame([("http://x.q/a/b",), ("http://x.q/a\npath:b",), ("http://x.q/a",)], "url string")
+    keys = [r[0] for r in urls.select(url_filters.url_tokens("url").alias("t")).select(url_filters.set_key("t")).collect()]
+    assert len(set(keys)) == 3 and not any(k.startswith("\n") for k in keys)
+
+
+def test_unknown_pre_tokenizers_count_whole_texts(spark, make):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert not token_counts.splits_at_blanks(json.load(open(path))) and token_counts.splits_at_blanks(json.load(open(BPE)))
+    text = "Two words,\nthree  LINES é 日本"
+    assert token_counts.count_tokens(make([(1, text)]), path).first()["n_tokens"] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_field_fit_takes_chunks_by_hash(spark, make):
+    rows = [(i, "\n".join(f"line {k} of words that go on" if i % 2 else "menu | home | menu" for k in range(200))) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    few, whole = (quality_rules.train(make(rows), labels, max_chunks=n) for n in (8, 5000))
+    assert few.shape == whole.shape and np.isfinite(few).all() and not np.array_equal(few, whole)
+    assert np.array_equal(whole, quality_rules.train(make(list(reversed(rows))), labels))
+
+
 def test_secret_edges(edges, empty):
     assert secret_scans.scan_secrets(edges).count() == len(EDGES)
     assert secret_scans.scan_secrets(empty).count() == 0
@@ -370,7 +393,7 @@ def test_mined_rules_fire_only_whole(spark, share):
     rules = url_filters.mine_rules(pages, labels).cache()
     assert rules.count()
     for few in (10, 0):  # the broadcast index and the shuffled one
-        tokens = pages.select(url_filters.url_tokens(pages["url"]).alias("tokens")).selectExpr("array_join(tokens, '\\n') tokens_key", "tokens").dropDuplicates(["tokens_key"])
+        tokens = pages.select(url_filters.url_tokens(pages["url"]).alias("tokens")).select(url_filters.set_key("tokens").alias("tokens_key"), "tokens").dropDuplicates(["tokens_key"])
         got = {r["tokens_key"]: r["confidence"] for r in url_filters.fired(tokens, rules, 200_000 if few else 0).collect()}
         for t in tokens.collect():
             want = [r["confidence"] for r in rules.collect() if all(set(c) & set(t["tokens"]) for c in r["items"])]
