@@ -46,12 +46,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage but the last is written to the shared folder and read again."""
-    from gridloom.llm.common import written
+    """The rows of the last stage; every stage but the last is written to the shared folder and read again.
+
+    What a stage has written goes once the next one's table is there; only the last table stays, for the caller's clean_up().
+    """
+    from gridloom.llm.common import delete, leave, own_tables, written
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+    kept: list[str] = []
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with own_tables(spark) as tables:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+            table = tables.pop()  # the stage's own table, written last
+        delete(spark, kept)
+        kept = [table]
+    leave(kept)
+    return STAGES[-1][1](spark, docs, sf_dir)
