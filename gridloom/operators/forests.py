@@ -13,13 +13,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import correlation, ratio
 from gridloom.operators.models import assembled
-from gridloom.operators.order import exact_quantiles
+from gridloom.operators.order import exact_quantiles, numbered
+from gridloom.operators.shuffles import sent
 from gridloom.sources.scratch import checkpointed, shared_dir
 
 MOST_NODES = 1 << 20
@@ -197,6 +199,37 @@ def forest_oof(df: DataFrame, features: list[str], y: str, fold: str, trees: int
     return out
 
 
+def hurdle_importance(df: DataFrame, features: list[str], groups: dict[str, list[str]], y: str, fold: str, repeats: int = 3, trees: int = 30, depth: int = 6, leaf: int = 5, seed: int = 2026) -> DataFrame:
+    """group: mean rise, deviation and share above 0, over folds and repeats, of the squared error's root and of the log loss when a group's columns are dealt anew.
+
+    Each fold's rows are predicted by the hurdle of forests that did not see them. They are numbered once; a keyed bijection of
+    the numbers deals the columns, so a repeat is one join on the number.
+    """
+    models: dict[int, dict[str, object]] = {}
+    for k, kind, model in fold_forests(df, features, y, fold, trees, depth, leaf, seed, ("occurrence", "severity")):
+        models.setdefault(k, {})[kind] = model
+    out = None
+    for k, pair in models.items():
+        own = df.where(F.col(fold) == k).dropna(subset=[*features, y]).select(F.col(y).cast("double").alias("_y"), *features)
+        own = checkpointed(numbered(own, [], F.xxhash64(F.lit(seed), *own.columns), own.columns, "_n"))
+        n = own.count()
+
+        def scored(rows: DataFrame) -> DataFrame:
+            said = pair["severity"].setPredictionCol("_s").transform(pair["occurrence"].setPredictionCol("_c").transform(assembled(rows, features)))
+            p = F.get(vector_to_array("probability"), 1)
+            q, hit = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6)), (F.col("_y") > 0).cast("double")
+            return said.agg(F.sqrt(F.avg((p * F.col("_s") - F.col("_y")) ** 2)).alias("rmse"), (-F.avg(hit * F.ln(q) + (1 - hit) * F.ln(1 - q))).alias("log_loss"))
+
+        base = scored(own).first()
+        for g, (name, members) in enumerate(groups.items()):
+            for r in range(repeats):
+                dealt_columns = sent(own.select("_n", *members), "_n", n, seed + 1000 * r + 10 * g + k)
+                part = scored(own.drop(*members).join(dealt_columns, "_n")).select(F.lit(name).alias("feature_group"), (F.col("rmse") - F.lit(base["rmse"])).alias("rmse"), (F.col("log_loss") - F.lit(base["log_loss"])).alias("log_loss"))
+                out = part if out is None else out.unionByName(part)
+    values = [a for c in ("rmse", "log_loss") for a in (F.avg(c).alias(f"{c}_rise"), F.stddev_samp(c).alias(f"{c}_sd"), F.avg((F.col(c) > 0).cast("double")).alias(f"{c}_above"))]
+    return out.groupBy("feature_group").agg(F.count("*").alias("n"), *values)
+
+
 def long_form(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """keys, feature, x and phi: a row for each value."""
     cells = F.arrays_zip(F.array(*map(F.lit, features)).alias("feature"), F.col("x").alias("x"), F.col("phi").alias("phi"))

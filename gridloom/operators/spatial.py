@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.order import numbered
+from gridloom.operators.shuffles import dealt
 from gridloom.sources.scratch import checkpointed
 
 
@@ -65,22 +66,21 @@ def moran(points: DataFrame, edges: DataFrame, value: str, key: str = "grid_uid"
 
 
 def moran_permutation(points: DataFrame, edges: DataFrame, value: str, permutations: int, key: str = "grid_uid", seed: int = 2026, batch: int = 250) -> DataFrame:
-    """moran() with the pseudo p of `permutations` shuffles of the values: two-sided on |I - E|, z and its spread.
+    """moran() with the pseudo p of `permutations` shuffles of the values: two-sided on |I - E|, one-sided for a greater I, the
+    standard errors of both from the number of shuffles, z and the shuffles' spread.
 
-    A permutation deals the values by the order of a hash of seed, permutation and place; points are numbered by
-    ranges of the hash. A point holds its values of `batch` permutations as one array, so an edge is joined once for a
-    batch and multiplies arrays; only sums by permutation move on."""
+    Points are numbered once; a keyed bijection of the numbers is a shuffle, so none is sorted. A point holds its values of `batch`
+    shuffles as one array, so an edge is joined once for a batch and multiplies arrays; only sums by shuffle move on."""
     own = points.select(F.col(key).alias("id"), F.col(value).cast("double").alias("v")).where("v is not null")
     real = moran(points, edges, value, key)
-    mean = own.agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2"))
-    base = numbered(own, [], F.xxhash64(F.lit(seed), "id"), ["id"], "i").crossJoin(F.broadcast(mean)).select("i", (F.col("v") - F.col("m")).alias("z"))
-    copies = own.select("id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("draw"))
-    order = numbered(copies, ["draw"], F.xxhash64(F.lit(seed), "draw", "id"), ["id"], "i", bits=4)
-    dealt = order.join(base, "i").groupBy("id", F.floor(F.col("draw") / batch).alias("part")).agg(F.array_sort(F.collect_list(F.struct("draw", "z"))).alias("zs"))
-    dealt = checkpointed(dealt.select("id", "part", F.transform("zs", lambda s: s["z"]).alias("zs")))
+    mean = own.agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2"), F.count("*").alias("n"))
+    base = checkpointed(numbered(own, [], F.xxhash64(F.lit(seed), "id"), ["id"], "i").crossJoin(F.broadcast(mean.select("m", "s2"))).select("id", "i", (F.col("v") - F.col("m")).alias("z")))
+    values = checkpointed(dealt(base, "i", "z", base.count(), permutations, seed, batch).join(base.select("i", "id"), "i").select("id", "part", "zs"))
     e = edges.select("source", "neighbour", (1.0 / F.count("*").over(Window.partitionBy("source"))).alias("w"))
-    pair = e.join(dealt.select(F.col("id").alias("source"), "part", F.col("zs").alias("a")), "source").join(dealt.select(F.col("id").alias("neighbour"), "part", F.col("zs").alias("b")), ["neighbour", "part"])
+    pair = e.join(values.select(F.col("id").alias("source"), "part", F.col("zs").alias("a")), "source").join(values.select(F.col("id").alias("neighbour"), "part", F.col("zs").alias("b")), ["neighbour", "part"])
     each = pair.select("part", "w", F.posexplode(F.zip_with("a", "b", lambda a, b: a * b)).alias("k", "c")).groupBy("part", "k").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("a"))
-    both = each.crossJoin(F.broadcast(mean)).select((F.col("a") / F.col("s2")).alias("i")).crossJoin(F.broadcast(real))
-    hit = F.count_if(F.abs(F.col("i") - F.col("expected")) >= F.abs(F.col("moran") - F.col("expected")))
-    return both.agg(F.first("n").alias("n"), F.first("moran").alias("moran"), F.first("expected").alias("expected"), ((hit + 1) / (F.count("*") + 1)).alias("p"), ((F.first("moran") - F.avg("i")) / F.stddev_samp("i")).alias("z"))
+    both = each.crossJoin(F.broadcast(mean.select("s2"))).select((F.col("a") / F.col("s2")).alias("i")).crossJoin(F.broadcast(real))
+    wide = F.count_if(F.abs(F.col("i") - F.col("expected")) >= F.abs(F.col("moran") - F.col("expected")))
+    above, n = F.count_if(F.col("i") >= F.col("moran")), F.count("*")
+    out = both.agg(F.first("n").alias("n"), F.first("moran").alias("moran"), F.first("expected").alias("expected"), ((wide + 1) / (n + 1)).alias("p"), ((above + 1) / (n + 1)).alias("p_greater"), ((F.first("moran") - F.avg("i")) / F.stddev_samp("i")).alias("z"), F.stddev_samp("i").alias("spread"), n.alias("permutations"))
+    return out.withColumns({f"{c}_error": F.sqrt(F.col(c) * (1 - F.col(c)) / (F.col("permutations") + 1)) for c in ("p", "p_greater")})

@@ -8,6 +8,7 @@ from gridloom.functions import scalar as S
 from gridloom.operators import association as A
 from gridloom.operators import calendar as C
 from gridloom.operators import models as L
+from gridloom.operators import smooth as SM
 from gridloom.operators import spatial as X
 from gridloom.operators import trend as T
 from gridloom.plans.descriptive import rounded
@@ -269,3 +270,12 @@ def permutation_importance(spark, sf):
 @query("first_component_score")
 def first_component_score(spark, sf):
     return rounded(L.first_component(panel(spark, sf), ["x1", "x4", "pixels"], "x1", ["season"]).select("grid_uid", "year", "season", "score"))
+
+
+@query("fai_spline")
+def fai_spline(spark, sf):
+    """The daily index by a cyclic spline with 30 knots, and whether a step is a local peak of the curve."""
+    own = _fai(spark, sf).select("doy", "fai")
+    curve = SM.cyclic_spline(own, "doy", "fai", 366)
+    peaks = C.local_peaks(curve.select("doy", "smooth"), "doy", "smooth", 366).select("doy", F.lit(True).alias("peak"))
+    return rounded(curve.join(F.broadcast(peaks), "doy", "left").withColumn("peak", F.coalesce("peak", F.lit(False))))

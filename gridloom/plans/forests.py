@@ -67,6 +67,13 @@ def forest_baseline(spark, sf):
     return rounded(own.groupBy("season").agg(F.count("*").alias("n"), F.avg(F.abs(miss)).alias("mae"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(miss).alias("bias")))
 
 
+@query("hurdle_importance")
+def hurdle_importance(spark, sf):
+    """Permutation importance of single columns and groups for the hurdle of forests, on rows that it did not see."""
+    own = panel(spark, sf).withColumn("fold", F.col("year") % 2)
+    return rounded(T.hurdle_importance(own, _X, {"x1": ["x1"], "pixels": ["pixels"], **_GROUPS}, "fire_count", "fold", repeats=2, trees=15, depth=5))
+
+
 _CELLS = """, rate AS (SELECT season, CAST(pixels AS DOUBLE) AS px, CAST(x5 AS DOUBLE) AS x5, CAST(fire_count AS DOUBLE) / pixels AS r FROM panel),
 base AS (SELECT season, px, x5, round(r - avg(r) OVER (PARTITION BY season), 9) AS phi FROM rate),
 cells AS (SELECT season, 'pixels' AS feature, px AS x, phi FROM base UNION ALL SELECT season, 'x5', x5, phi FROM base)"""
