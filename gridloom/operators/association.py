@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import correlation, ratio
+from gridloom.operators.mixed import crossed
 from gridloom.operators.order import running_totals
 from gridloom.sources.scratch import checkpointed
 
@@ -72,15 +73,36 @@ def value_ranks(long: DataFrame, keys: list[str], x: str, name: str, digits: int
 def pair_matrix(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """a, b, n and rho for each pair of columns with a < b, over rows in which both are there.
 
-    With keys the groups are short series, ranked in windows. Without, a pair is as long as the table, so its ranks
-    come from counts of distinct values.
+    With keys the groups are short series, ranked in windows. Without, a pair is as long as the table, so ranks come from counts
+    of distinct values: those of a column without NULL once for all its pairs.
     """
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if keys:
         return spearman(df.select(*keys, F.inline(F.array(*pairs))), [*keys, "a", "b"], "x", "y")
-    long = df.select(F.inline(F.array(*pairs))).where("x is not null and y is not null")
-    own = value_ranks(value_ranks(long, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
-    return own.groupBy("a", "b").agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho")).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
+    gaps = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+    whole = [c for c in columns if not gaps[c]]
+    out = _whole_pairs(df, whole) if len(whole) > 1 else None
+    rest = [p for p, (a, b) in zip(pairs, ((a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]), strict=True) if out is None or a not in whole or b not in whole]
+    if rest:
+        long = df.select(F.inline(F.array(*rest))).where("x is not null and y is not null")
+        own = value_ranks(value_ranks(long, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
+        part = own.groupBy("a", "b").agg(F.count("*").alias("n"), correlation(F.col("rx"), F.col("ry")).alias("rho")).withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _whole_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """pair_matrix() of columns without NULL: each is ranked once, and the ranks' cross products are added up in one pass."""
+    q = len(columns)
+    rows = checkpointed(df.select(F.monotonically_increasing_id().alias("_row"), *(F.col(c).cast("double").alias(c) for c in columns)))
+    long = rows.select("_row", F.inline(F.array(*(F.struct(F.lit(i).alias("at"), F.col(c).alias("x")) for i, c in enumerate(columns)))))
+    ranks = value_ranks(long, ["at"], "x", "r").groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda s: s["r"]).alias("r"))
+    middle = F.broadcast(rows.agg(((F.count("*") + 1) / 2).alias("middle")))
+    centred = ranks.crossJoin(middle).select(F.lit("").alias("_s"), F.lit(0).cast("long").alias("n"), F.transform("r", lambda r: r - F.col("middle")).alias("d"))
+    cell = lambda i, j: F.get("cross", i * q + j)
+    pairs = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.when((cell(i, i) > 0) & (cell(j, j) > 0), cell(i, j) / F.sqrt(cell(i, i) * cell(j, j))).alias("rho")) for i in range(q) for j in range(i + 1, q)]
+    found = crossed(centred, q).select(F.col("k").alias("n"), F.inline(F.array(*pairs)))
+    return found.select("a", "b", "n", F.when(F.col("n") >= 3, F.col("rho")).alias("rho"))
 
 
 def clusters(edges: DataFrame, nodes: DataFrame, max_rounds: int = 30) -> DataFrame:

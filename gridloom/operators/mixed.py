@@ -143,8 +143,8 @@ def moments(df: DataFrame, system: str, unit: str, level: str, features: list[st
     rows = own.select("_s", "_u", F.array(*parts).alias("d"))
     names = [f"d{i}" for i in range(q)]
     units = own.select("_s", "_u", *(c.alias(n) for c, n in zip(parts, names, strict=True))).groupBy("_s", "_u").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in names))
-    sized = _crossed(units.select("_s", "n", F.array(*names).alias("d")), q)
-    whole = _crossed(rows.select("_s", F.lit(0).cast("long").alias("n"), "d"), q)
+    sized = crossed(units.select("_s", "n", F.array(*names).alias("d")), q)
+    whole = crossed(rows.select("_s", F.lit(0).cast("long").alias("n"), "d"), q)
     out: dict[str, Moments] = {}
     found = sized.unionByName(whole).collect()
     if len(found) > most_sizes * max(1, len({r["_s"] for r in found})):
@@ -159,7 +159,7 @@ def moments(df: DataFrame, system: str, unit: str, level: str, features: list[st
     return out
 
 
-def _crossed(df: DataFrame, q: int) -> DataFrame:
+def crossed(df: DataFrame, q: int) -> DataFrame:
     """_s, n, k and cross (q x q, by rows) of the vectors d, added up by _s and n: partial sums in Arrow batches, then by cell."""
 
     def run(batches):
