@@ -110,9 +110,11 @@ def _window_means(spark, sf):
     return C.window_mean(_lags(spark, sf), _clean(spark, sf), ["index"], ["year", "season", "window"])
 
 
-@query("lag_windows", sql("monthly", _WINDOWS + "SELECT year, CAST(season AS INTEGER) AS season, win AS \"window\", CAST(a AS DATE) AS start, CAST(b AS DATE) AS \"end\", date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) + 1 AS days FROM w"))
+@query("lag_windows", sql("monthly", _WINDOWS + "SELECT year, CAST(season AS INTEGER) AS season, win AS \"window\", CAST(a AS DATE) AS start, CAST(b AS DATE) AS \"end\", date_diff('day', CAST(a AS DATE), CAST(b AS DATE)) + 1 AS days FROM w WHERE year IN (SELECT year(month) FROM monthly)"))
 def lag_windows(spark, sf):
-    return _lags(spark, sf).select("year", "season", "window", "start", "end", (F.date_diff("end", "start") + 1).cast("long").alias("days"))
+    """The windows of the years that the monthly series has."""
+    years = monthly(spark, sf).select(F.year("month").alias("year")).distinct()
+    return _lags(spark, sf).join(years, "year", "left_semi").select("year", "season", "window", "start", "end", (F.date_diff("end", "start") + 1).cast("long").alias("days"))
 
 
 @query("climate_window_weighted_mean", sql("monthly", _WINDOWS + 'SELECT year, CAST(season AS INTEGER) AS season, win AS "window", index, round(mean, 6) AS mean, days FROM wv'))
@@ -216,15 +218,32 @@ def moran_permutation(spark, sf):
     return rounded(X.moran_permutation(own, X.nearest(own, 8), "value", 9999))
 
 
-_PATHS = [("spring", "temp", "dry", 0.42), ("spring", "dry", "fire", 0.31), ("spring", "temp", "fire", -0.12), ("summer", "temp", "dry", 0.25), ("summer", "dry", "fuel", -0.4), ("summer", "fuel", "fire", 0.5), ("summer", "temp", "fire", 0.2)]
+#: Steps of the paths: standardised slopes between the panel's covariates and its rate, by season.
+_STEPS = [("temp", "dry"), ("dry", "fire"), ("temp", "fire"), ("dry", "fuel"), ("fuel", "fire")]
+_STEP_SQL = " UNION ALL ".join(f"SELECT CAST(season AS VARCHAR) AS model, '{a}' AS a, '{b}' AS b, corr({b}, {a}) AS c FROM q GROUP BY season" for a, b in _STEPS)
 
 
-@query("effect_decomposition", f"WITH p(model, a, b, c) AS (VALUES {', '.join(map(str, _PATHS))}), r AS (SELECT model, 1 AS steps, CAST(c AS DOUBLE) AS effect FROM p WHERE a = 'temp' AND b = 'fire' UNION ALL SELECT x.model, 2, CAST(x.c AS DOUBLE) * y.c FROM p x JOIN p y ON x.model = y.model AND x.b = y.a WHERE x.a = 'temp' AND y.b = 'fire' UNION ALL SELECT x.model, 3, CAST(x.c AS DOUBLE) * y.c * z.c FROM p x JOIN p y ON x.model = y.model AND x.b = y.a JOIN p z ON y.model = z.model AND y.b = z.a WHERE x.a = 'temp' AND z.b = 'fire') SELECT model, round(sum(CASE WHEN steps = 1 THEN effect ELSE 0 END), 6) AS direct, round(sum(CASE WHEN steps > 1 THEN effect ELSE 0 END), 6) AS indirect, round(sum(effect), 6) AS total FROM r GROUP BY model")
+@query("effect_decomposition", sql("panel", f""", q AS (SELECT season, x1 AS temp, x2 AS dry, x3 AS fuel, CAST(fire_count AS DOUBLE) / pixels AS fire FROM panel), p AS ({_STEP_SQL}),
+r AS (SELECT model, 1 AS steps, c AS effect FROM p WHERE a = 'temp' AND b = 'fire'
+  UNION ALL SELECT x.model, 2, x.c * y.c FROM p x JOIN p y ON x.model = y.model AND x.b = y.a WHERE x.a = 'temp' AND y.b = 'fire'
+  UNION ALL SELECT x.model, 3, x.c * y.c * z.c FROM p x JOIN p y ON x.model = y.model AND x.b = y.a JOIN p z ON y.model = z.model AND y.b = z.a WHERE x.a = 'temp' AND z.b = 'fire')
+SELECT model, round(sum(CASE WHEN steps = 1 THEN effect ELSE 0 END), 6) AS direct, round(sum(CASE WHEN steps > 1 THEN effect ELSE 0 END), 6) AS indirect, round(sum(effect), 6) AS total FROM r GROUP BY model"""))
 def effect_decomposition(spark, sf):
-    paths = spark.createDataFrame(_PATHS, "model string, a string, b string, coefficient double")
+    own = panel(spark, sf).select("season", F.col("x1").alias("temp"), F.col("x2").alias("dry"), F.col("x3").alias("fuel"), (F.col("fire_count") / F.col("pixels")).alias("fire"))
+    found = own.groupBy(F.col("season").cast("string").alias("model")).agg(*(S.correlation(F.col(a), F.col(b)).alias(f"c{k}") for k, (a, b) in enumerate(_STEPS)))
+    paths = found.select("model", F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("coefficient")) for k, (a, b) in enumerate(_STEPS)))))
     return rounded(L.total_effects(L.effects(paths, "temp", "fire")))
 
 
+@query("indicator_screen")
+def indicator_screen(spark, sf):
+    """The covariates of each season that are left once inflation, correlation and condition are within bounds."""
+    own = panel(spark, sf).withColumns({"x5": F.col("x5").cast("double"), "pixels": F.col("pixels").cast("double"), "x6": F.col("x1") + 0.05 * F.col("x4")})
+    names = ["x1", "x2", "x3", "x4", "x5", "x6", "pixels"]
+    kept = [(k, f) for k in (1, 2, 3) for f in L.screen(own.where(F.col("season") == k), names)]
+    return spark.createDataFrame(kept, "season int, feature string")
+
+
 @query("sessions_by_type", "WITH l AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l) SELECT min(ts) AS start, max(ts) + INTERVAL 20 MINUTE AS \"end\", event_type, count(*) AS n FROM s GROUP BY event_type, k")
 def sessions_by_type(spark, sf):
     return C.sessions(table(spark, sf, "events"), ["event_type"], "ts", "20 minutes")

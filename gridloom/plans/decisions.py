@@ -312,13 +312,17 @@ def top_n_candidates(spark, sf):
     return A.top_rows(own, ["season"], [F.desc("fires"), F.asc("pixels"), F.asc("grid_uid")], 5)
 
 
-@query("omission_candidates", """
-WITH b(block, predictor) AS (VALUES ('size', 'x1'), ('price', 'x2'), ('price', 'x3'), ('price', 'x4'), ('place', 'x5')), c AS (SELECT DISTINCT block FROM b)
-SELECT 'without ' || c.block AS candidate, CAST(count(*) AS INTEGER) AS n_predictors, string_agg(b.predictor, ';' ORDER BY b.predictor) AS predictors FROM c JOIN b ON b.block <> c.block GROUP BY c.block
-UNION ALL SELECT 'all', CAST(count(*) AS INTEGER), string_agg(predictor, ';' ORDER BY predictor) FROM b""")
+_BLOCKS = {"x1": "size", "x2": "price", "x3": "price", "x4": "price", "x5": "place", "pixels": "size"}
+
+
+@query("omission_candidates", sql("panel", """, seen AS (""" + " UNION ALL ".join(f"SELECT '{g}' AS block, '{c}' AS predictor FROM panel HAVING count(DISTINCT {c}) > 1" for c, g in _BLOCKS.items()) + """), c AS (SELECT DISTINCT block FROM seen)
+SELECT 'without ' || c.block AS candidate, CAST(count(*) AS INTEGER) AS n_predictors, string_agg(b.predictor, ';' ORDER BY b.predictor) AS predictors FROM c JOIN seen b ON b.block <> c.block GROUP BY c.block
+UNION ALL SELECT 'all', CAST(count(*) AS INTEGER), string_agg(predictor, ';' ORDER BY predictor) FROM seen"""))
 def omission_candidates(spark, sf):
-    blocks = spark.createDataFrame([("size", "x1"), ("price", "x2"), ("price", "x3"), ("price", "x4"), ("place", "x5")], "block string, predictor string")
-    return A.omission_candidates(blocks)
+    """Candidates of the panel's predictors that vary: all, and all without each block."""
+    varied = P.missingness(panel(spark, sf), [], list(_BLOCKS)).where("n_unique > 1")
+    block = F.element_at(F.create_map(*(F.lit(x) for pair in _BLOCKS.items() for x in pair)), F.col("variable"))
+    return A.omission_candidates(varied.select(block.alias("block"), F.col("variable").alias("predictor")))
 
 
 @query("unit_conversion", sql("panel", """

@@ -45,6 +45,7 @@ HOLDS = {
     "cluster_bootstrap_ci": lambda r: ordered(r) and r["draws"] == 2000 and 0 <= r["probability_better"] <= 1,
     "cluster_inflation": lambda r: r["cluster_se"] > 0 and r["row_se"] > 0 and abs(r["inflation"] - r["cluster_se"] / r["row_se"]) < 0.05 * r["inflation"],
     "spearman_bootstrap_ci": lambda r: r["low"] is None or (ordered(r) and -1 <= r["low"] and r["high"] <= 1),
+    "indicator_screen": lambda r: r["season"] in (1, 2, 3) and r["feature"].startswith(("x", "p")),
     "fai_spline": lambda r: r["smooth_se"] > 0 and isinstance(r["peak"], bool),
     "hurdle_importance": lambda r: r["n"] == 4 and 0 <= r["rmse_above"] <= 1 and 0 <= r["log_loss_above"] <= 1,
     "moran_permutation": lambda r: 1 / 10_000 <= r["p"] <= 1 and 1 / 10_000 <= r["p_greater"] <= 1 and r["permutations"] == 9999 and abs(r["expected"] + 1 / (r["n"] - 1)) < 1e-6,
