@@ -43,6 +43,7 @@ def wald(r):
 #: What holds of every row of a query without SQL: draws, iterative fits, forests.
 HOLDS = {
     "cluster_bootstrap_ci": lambda r: ordered(r) and r["draws"] == 2000 and 0 <= r["probability_better"] <= 1,
+    "exact_bootstrap_ci": lambda r: ordered(r) and r["draws"] == 2000 and 0 <= r["probability_better"] <= 1,
     "cluster_inflation": lambda r: r["cluster_se"] > 0 and r["row_se"] > 0 and abs(r["inflation"] - r["cluster_se"] / r["row_se"]) < 0.05 * r["inflation"],
     "spearman_bootstrap_ci": lambda r: r["low"] is None or (ordered(r) and -1 <= r["low"] and r["high"] <= 1),
     "indicator_screen": lambda r: r["season"] in (1, 2, 3) and r["feature"].startswith(("x", "p")),
