@@ -249,8 +249,8 @@ def clipped(v: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def parameters(spark: SparkSession, fits: list[Fit], name: str) -> DataFrame:
-    """k, f (fold, -1 without) and the estimates of fits as an array column: a row for each fit."""
-    return spark.createDataFrame([(f.key, -1 if f.fold is None else int(f.fold), [float(b) for b in f.estimate]) for f in fits], f"k string, f long, {name} array<double>")
+    """_k, _f (fold, -1 without) and the estimates of fits as an array column: a row for each fit."""
+    return spark.createDataFrame([(f.key, -1 if f.fold is None else int(f.fold), [float(b) for b in f.estimate]) for f in fits], f"_k string, _f long, {name} array<double>")
 
 
 def linear(theta: str, features: list[str], first: int = 0) -> Column:

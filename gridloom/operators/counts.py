@@ -193,13 +193,13 @@ def out_of_fold(df: DataFrame, family: str, features: list[str], y: str, exposur
     """
     spark, zero = df.sparkSession, list(zero_features or [])
     key = F.concat_ws("|", *(F.col(c).cast("string") for c in keys)) if keys else F.lit("")
-    own = df.where(F.col(exposure) > 0).dropna(subset=[y, *features, *zero, fold]).withColumns({"k": key, "f": F.col(fold).cast("long")})
+    own = df.where(F.col(exposure) > 0).dropna(subset=[y, *features, *zero, fold]).withColumns({"_k": key, "_f": F.col(fold).cast("long")})
     count, k = ("ztnb1" if family == "hurdle" else family), len(features) + 1
-    own = own.join(F.broadcast(parameters(spark, fit_many(df, count, features, y, exposure, keys, fold, zero), "_b")), ["k", "f"])
+    own = own.join(F.broadcast(parameters(spark, fit_many(df, count, features, y, exposure, keys, fold, zero), "_b")), ["_k", "_f"])
     mean, alpha, n = F.exp(linear("_b", features) + F.ln(F.col(exposure).cast("double"))), F.exp(F.get("_b", k)), F.col(y).cast("double")
     t = (nb2_terms if family == "nb2" else nb1_terms)(n, F.col("_m"), F.col("_a"))
     if family == "hurdle":
-        own = own.join(F.broadcast(parameters(spark, fit_many(df, "occurrence", features, y, exposure, keys, fold), "_o")), ["k", "f"])
+        own = own.join(F.broadcast(parameters(spark, fit_many(df, "occurrence", features, y, exposure, keys, fold), "_o")), ["_k", "_f"])
         p = expit(linear("_o", features))
         own = own.withColumns({"_m": mean, "_a": alpha, "positive": p})
         out = {"expected": hurdle_expected(F.col("_m"), F.col("_a"), F.col("positive")), "log_p": F.when(n == 0, F.ln(1 - F.col("positive"))).otherwise(F.ln("positive") + t["ll"] - log1mexp(-t["ln0"]))}
@@ -208,4 +208,4 @@ def out_of_fold(df: DataFrame, family: str, features: list[str], y: str, exposur
         own = own.withColumns({"_m": mean, "_a": alpha, "_z": pi})
         whole = F.col("_z") + (1 - F.col("_z")) * F.exp(t["ln0"])
         out = {"expected": (1 - F.col("_z")) * F.col("_m"), "positive": 1 - whole, "log_p": F.when(n == 0, F.ln(whole)).otherwise(F.ln(1 - F.col("_z")) + t["ll"])}
-    return own.withColumns(out).drop("k", "f", "_b", "_o", "_m", "_a", "_z")
+    return own.withColumns(out).drop("_k", "_f", "_b", "_o", "_m", "_a", "_z")

@@ -46,6 +46,9 @@ HOLDS = {
     "exact_bootstrap_ci": lambda r: ordered(r) and r["draws"] == 2000 and 0 <= r["probability_better"] <= 1,
     "cluster_inflation": lambda r: r["cluster_se"] > 0 and r["row_se"] > 0 and abs(r["inflation"] - r["cluster_se"] / r["row_se"]) < 0.05 * r["inflation"],
     "spearman_bootstrap_ci": lambda r: r["low"] is None or (ordered(r) and -1 <= r["low"] and r["high"] <= 1),
+    "season_screen": lambda r: r["size"] >= 1 and r["action"] in ("measure", "drop", "add") and (r["action"] != "measure" or not r["accepted"] or (r["vif"] <= 5 and r["rho"] <= 0.8)),
+    "zero_component_screen": lambda r: r["loss"] > 0 and 1 <= r["rank"] <= 4 and r["delta"] > -1e-6 and r["stable"],
+    "count_component_screen": lambda r: r["loss"] > 0 and 1 <= r["rank"] <= 4 and r["delta"] > -1e-6 and r["stable"],
     "indicator_screen": lambda r: r["season"] in (1, 2, 3) and r["feature"].startswith(("x", "p")),
     "fai_spline": lambda r: r["smooth_se"] > 0 and isinstance(r["peak"], bool),
     "hurdle_importance": lambda r: r["n"] == 4 and 0 <= r["rmse_above"] <= 1 and 0 <= r["log_loss_above"] <= 1,
