@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.order import numbered
@@ -12,38 +12,108 @@ from gridloom.operators.shuffles import dealt
 from gridloom.sources.scratch import checkpointed
 
 
-def nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", key: str = "grid_uid", rounds: int = 40) -> DataFrame:
+#: Depth of the tree of cells: a cell's width is the greater side of the points' box by 2 to the level.
+DEEPEST = 36
+#: Levels that are counted in one pass.
+STRIDE = 5
+
+
+def _at(level: Column, box, x: str = "x", y: str = "y") -> tuple[Column, Column]:
+    """A place's cell at a level."""
+    scale = F.pow(F.lit(2.0), level) / F.lit(box["span"])
+    return F.floor((F.col(x) - F.lit(box["x0"])) * scale), F.floor((F.col(y) - F.lit(box["y0"])) * scale)
+
+
+def _by_level(df: DataFrame, box, levels: list[int]) -> DataFrame:
+    """df with level, cx and cy: its rows' cells at each of the levels."""
+    own = df.withColumn("level", F.explode(F.array(*(F.lit(level) for level in levels))))
+    cx, cy = _at(F.col("level"), box)
+    return own.withColumns({"cx": cx, "cy": cy})
+
+
+def _levels(places: DataFrame, box, least: int) -> DataFrame:
+    """x, y and level of each place: the finest one at which its cell holds at least `least` points, 0 if none does.
+
+    A few levels about the mean density are counted first. Places whose cells are still full go on to finer ones, counting only
+    each other (a full cell goes on as a whole), and those whose cells are all too empty to coarser ones.
+    """
+    first = min(max(int(math.log2(max(box["n"] / (4.0 * least), 1.0)) / 2) - 1, 0), DEEPEST)
+    done = None
+
+    def counted(open_: DataFrame, pool: DataFrame, levels: list[int]) -> DataFrame:
+        full = _by_level(pool, box, levels).groupBy("level", "cx", "cy").agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("level", "cx", "cy")
+        return checkpointed(_by_level(open_, box, levels).join(full, ["level", "cx", "cy"]).groupBy("x", "y", "n").agg(F.max("level").alias("level")))
+
+    def add(part: DataFrame) -> None:
+        nonlocal done
+        part = part.select("x", "y", "level")
+        done = part if done is None else done.unionByName(part)
+
+    low, open_ = first, places
+    while True:
+        high = min(low + STRIDE - 1, DEEPEST)
+        found = counted(open_, open_, list(range(low, high + 1)))
+        if low == first:
+            lacking = checkpointed(places.join(found.select("x", "y"), ["x", "y"], "left_anti"))
+        else:  # full at the level before, at none of these
+            add(open_.join(found.select("x", "y"), ["x", "y"], "left_anti").withColumn("level", F.lit(low - 1)))
+        if high == DEEPEST:
+            add(found)
+            break
+        add(found.where(F.col("level") < high))
+        open_, low = found.where(F.col("level") == high).select("x", "y", "n"), high + 1
+        if not open_.limit(1).count():
+            break
+    high = first - 1
+    while lacking.limit(1).count():
+        if high < 0:
+            add(lacking.withColumn("level", F.lit(0)))
+            break
+        low = max(high - STRIDE + 1, 0)
+        found = counted(lacking, places, list(range(low, high + 1)))
+        add(found)
+        lacking, high = checkpointed(lacking.join(found.select("x", "y"), ["x", "y"], "left_anti")), low - 1
+    return checkpointed(done)
+
+
+def nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", key: str = "grid_uid") -> DataFrame:
     """source, neighbour, rank, distance of each point's k nearest others, ties by key: exact, without a cross join.
 
-    Points are dealt to square cells, and a point meets those of the 3 x 3 cells around it. It is settled if its k-th
-    distance is within the cell width, as no nearer point can then be outside; the others go on with cells of twice the
-    width. Coordinates are doubles; fewer than k other points give fewer neighbours."""
+    Points of one place are answered together, and of a place the k + 1 least keys are all that anyone can need. A place's cell is
+    the smallest of a tree of cells that holds more than k points, so the k-th neighbour is no farther than the cell's
+    farthest corner: the place meets the cells of that width within this distance, 25 at most, and is done. A cell holds
+    few of those who ask at its level, however dense the points are.
+    Coordinates are doubles; rows without one are left out; fewer than k other points give fewer neighbours. Keys are distinct.
+    Places nearer to each other than the box's side by 2 to DEEPEST share a cell.
+    """
     own = points.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    box = own.agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
-    n = box["n"]
-    if n < 2:
-        return own.select(F.col("id").alias("source"), F.col("id").alias("neighbour"), F.lit(1).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
-    area = max(box["w"] * box["h"], max(box["w"], box["h"]) ** 2 / n, 1e-12)
-    width, open_points, done = math.sqrt(area * k / n), own, None
-    span = max(box["w"], box["h"], 1e-9)
-    for _ in range(rounds):
-        cell = lambda c: F.floor(F.col(c) / width)  # noqa: B023, E731
-        near = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        asked = open_points.select("id", "x", "y", F.explode(F.array(*(F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i, j in near))).alias("c")).select("id", "x", "y", "c.*")
-        there = own.select(F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
-        d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-        found = asked.join(there, ["cx", "cy"]).where("id <> other").select("id", "other", d.alias("distance"))
-        # written out: both the settled points and the result read a round's pairs
-        found = checkpointed(found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))).where(F.col("rank") <= k))
-        last = width >= span
-        settled = found.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(F.lit(last) | ((F.col("n") == k) & (F.col("far") <= width))).select("id")
-        part = found.join(settled, "id").select(F.col("id").alias("source"), F.col("other").alias("neighbour"), "rank", "distance")
-        done = part if done is None else done.unionByName(part)
-        open_points = open_points.join(settled, "id", "left_anti")
-        if last or not open_points.limit(1).count():
-            return done
-        width *= 2
-    raise RuntimeError("neighbours did not settle")
+    own = own.withColumns({c: F.col(c) + 0.0 for c in ("x", "y")})  # -0 is 0
+    limits = own.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    empty = own.select(F.col("id").alias("source"), F.col("id").alias("neighbour"), F.lit(1).alias("rank"), F.lit(0.0).alias("distance")).limit(0)
+    if limits["n"] < 2:
+        return empty
+    box = {"n": limits["n"], "x0": limits["x0"], "y0": limits["y0"], "span": max(limits["w"], limits["h"], 1e-300) * (1 + 1e-9)}
+    few = checkpointed(own.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r"))
+    places = checkpointed(own.groupBy("x", "y").agg(F.count("*").alias("n")))
+    asked = _levels(places, box, k + 1)
+    width = F.lit(box["span"]) / F.pow(F.lit(2.0), F.col("level"))
+    cx, cy = _at(F.col("level"), box)
+    asked = asked.withColumns({"w": width, "ax": cx, "ay": cy}).withColumns({"lx": F.col("x") - box["x0"] - F.col("ax") * F.col("w"), "ly": F.col("y") - box["y0"] - F.col("ay") * F.col("w")})
+    far = lambda c: F.greatest(F.col(c), F.col("w") - F.col(c))
+    near = lambda c, i: F.greatest(F.lit(0.0), i * F.col("w") - F.col(c), F.col(c) - (i + 1) * F.col("w"))
+    # no cell is left out where more points than there are would be needed, at level 0
+    reach = F.sqrt(far("lx") * far("lx") + far("ly") * far("ly")) * (1 + 1e-9) + box["span"] * 1e-13
+    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    cells = F.array(*(F.struct((F.col("ax") + i).alias("cx"), (F.col("ay") + j).alias("cy"), (F.sqrt(near("lx", i) * near("lx", i) + near("ly", j) * near("ly", j)) <= reach).alias("meets")) for i, j in around))
+    asked = asked.select("x", "y", "level", F.explode(F.filter(cells, lambda c: c["meets"])).alias("c")).select("x", "y", "level", "c.cx", "c.cy")
+    used = sorted(r[0] for r in asked.select("level").distinct().collect())
+    there = _by_level(few, box, used).select("level", "cx", "cy", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
+    found = asked.join(there, ["level", "cx", "cy"]).select("x", "y", "other", d.alias("distance"))
+    found = found.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy("distance", "other"))).where(F.col("_r") <= k + 1)
+    answers = found.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("distance", "other"))).alias("near"))
+    own = own.join(answers, ["x", "y"]).select("id", F.slice(F.filter("near", lambda o: o["other"] != F.col("id")), 1, k).alias("near"))
+    return checkpointed(own.select(F.col("id").alias("source"), F.posexplode("near").alias("i", "o")).select("source", F.col("o.other").alias("neighbour"), (F.col("i") + 1).alias("rank"), F.col("o.distance").alias("distance")))
 
 
 def graph_checks(edges: DataFrame, k: int) -> DataFrame:

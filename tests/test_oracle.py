@@ -51,6 +51,7 @@ HOLDS = {
     "count_component_screen": lambda r: r["loss"] > 0 and 1 <= r["rank"] <= 4 and r["delta"] > -1e-6 and r["stable"],
     "indicator_screen": lambda r: r["season"] in (1, 2, 3) and r["feature"].startswith(("x", "p")),
     "fai_spline": lambda r: r["smooth_se"] > 0 and isinstance(r["peak"], bool),
+    "hurdle_grid": lambda r: r["rank_sum"] > 0 and 1 <= r["position"] <= 9 and (r["position"] == 1 or not r["winner"]),
     "hurdle_importance": lambda r: r["n"] == 4 and 0 <= r["rmse_above"] <= 1 and 0 <= r["log_loss_above"] <= 1,
     "moran_permutation": lambda r: 1 / 10_000 <= r["p"] <= 1 and 1 / 10_000 <= r["p_greater"] <= 1 and r["permutations"] == 9999 and abs(r["expected"] + 1 / (r["n"] - 1)) < 1e-6,
     "vif_condition": lambda r: r["vif"] >= 1 - 1e-9 and r["condition"] >= 1,
