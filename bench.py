@@ -16,7 +16,7 @@ from gridloom import registry  # noqa: E402
 HEADLINE = [
     "frp_seasonal_series", "frp_trend_fdr", "country_season_totals_shares", "country_season_trend", "hotspot_recurrence", "count_distribution_audit", "column_inventory",
     "fai_daily", "climate_window_weighted_mean", "spearman_battery", "high_correlation_pairs", "metric_overall", "roc_auc", "calibration_bins", "grid_residual_summary",
-    "cluster_sufficient_stats", "cluster_bootstrap_ci", "knn_edges", "moran_i", "glm_poisson_offset", "sessions_by_type", "content_signature", "kendall_exact", "metric_reconciliation", "knn_components", "mixed_given_ratio", "response_curves",
+    "cluster_sufficient_stats", "cluster_bootstrap_ci", "knn_edges", "moran_i", "glm_poisson_offset", "sessions_by_type", "content_signature", "kendall_exact", "metric_reconciliation", "knn_components", "mixed_given_ratio", "response_curves", "hurdle_cluster_metrics", "season_correlations", "model_rank_sums",
 ]
 
 

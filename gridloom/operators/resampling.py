@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import ratio
 from gridloom.operators.order import numbered
+from gridloom.sources.scratch import checkpointed
 
 #: A range of so many clusters is dealt at once by a multinomial.
 LEAF = 64
@@ -59,6 +60,7 @@ def _numbered(sums: DataFrame, keys: list[str], strata: list[str], cluster: str,
     text = lambda cs: F.to_json(F.struct(*cs)) if cs else F.lit("{}")
     member = F.struct(text(keys).alias("key"), *(F.col(v).cast("double").alias(v) for v in values))
     own = sums.groupBy(text(strata).alias("stratum"), F.col(cluster).alias("cluster")).agg(F.collect_list(member).alias("members"))
+    own = checkpointed(own)  # read three times; a row for each cluster
     sizes = own.groupBy("stratum").agg(F.count("*").alias("size"))
     placed = numbered(own, ["stratum"], F.xxhash64(F.lit(seed), "stratum", F.col("cluster").cast("string")), ["cluster"], "number")
     return placed.join(sizes, "stratum").sortWithinPartitions("stratum", "number").select("stratum", "size", "number", F.inline("members"))

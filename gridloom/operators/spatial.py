@@ -15,7 +15,7 @@ from gridloom.sources.scratch import checkpointed
 #: Depth of the tree of cells: a cell's width is the greater side of the points' box by 2 to the level.
 DEEPEST = 36
 #: Levels that are counted in one pass.
-STRIDE = 5
+STRIDE = 8
 
 
 def _at(level: Column, box, x: str = "x", y: str = "y") -> tuple[Column, Column]:
@@ -37,7 +37,7 @@ def _levels(places: DataFrame, box, least: int) -> DataFrame:
     A few levels about the mean density are counted first. Places whose cells are still full go on to finer ones, counting only
     each other (a full cell goes on as a whole), and those whose cells are all too empty to coarser ones.
     """
-    first = min(max(int(math.log2(max(box["n"] / (4.0 * least), 1.0)) / 2) - 1, 0), DEEPEST)
+    first = min(max(int(math.log2(max(box["n"] / (4.0 * least), 1.0)) / 2) - 3, 0), DEEPEST)
     done = None
 
     def counted(open_: DataFrame, pool: DataFrame, levels: list[int]) -> DataFrame:
@@ -54,7 +54,7 @@ def _levels(places: DataFrame, box, least: int) -> DataFrame:
         high = min(low + STRIDE - 1, DEEPEST)
         found = counted(open_, open_, list(range(low, high + 1)))
         if low == first:
-            lacking = checkpointed(places.join(found.select("x", "y"), ["x", "y"], "left_anti"))
+            lacking = places.join(found.select("x", "y"), ["x", "y"], "left_anti")
         else:  # full at the level before, at none of these
             add(open_.join(found.select("x", "y"), ["x", "y"], "left_anti").withColumn("level", F.lit(low - 1)))
         if high == DEEPEST:
@@ -93,9 +93,10 @@ def nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", key: str = "g
     if limits["n"] < 2:
         return empty
     box = {"n": limits["n"], "x0": limits["x0"], "y0": limits["y0"], "span": max(limits["w"], limits["h"], 1e-300) * (1 + 1e-9)}
-    few = checkpointed(own.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r"))
+    few = own.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r")
     places = checkpointed(own.groupBy("x", "y").agg(F.count("*").alias("n")))
     asked = _levels(places, box, k + 1)
+    used = sorted(r[0] for r in asked.select("level").distinct().collect())
     width = F.lit(box["span"]) / F.pow(F.lit(2.0), F.col("level"))
     cx, cy = _at(F.col("level"), box)
     asked = asked.withColumns({"w": width, "ax": cx, "ay": cy}).withColumns({"lx": F.col("x") - box["x0"] - F.col("ax") * F.col("w"), "ly": F.col("y") - box["y0"] - F.col("ay") * F.col("w")})
@@ -106,7 +107,6 @@ def nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", key: str = "g
     around = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
     cells = F.array(*(F.struct((F.col("ax") + i).alias("cx"), (F.col("ay") + j).alias("cy"), (F.sqrt(near("lx", i) * near("lx", i) + near("ly", j) * near("ly", j)) <= reach).alias("meets")) for i, j in around))
     asked = asked.select("x", "y", "level", F.explode(F.filter(cells, lambda c: c["meets"])).alias("c")).select("x", "y", "level", "c.cx", "c.cy")
-    used = sorted(r[0] for r in asked.select("level").distinct().collect())
     there = _by_level(few, box, used).select("level", "cx", "cy", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
     found = asked.join(there, ["level", "cx", "cy"]).select("x", "y", "other", d.alias("distance"))
