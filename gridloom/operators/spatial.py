@@ -101,12 +101,11 @@ def nearest(points: DataFrame, k: int, x: str = "x", y: str = "y", key: str = "g
     cx, cy = _at(F.col("level"), box)
     asked = asked.withColumns({"w": width, "ax": cx, "ay": cy}).withColumns({"lx": F.col("x") - box["x0"] - F.col("ax") * F.col("w"), "ly": F.col("y") - box["y0"] - F.col("ay") * F.col("w")})
     far = lambda c: F.greatest(F.col(c), F.col("w") - F.col(c))
-    near = lambda c, i: F.greatest(F.lit(0.0), i * F.col("w") - F.col(c), F.col(c) - (i + 1) * F.col("w"))
-    # no cell is left out where more points than there are would be needed, at level 0
-    reach = F.sqrt(far("lx") * far("lx") + far("ly") * far("ly")) * (1 + 1e-9) + box["span"] * 1e-13
-    around = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
-    cells = F.array(*(F.struct((F.col("ax") + i).alias("cx"), (F.col("ay") + j).alias("cy"), (F.sqrt(near("lx", i) * near("lx", i) + near("ly", j) * near("ly", j)) <= reach).alias("meets")) for i, j in around))
-    asked = asked.select("x", "y", "level", F.explode(F.filter(cells, lambda c: c["meets"])).alias("c")).select("x", "y", "level", "c.cx", "c.cy")
+    near = lambda c, i: F.greatest(F.lit(0.0), F.col(i) * F.col("w") - F.col(c), F.col(c) - (F.col(i) + 1) * F.col("w"))
+    asked = asked.withColumn("reach", F.sqrt(far("lx") * far("lx") + far("ly") * far("ly")) * (1 + 1e-9) + box["span"] * 1e-13)
+    steps = F.array(*(F.lit(i) for i in range(-2, 3)))
+    asked = asked.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps)).withColumns({"dx": near("lx", "i"), "dy": near("ly", "j")}).where(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) <= F.col("reach"))
+    asked = asked.select("x", "y", "level", (F.col("ax") + F.col("i")).alias("cx"), (F.col("ay") + F.col("j")).alias("cy"))
     there = _by_level(few, box, used).select("level", "cx", "cy", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
     found = asked.join(there, ["level", "cx", "cy"]).select("x", "y", "other", d.alias("distance"))
