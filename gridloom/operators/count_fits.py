@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.mixed import lgamma
 
+#: Counts up to this take the recurrence of the gamma function instead of its series.
+SHORT = 24
+_FACTORIALS = np.r_[0.0, np.cumsum(np.log(np.arange(1, SHORT + 1)))]
+
 FAMILIES = ("nb1", "nb2", "ztnb1", "zinb1", "occurrence")
 
 
@@ -63,8 +67,30 @@ def polygamma_sums(y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray
         f = 1 / (z * z)
         return 1 / z + f / 2 + f / z * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30))) + sum(1 / (x + k) ** 2 for k in range(6))
 
-    none = y == 0
-    return tuple(np.where(none, 0.0, g(y + r) - g(r)) for g in (lgamma, digamma, trigamma))
+    out = tuple(np.zeros(len(y)) for _ in range(3))
+    few = (y <= SHORT) & (y == np.floor(y))
+    at = np.flatnonzero(few & (y > 0))
+    x, left = r[at], y[at]
+    while len(at):  # the recurrence: a term for each count below y, over ever fewer rows
+        one = 1 / x
+        for total, term in zip(out, (np.log(x), one, -one * one), strict=True):
+            total[at] += term
+        more = left > 1
+        at, x, left = at[more], x[more] + 1, left[more] - 1
+    if not few.all():
+        at = np.flatnonzero(~few)
+        for total, g in zip(out, (lgamma, digamma, trigamma), strict=True):
+            total[at] = g(y[at] + r[at]) - g(r[at])
+    return out
+
+
+def log_factorial(y: np.ndarray) -> np.ndarray:
+    """ln gamma at y + 1, from a table where y is a small count."""
+    few = (y >= 0) & (y <= SHORT) & (y == np.floor(y))
+    out = _FACTORIALS[np.where(few, y, 0).astype(np.int64)]
+    if not few.all():
+        out[~few] = lgamma(y[~few] + 1)
+    return out
 
 
 def count_terms(family: str, y: np.ndarray, eta: np.ndarray, ln_alpha: float) -> tuple:
@@ -74,14 +100,14 @@ def count_terms(family: str, y: np.ndarray, eta: np.ndarray, ln_alpha: float) ->
         r, am = np.full(len(y), 1 / a), a * m
         low, one = np.log1p(am), 1 + am
         g, d, t = polygamma_sums(y, r)
-        ll = g - lgamma(y + 1) - r * low + np.where(y > 0, y * (np.log(am) - low), 0.0)
+        ll = g - log_factorial(y) - r * low + np.where(y > 0, y * (np.log(am) - low), 0.0)
         own = ((y - m) / one, -d * r + r * low + (y - m) / one, -m * (1 + a * y) / one**2, -(y - m) * am / one**2, t * r * r + d * r - r * low + m / one - (y - m) * am / one**2)
         zero = (-m / one, r * low - m / one, -m / one**2, m * am / one**2, -r * low + m / one + am * m / one**2)
         return ll, own, -r * low, zero
     r, low, k, k1 = m / a, np.log1p(a), a / (1 + a), a / (1 + a) ** 2
     g, d, t = polygamma_sums(y, r)
     dr = (d - low) * r
-    ll = g - lgamma(y + 1) - r * low + y * (ln_alpha - low)
+    ll = g - log_factorial(y) - r * low + y * (ln_alpha - low)
     own = (dr, -dr - r * k + y / (1 + a), t * r * r + dr, -t * r * r - k * r - dr, t * r * r + dr + 2 * r * k - r * k1 - y * k1)
     zero = (-r * low, r * low - r * k, -r * low, r * low - r * k, -r * low + 2 * r * k - r * k1)
     return ll, own, -r * low, zero
@@ -133,26 +159,82 @@ def sums(family: str, y: np.ndarray, offset: np.ndarray, x: np.ndarray, z: np.nd
     return np.r_[ll.sum(), slope, curve.ravel(), len(y)]
 
 
-def _pass(rows: DataFrame, family: str, open_: list[tuple[int, str, int | None, np.ndarray]], width: int, zero: int) -> dict[int, np.ndarray]:
-    """The sums of all open fits (number, key, held-out fold, theta), in one job."""
+@dataclass(frozen=True)
+class Job:
+    """Fits of one family: by key, and for each fold (if any) on the rows of the others."""
+
+    family: str
+    keys: tuple[str, ...] = ()
+    fold: str | None = None
+
+    @property
+    def where(self) -> tuple:
+        return self.keys, self.fold
+
+
+def packed(rows: DataFrame, marks: int, most: int = 1 << 17) -> DataFrame:
+    """k, f and body of rows (k0, f0, k1, f1 ..., then values): one row for the rows of a task, `most` at a time, that share all k and f.
+
+    body is the matrix of their values as bytes, column by column, so that a pass over the rows reads a few large rows.
+    """
+
+    def run(batches):
+        held, n = {}, 0
+
+        def flush():
+            cells = list(held)
+            bodies = [np.concatenate(held[c], axis=1).tobytes() for c in cells]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.list_(pa.string())), pa.array([c[1] for c in cells], pa.list_(pa.int64())), pa.array(bodies, pa.binary())], ["k", "f", "body"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = np.zeros(b.num_rows, np.int64)
+            for c in b.columns[: 2 * marks]:
+                own = c.dictionary_encode(null_encoding="encode")
+                code = np.unique(code * len(own.dictionary) + own.indices.to_numpy(), return_inverse=True)[1]
+            matrix = np.stack([c.to_numpy() for c in b.columns[2 * marks :]])
+            order = np.argsort(code, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                cell = [c[int(at[0])].as_py() for c in b.columns[: 2 * marks]]
+                held.setdefault((tuple(cell[::2]), tuple(cell[1::2])), []).append(matrix[:, at])
+            n += b.num_rows
+            if n >= most:
+                yield flush()
+                n = 0
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, "k array<string>, f array<long>, body binary")
+
+
+def _pass(rows: DataFrame, open_: list[tuple[int, str, int, str, int | None, np.ndarray]], x_at: list[int], z_at: list[int]) -> dict[int, np.ndarray]:
+    """The sums of all open fits (number, family, mark, key, held-out fold, theta) over packed rows, in one job."""
+    width = 2 + len({*x_at, *z_at} - {-1})
+
+    def design(m: np.ndarray, at: list[int]) -> np.ndarray:
+        return np.stack([np.ones(m.shape[1]) if i < 0 else m[i] for i in at], axis=1)
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            key, fold = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy()
-            y, o = b.column(2).to_numpy(), b.column(3).to_numpy()
-            x = b.column(4).flatten().to_numpy().reshape(len(y), -1)
-            z = b.column(5).flatten().to_numpy().reshape(len(y), -1)
-            same = {k: key == k for k in {k for _, k, _, _ in open_}}
-            for number, k, held, theta in open_:
-                mine = same[k] if held is None else same[k] & (fold != held)
-                if mine.any():
-                    total[number] = total.get(number, 0) + sums(family, y[mine], o[mine], x[mine], z[mine], theta)
+            for k, f, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                mine = [o for o in open_ if o[3] == k[o[2]] and (o[4] is None or (f[o[2]] is not None and f[o[2]] != o[4]))]
+                if not mine:
+                    continue
+                m = np.frombuffer(body.as_buffer(), np.float64).reshape(width, -1)
+                hit = m[:, m[0] > 0] if any(o[1] == "ztnb1" for o in mine) else None
+                whole = m[0], m[1], design(m, x_at), design(m, z_at)
+                above = hit is not None and (hit[0], hit[1], design(hit, x_at), design(hit, z_at))
+                for number, family, _, _, _, theta in mine:
+                    part = above if family == "ztnb1" else whole
+                    if len(part[0]):
+                        total[number] = total.get(number, 0) + sums(family, *part, theta)
         for number, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([v])], ["i", "v"])
 
-    n = len(open_[0][3])
-    out = {number: np.full(2 + n + n * n, np.nan) for number, *_ in open_}
+    out = {o[0]: np.full(2 + len(o[5]) + len(o[5]) ** 2, np.nan) for o in open_}
     parts = rows.mapInArrow(run, "i long, v array<double>").select("i", F.posexplode("v").alias("cell", "v"))
     for i, cell, v in parts.groupBy("i", "cell").agg(F.sum("v")).collect():
         out[i][cell] = v
@@ -174,40 +256,55 @@ def fit_many(df: DataFrame, family: str, features: list[str], y: str, exposure:
     Incomplete rows and those without exposure are left out; ztnb1 takes counts above 0 only. A fit that does not settle, or
     whose information lacks rank, says so. Folds and keys are a fixed few.
     """
-    if family not in FAMILIES:
-        raise ValueError(f"unknown family {family}")
-    zero = list(zero_features or []) if family == "zinb1" else []
-    names = ["(intercept)", *features] + ([] if family == "occurrence" else ["ln_alpha"]) + (["zero:(intercept)", *(f"zero:{c}" for c in zero)] if family == "zinb1" else [])
-    vector = lambda cs: F.array(F.lit(1.0), *(F.col(c).cast("double") for c in cs))
-    key = F.concat_ws("|", *(F.col(k).cast("string") for k in keys)) if keys else F.lit("")
-    own = df.select(key.alias("k"), (F.col(fold).cast("long") if fold else F.lit(-1).cast("long")).alias("f"), F.col(y).cast("double").alias("y"), F.when(F.col(exposure) > 0, F.ln(F.col(exposure).cast("double"))).alias("o"), *(F.col(c).cast("double").alias(c) for c in {*features, *zero})).dropna()
-    own = own.where("y > 0") if family == "ztnb1" else own
-    own = own.select("k", "f", "y", "o", vector(features).alias("x"), vector(zero).alias("z")).persist()
+    return fit_jobs(df, [Job(family, tuple(keys or ()), fold)], features, y, exposure, zero_features, starts, rounds, tolerance)[0]
+
+
+def fit_jobs(df: DataFrame, jobs: list[Job], features: list[str], y: str, exposure: str, zero_features: list[str] | None = None, starts: tuple[float, ...] = (0.0, -2.0, 1.5), rounds: int = 50, tolerance: float = 1e-9) -> list[list[Fit]]:
+    """fit_many() of several jobs in common passes over the rows, which are read once."""
+    for job in jobs:
+        if job.family not in FAMILIES:
+            raise ValueError(f"unknown family {job.family}")
+    zero = list(zero_features or []) if any(j.family == "zinb1" for j in jobs) else []
+    columns = list(dict.fromkeys([*features, *zero]))
+    names = {j.family: ["(intercept)", *features] + ([] if j.family == "occurrence" else ["ln_alpha"]) + (["zero:(intercept)", *(f"zero:{c}" for c in zero)] if j.family == "zinb1" else []) for j in jobs}
+    marks = list(dict.fromkeys(j.where for j in jobs))
+    cells = []
+    for i, (keys, fold) in enumerate(marks):
+        cells += [(F.concat_ws("|", *(F.col(k).cast("string") for k in keys)) if keys else F.lit("")).alias(f"k{i}"), (F.col(fold) if fold else F.lit(-1)).cast("long").alias(f"f{i}")]
+    values = [F.col(y).cast("double").alias("v0"), F.when(F.col(exposure) > 0, F.ln(F.col(exposure).cast("double"))).alias("v1"), *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns, 2))]
+    own = df.select(*cells, *values).dropna(subset=[f"v{i}" for i in range(len(values))])
+    own = own.where("v0 > 0") if all(j.family == "ztnb1" for j in jobs) else own
+    own = packed(own, len(marks)).persist()
+    place = {c: i for i, c in enumerate(columns, 2)}
+    x_at, z_at = [-1, *(place[c] for c in features)], [-1, *(place[c] for c in zero)]
     try:
-        cells = own.groupBy("k", "f").agg(F.sum("y").alias("y"), F.sum(F.exp("o")).alias("e"), F.avg((F.col("y") > 0).cast("double")).alias("p"), F.count("*").alias("n")).collect()
         state = []
-        for k in sorted({c["k"] for c in cells}):
-            mine = [c for c in cells if c["k"] == k]
-            for held in sorted({c["f"] for c in mine}) if fold else [None]:
-                part = [c for c in mine if held is None or c["f"] != held]
-                total, e, n = (sum(c[v] for c in part) for v in ("y", "e", "n"))
-                share = sum(c["p"] * c["n"] for c in part) / max(n, 1)
-                if not total or (family == "occurrence" and share == 1):
-                    raise ValueError(f"key {k!r}, fold {held}: no positive count to fit" if not total else f"key {k!r}, fold {held}: no zero to fit")
-                for alpha in starts[:1] if family == "occurrence" else starts:
-                    theta = np.zeros(len(names))
-                    theta[0] = np.log(share / (1 - share)) if family == "occurrence" else np.log(total / e)
-                    if family != "occurrence":
-                        theta[len(features) + 1] = alpha
-                    if family == "zinb1":
-                        theta[len(features) + 2] = -1.0
-                    state.append({"key": k, "fold": held, "try": theta, "at": None, "value": -np.inf, "damp": 1.0, "settled": False, "open": True})
-        n = len(names)
+        found = _totals(own, len(values))
+        for number, job in enumerate(jobs):
+            at = marks.index(job.where)
+            mine = [{"k": k[at], "f": f[at], **(v if job.family != "ztnb1" else {**v, "n": v["hits"], "e": v["hit_e"]})} for k, f, v in found if f[at] is not None]
+            mine = [c for c in mine if c["n"]]
+            for k in sorted({c["k"] for c in mine}):
+                of_key = [c for c in mine if c["k"] == k]
+                for held in sorted({c["f"] for c in of_key}) if job.fold else [None]:
+                    part = [c for c in of_key if held is None or c["f"] != held]
+                    total, e, n, hits = (sum(c[v] for c in part) for v in ("y", "e", "n", "hits"))
+                    share = hits / max(n, 1)
+                    if not total or (job.family == "occurrence" and share == 1):
+                        raise ValueError(f"key {k!r}, fold {held}: no positive count to fit" if not total else f"key {k!r}, fold {held}: no zero to fit")
+                    for alpha in starts[:1] if job.family == "occurrence" else starts:
+                        theta = np.zeros(len(names[job.family]))
+                        theta[0] = np.log(share / (1 - share)) if job.family == "occurrence" else np.log(total / e)
+                        if job.family != "occurrence":
+                            theta[len(features) + 1] = alpha
+                        if job.family == "zinb1":
+                            theta[len(features) + 2] = -1.0
+                        state.append({"job": number, "family": job.family, "mark": at, "key": k, "fold": held, "try": theta, "at": None, "value": -np.inf, "damp": 1.0, "settled": False, "open": True})
         for _ in range(rounds):
-            open_ = [(i, s["key"], s["fold"], s["try"]) for i, s in enumerate(state) if s["open"]]
+            open_ = [(i, s["family"], s["mark"], s["key"], s["fold"], s["try"]) for i, s in enumerate(state) if s["open"]]
             if not open_:
                 break
-            for i, v in _pass(own, family, open_, n, len(zero)).items():
+            for i, v in _pass(own, open_, x_at, z_at).items():
                 s = state[i]
                 if not np.isfinite(v).all() or v[0] < s["value"] - 1e-12 * abs(s["value"]):
                     s["damp"] /= 4
@@ -216,16 +313,34 @@ def fit_many(df: DataFrame, family: str, features: list[str], y: str, exposure:
                     else:
                         s["try"] = s["at"] + s["damp"] * s["step"]
                     continue
+                n = len(s["try"])
                 curve = v[1 + n : -1].reshape(n, n)
                 step, gain = _step(v[1 : 1 + n], curve)
                 s |= {"at": s["try"], "value": v[0], "slope": v[1 : 1 + n], "curve": curve, "rows": round(v[-1]), "step": step, "damp": 1.0, "try": s["try"] + step}
                 if gain < tolerance * max(1.0, abs(v[0])):
                     s |= {"open": False, "settled": True}
-        return _best(state, family, tuple(names))
+        return [_best([s for s in state if s["job"] == number], job.family, tuple(names[job.family])) for number, job in enumerate(jobs)]
     finally:
         own.unpersist()
 
 
+def _totals(rows: DataFrame, width: int) -> list[tuple[list, list, dict]]:
+    """k, f and sums of the packed rows of each cell: count, exposure, rows, and rows and exposure of those above 0."""
+
+    def run(batches):
+        for b in batches:
+            sums_ = []
+            for body in b.column(2):
+                m = np.frombuffer(body.as_buffer(), np.float64).reshape(width, -1)
+                e, hit = np.exp(m[1]), m[0] > 0
+                sums_.append([m[0].sum(), e.sum(), float(m.shape[1]), float(hit.sum()), e[hit].sum()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums_, pa.list_(pa.float64()))], ["k", "f", "v"])
+
+    own = rows.mapInArrow(run, "k array<string>, f array<long>, v array<double>")
+    own = own.groupBy("k", "f").agg(*(F.sum(F.get("v", i)).alias(c) for i, c in enumerate(("y", "e", "n", "hits", "hit_e"))))
+    return [(r["k"], r["f"], {c: r[c] for c in ("y", "e", "n", "hits", "hit_e")}) for r in own.collect()]
+
+
 def _best(state: list[dict], family: str, names: tuple[str, ...]) -> list[Fit]:
     out: dict[tuple, Fit] = {}
     for where in sorted({(s["key"], -1 if s["fold"] is None else s["fold"]) for s in state}):

@@ -1,6 +1,10 @@
 """What must not grow faster than the input: guesses of sizes, rounds, passes."""
 
-from gridloom.operators import graph
+import math
+
+import numpy as np
+
+from gridloom.operators import count_fits, graph
 
 
 def test_components_of_a_long_path_settle_and_keep_a_small_plan(spark):
@@ -10,3 +14,33 @@ def test_components_of_a_long_path_settle_and_keep_a_small_plan(spark):
     labels = {r["node"]: r["component"] for r in found.collect()}
     assert labels == {**dict.fromkeys(range(n), 0), n: n, n + 1: n + 1, n + 2: n + 1}
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
+def _counts(spark, n=240):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=n)
+    y = rng.poisson(np.exp(0.3 + 0.4 * x) * rng.gamma(2, 0.5, n))
+    return spark.createDataFrame([(float(a), int(b), 1.0, k % 3, "ab"[k % 2]) for k, (a, b) in enumerate(zip(x, y, strict=True))], "x double, y long, e double, f long, s string").repartition(3)
+
+
+def test_gamma_sums_by_the_recurrence_keep_their_digits_where_the_series_cancels():
+    y, r = np.array([0.0, 1, 3, 24, 25, 2.5]), np.array([2.0, 1e9, 1e9, 1e9, 0.7, 0.7])
+    g, d, t = count_fits.polygamma_sums(y, r)
+    assert np.allclose(g[1:4], [sum(math.log(b + k) for k in range(int(a))) for a, b in zip(y[1:4], r[1:4], strict=True)], rtol=1e-14)
+    assert np.allclose(d[:4], [0, 1e-9, 3e-9, 24e-9], rtol=1e-7) and np.allclose(t[:4], [0, -1e-18, -3e-18, -24e-18], rtol=1e-7)
+    assert np.allclose(g[4:], [math.lgamma(25.7) - math.lgamma(0.7), math.lgamma(3.2) - math.lgamma(0.7)], rtol=1e-9)
+
+
+def test_jobs_of_several_families_and_folds_share_passes_and_end_where_single_ones_do(spark, monkeypatch):
+    df, passes, real = _counts(spark), [], count_fits._pass
+    monkeypatch.setattr(count_fits, "_pass", lambda *a: (passes.append(len(a[1])), real(*a))[1])
+    jobs = [count_fits.Job("nb1", ("s",), "f"), count_fits.Job("ztnb1"), count_fits.Job("occurrence", (), "f")]
+    together = count_fits.fit_jobs(df, jobs, ["x"], "y", "e")
+    shared, alone = len(passes), []
+    for j, found in zip(jobs, together, strict=True):
+        del passes[:]
+        one = count_fits.fit_many(df, j.family, ["x"], "y", "e", list(j.keys), j.fold)
+        alone.append(len(passes))
+        assert [(a.key, a.fold, a.rows) for a in one] == [(a.key, a.fold, a.rows) for a in found]
+        assert all(np.allclose(a.loglik, b.loglik, rtol=1e-9) for a, b in zip(one, found, strict=True))
+    assert shared == max(alone) and len(together[0]) == 6 and sum(alone) > shared
