@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import digamma, expit, lgamma, log1mexp, normal_two_sided, ratio, t_two_sided
-from gridloom.operators.count_fits import Fit, clipped, fit_many, linear, parameters
+from gridloom.operators.count_fits import Fit, Job, clipped, fit_jobs, fit_many, linear, parameters
+from gridloom.sources.scratch import checkpointed
 
 
 def _gamma_ratio(y: Column, r: Column) -> Column:
@@ -120,6 +121,11 @@ def fit(df: DataFrame, family: str, features: list[str], y: str, exposure: str,
     return fit_many(df, family, features, y, exposure, zero_features=zero_features)[0]
 
 
+def fit_families(df: DataFrame, families: list[str], features: list[str], y: str, exposure: str, zero_features: list[str] | None = None) -> list[Fit]:
+    """fit() of several families on the same rows, in common passes."""
+    return [f[0] for f in fit_jobs(df, [Job(f) for f in families], features, y, exposure, zero_features)]
+
+
 def wald_table(spark, model: Fit, covariance: np.ndarray | None = None, df: int | None = None) -> DataFrame:
     """term, estimate, se, z, p, interval and exp(estimate) of each parameter, with the likelihood, AIC and rows of the fit.
 
@@ -161,6 +167,7 @@ def two_way_covariance(df: DataFrame, model: Fit, features: list[str], y: str, e
     own = df.select(F.col(first).alias("_c1"), F.col(second).alias("_c2"), F.col(y).cast("double").alias("_y"), F.ln(F.col(exposure).cast("double")).alias("_off"), *(F.col(c).cast("double") for c in sorted({*features, *zero}))).where(F.col(exposure) > 0).dropna()
     own = own.where("_y > 0") if model.family == "ztnb1" else own
     scored = scores(own, model.family, features, zero, model.estimate).select("_c1", "_c2", *(f"_s{i}" for i in range(n)))
+    scored = checkpointed(scored.groupBy("_c1", "_c2").agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(n))))  # each kind's sums follow from those of both
     meat, found = np.zeros((n, n)), {}
     for keys, name, sign in ((["_c1"], first, 1), (["_c2"], second, 1), (["_c1", "_c2"], "both", -1)):
         summed = scored.groupBy(*keys).agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(n))).withColumn("_ll", F.lit(0.0))
@@ -185,21 +192,30 @@ def hurdle_expected(mean: Column, alpha: Column, positive: Column) -> Column:
     return positive * mean / -F.expm1(nb1_terms(F.lit(0.0), mean, alpha)["ln0"])
 
 
-def out_of_fold(df: DataFrame, family: str, features: list[str], y: str, exposure: str, keys: list[str], fold: str, zero_features: list[str] | None = None) -> DataFrame:
+def fold_jobs(families: list[str], keys: list[str], fold: str) -> list[Job]:
+    """The jobs whose fits out_of_fold() takes for families; a hurdle has two."""
+    parts = dict.fromkeys(p for f in families for p in (("ztnb1", "occurrence") if f == "hurdle" else (f,)))
+    return [Job(p, tuple(keys), fold) for p in parts]
+
+
+def out_of_fold(df: DataFrame, family: str, features: list[str], y: str, exposure: str, keys: list[str], fold: str, zero_features: list[str] | None = None, fits: dict[str, list[Fit]] | None = None) -> DataFrame:
     """df with expected, positive (chance of a count above 0) and log_p of each complete row, by fits on the other folds of its keys.
 
     family: nb1, nb2, zinb1, or hurdle (occurrence times zero-truncated NB1). All folds and keys are fitted at once; the fits are a
-    small table that rows meet by key and fold.
+    small table that rows meet by key and fold. fits: those of fold_jobs() by family, where several calls share their passes.
     """
     spark, zero = df.sparkSession, list(zero_features or [])
     key = F.concat_ws("|", *(F.col(c).cast("string") for c in keys)) if keys else F.lit("")
     own = df.where(F.col(exposure) > 0).dropna(subset=[y, *features, *zero, fold]).withColumns({"_k": key, "_f": F.col(fold).cast("long")})
     count, k = ("ztnb1" if family == "hurdle" else family), len(features) + 1
-    own = own.join(F.broadcast(parameters(spark, fit_many(df, count, features, y, exposure, keys, fold, zero), "_b")), ["_k", "_f"])
+    if fits is None:
+        jobs = fold_jobs([family], keys, fold)
+        fits = dict(zip((j.family for j in jobs), fit_jobs(df, jobs, features, y, exposure, zero), strict=True))
+    own = own.join(F.broadcast(parameters(spark, fits[count], "_b")), ["_k", "_f"])
     mean, alpha, n = F.exp(linear("_b", features) + F.ln(F.col(exposure).cast("double"))), F.exp(F.get("_b", k)), F.col(y).cast("double")
     t = (nb2_terms if family == "nb2" else nb1_terms)(n, F.col("_m"), F.col("_a"))
     if family == "hurdle":
-        own = own.join(F.broadcast(parameters(spark, fit_many(df, "occurrence", features, y, exposure, keys, fold), "_o")), ["_k", "_f"])
+        own = own.join(F.broadcast(parameters(spark, fits["occurrence"], "_o")), ["_k", "_f"])
         p = expit(linear("_o", features))
         own = own.withColumns({"_m": mean, "_a": alpha, "positive": p})
         out = {"expected": hurdle_expected(F.col("_m"), F.col("_a"), F.col("positive")), "log_p": F.when(n == 0, F.ln(1 - F.col("positive"))).otherwise(F.ln("positive") + t["ll"] - log1mexp(-t["ln0"]))}

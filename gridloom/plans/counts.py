@@ -9,6 +9,7 @@ from gridloom.operators import panel as P
 from gridloom.operators.models import blocks
 from gridloom.plans.descriptive import rounded
 from gridloom.plans.relations import panel, pts, sql
+from gridloom.sources.scratch import checkpointed
 
 QUERIES, ORACLE_SQL = {}, {}
 _X = ["x1_z", "x5_z"]
@@ -66,13 +67,13 @@ def zinb1_rate(spark, sf):
 @query("count_family_comparison")
 def count_family_comparison(spark, sf):
     own = _scaled(spark, sf)
-    return rounded(K.compare(spark, [K.fit(own, f, _X, "fire_count", "pixels") for f in ("nb1", "nb2", "zinb1")]), 3)
+    return rounded(K.compare(spark, K.fit_families(own, ["nb1", "nb2", "zinb1"], _X, "fire_count", "pixels")), 3)
 
 
 @query("two_way_wald")
 def two_way_wald(spark, sf):
     """Wald tests of the NB1 rates with errors clustered by unit and by year, with one degree of freedom less than the fewer clusters."""
-    own = _scaled(spark, sf)
+    own = checkpointed(_scaled(spark, sf))
     model = K.fit(own, "nb1", _X, "fire_count", "pixels")
     covariance, found = K.two_way_covariance(own, model, _X, "fire_count", "pixels", "grid_uid", "year")
     return rounded(K.wald_table(spark, model, covariance, min(found["grid_uid"], found["year"]) - 1), 4)
@@ -88,10 +89,13 @@ def _folds(spark, sf):
 @query("oof_count_families")
 def oof_count_families(spark, sf):
     """Mean log score, error and Brier score of NB1, hurdle and zero-inflated NB1 on rows that their fits did not see, by season and kind of fold."""
-    own, out = _folds(spark, sf), None
-    for kind in ("temporal", "spatial"):
-        for family in ("nb1", "hurdle", "zinb1"):
-            part = K.out_of_fold(own, family, _X, "fire_count", "pixels", [], kind).select(F.lit(kind).alias("folds"), F.lit(family).alias("family"), "season", "fire_count", "expected", "positive", "log_p")
+    own, out, kinds, families = checkpointed(_folds(spark, sf)), None, ("temporal", "spatial"), ("nb1", "hurdle", "zinb1")
+    jobs = [j for kind in kinds for j in K.fold_jobs(families, [], kind)]
+    fits = dict(zip(jobs, K.fit_jobs(own, jobs, _X, "fire_count", "pixels"), strict=True))
+    for kind in kinds:
+        mine = {j.family: f for j, f in fits.items() if j.fold == kind}
+        for family in families:
+            part = K.out_of_fold(own, family, _X, "fire_count", "pixels", [], kind, fits=mine).select(F.lit(kind).alias("folds"), F.lit(family).alias("family"), "season", "fire_count", "expected", "positive", "log_p")
             out = part if out is None else out.unionByName(part)
     miss, hit = F.col("expected") - F.col("fire_count"), F.col("positive") - (F.col("fire_count") > 0).cast("double")
     return rounded(out.groupBy("folds", "family", "season").agg(F.count("*").alias("n"), (-F.avg("log_p")).alias("log_loss"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(hit * hit).alias("brier")), 4)
