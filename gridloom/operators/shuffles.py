@@ -18,8 +18,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def bijection(i: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
-    """Where a permutation of 0..n-1 sends the numbers i; each key is another permutation.
+def bijection(i: np.ndarray, n: int, key: int, rounds: int = 6, back: bool = False) -> np.ndarray:
+    """Where a permutation of 0..n-1 sends the numbers i, or with back, which numbers it sends there; each key is another permutation.
 
     A Feistel network on pairs of digits (a, b) with a * b >= n, whose rounds add a hash of one digit to the other; numbers
     that come out at n or beyond go through it again until they are below, which keeps it a bijection.
@@ -34,12 +34,15 @@ def bijection(i: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     def once(x: np.ndarray) -> np.ndarray:
         left, right = (x // b).astype(np.uint64), (x % b).astype(np.uint64)
         with np.errstate(over="ignore"):
-            for k in range(rounds):
+            for k in range(rounds - 1, -1, -1) if back else range(rounds):
                 salt = seed + np.uint64(k + 1) * _STEP
+                base, other = (np.uint64(b), left) if k % 2 else (np.uint64(a), right)
+                step = _mixed(salt ^ other) % base
+                step = base - step if back else step
                 if k % 2:
-                    right = (right + _mixed(salt ^ left) % np.uint64(b)) % np.uint64(b)
+                    right = (right + step) % base
                 else:
-                    left = (left + _mixed(salt ^ right) % np.uint64(a)) % np.uint64(a)
+                    left = (left + step) % base
         return (left * np.uint64(b) + right).astype(np.int64)
 
     out = once(i)

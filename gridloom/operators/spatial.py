@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.order import numbered
-from gridloom.operators.shuffles import dealt
+from gridloom.operators.order import RANGES, _ranges, numbered
+from gridloom.operators.shuffles import bijection, dealt
 from gridloom.sources.scratch import checkpointed
 
 
@@ -134,20 +136,57 @@ def moran(points: DataFrame, edges: DataFrame, value: str, key: str = "grid_uid"
     return mean.crossJoin(s).select("n", (F.col("a") / F.col("s0") / F.col("s2")).alias("moran"), (-1.0 / (F.col("n") - 1)).alias("expected"))
 
 
-def moran_permutation(points: DataFrame, edges: DataFrame, value: str, permutations: int, key: str = "grid_uid", seed: int = 2026, batch: int = 250) -> DataFrame:
+def _drawn_there(pairs: DataFrame, base: DataFrame, n: int, permutations: int, seed: int, order: str) -> DataFrame:
+    """k and a: the weighted mean product over pairs (i, j, w, order) for each shuffle, by tasks that hold all values of base (i, z) and a range of the pairs.
+
+    Pairs go by ranges of their source's place, so that a range has few ends; a shuffle is looked up for those only.
+    """
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b.column(1).to_numpy().tobytes()], pa.binary())], ["i", "z"])
+
+    def run(left, right):
+        z = np.empty(n)
+        for i, v in zip(right.column("i").to_pylist(), right.column("z").to_pylist(), strict=True):
+            z[np.frombuffer(i, np.int64)] = np.frombuffer(v)
+        s, w = left.column("i").to_numpy(), left.column("w").to_numpy()
+        if not len(s):
+            return pa.table({"k": pa.array([], pa.int64()), "c": pa.array([], pa.float64()), "w": pa.array([], pa.float64())})
+        ends, at = np.unique(np.r_[s, left.column("j").to_numpy()], return_inverse=True)
+        s, t, out = at[: len(s)], at[len(s) :], np.empty(permutations)
+        for d in range(permutations):
+            y = z[bijection(ends, n, seed * 1_000_003 + d, back=True)]
+            out[d] = np.dot(w * y[s], y[t])
+        return pa.table({"k": np.arange(permutations), "c": out, "w": np.full(permutations, w.sum())})
+
+    cut = _ranges(pairs, order, RANGES).select("_range", "i", "j", "w")
+    all_z = base.select(F.col("i").cast("long"), "z").mapInArrow(pack, "i binary, z binary").crossJoin(base.sparkSession.range(RANGES).select(F.col("id").cast("int").alias("_range")))
+    sums = cut.groupBy("_range").cogroup(all_z.groupBy("_range")).applyInArrow(run, "k long, c double, w double")
+    return sums.groupBy("k").agg((F.sum("c") / F.sum("w")).alias("a"))
+
+
+def moran_permutation(points: DataFrame, edges: DataFrame, value: str, permutations: int, key: str = "grid_uid", seed: int = 2026, batch: int = 250, most: int = 1 << 22) -> DataFrame:
     """moran() with the pseudo p of `permutations` shuffles of the values: two-sided on |I - E|, one-sided for a greater I, the
     standard errors of both from the number of shuffles, z and the shuffles' spread.
 
-    Points are numbered once; a keyed bijection of the numbers is a shuffle, so none is sorted. A point holds its values of `batch`
-    shuffles as one array, so an edge is joined once for a batch and multiplies arrays; only sums by shuffle move on."""
-    own = points.select(F.col(key).alias("id"), F.col(value).cast("double").alias("v")).where("v is not null")
+    Points are numbered once; a keyed bijection of the numbers is a shuffle, so none is sorted. Up to `most` points (counted first; 32 MB of
+    values) a task holds all values and a range of the edges, along points' x where they have one: no value is moved for a shuffle. Beyond
+    that, a point holds its values of `batch` shuffles as one array, so an edge is joined once for a batch and multiplies
+    arrays. Either way only sums by shuffle move on, and both have the same shuffles."""
+    own = points.select(F.col(key).alias("id"), F.col(value).cast("double").alias("v"), (F.col("x").cast("double") if "x" in points.columns else F.lit(None).cast("double")).alias("o")).where("v is not null")
     real = moran(points, edges, value, key)
     mean = own.agg(F.avg("v").alias("m"), F.var_pop("v").alias("s2"), F.count("*").alias("n"))
-    base = checkpointed(numbered(own, [], F.xxhash64(F.lit(seed), "id"), ["id"], "i").crossJoin(F.broadcast(mean.select("m", "s2"))).select("id", "i", (F.col("v") - F.col("m")).alias("z")))
-    values = checkpointed(dealt(base, "i", "z", base.count(), permutations, seed, batch).join(base.select("i", "id"), "i").select("id", "part", "zs"))
+    base = checkpointed(numbered(own, [], F.xxhash64(F.lit(seed), "id"), ["id"], "i").crossJoin(F.broadcast(mean.select("m", "s2"))).select("id", "i", (F.col("v") - F.col("m")).alias("z"), F.coalesce("o", F.col("i").cast("double")).alias("o")))
+    n = base.count()
     e = edges.select("source", "neighbour", (1.0 / F.count("*").over(Window.partitionBy("source"))).alias("w"))
-    pair = e.join(values.select(F.col("id").alias("source"), "part", F.col("zs").alias("a")), "source").join(values.select(F.col("id").alias("neighbour"), "part", F.col("zs").alias("b")), ["neighbour", "part"])
-    each = pair.select("part", "w", F.posexplode(F.zip_with("a", "b", lambda a, b: a * b)).alias("k", "c")).groupBy("part", "k").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("a"))
+    if n <= most:
+        pairs = e.join(base.select(F.col("id").alias("source"), "i", "o"), "source").join(base.select(F.col("id").alias("neighbour"), F.col("i").alias("j")), "neighbour")
+        each = _drawn_there(checkpointed(pairs.select(F.col("i").cast("long"), F.col("j").cast("long"), "w", "o")), base, n, permutations, seed, "o")
+    else:
+        values = checkpointed(dealt(base, "i", "z", n, permutations, seed, batch).join(base.select("i", "id"), "i").select("id", "part", "zs"))
+        pair = e.join(values.select(F.col("id").alias("source"), "part", F.col("zs").alias("a")), "source").join(values.select(F.col("id").alias("neighbour"), "part", F.col("zs").alias("b")), ["neighbour", "part"])
+        each = pair.select("part", "w", F.posexplode(F.zip_with("a", "b", lambda a, b: a * b)).alias("k", "c")).groupBy("part", "k").agg((F.sum(F.col("w") * F.col("c")) / F.sum("w")).alias("a"))
     both = each.crossJoin(F.broadcast(mean.select("s2"))).select((F.col("a") / F.col("s2")).alias("i")).crossJoin(F.broadcast(real))
     wide = F.count_if(F.abs(F.col("i") - F.col("expected")) >= F.abs(F.col("moran") - F.col("expected")))
     above, n = F.count_if(F.col("i") >= F.col("moran")), F.count("*")

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from gridloom.operators import count_fits, graph
+from gridloom.operators import count_fits, graph, shuffles, spatial
 
 
 def test_components_of_a_long_path_settle_and_keep_a_small_plan(spark):
@@ -44,3 +44,16 @@ def test_jobs_of_several_families_and_folds_share_passes_and_end_where_single_on
         assert [(a.key, a.fold, a.rows) for a in one] == [(a.key, a.fold, a.rows) for a in found]
         assert all(np.allclose(a.loglik, b.loglik, rtol=1e-9) for a, b in zip(one, found, strict=True))
     assert shared == max(alone) and len(together[0]) == 6 and sum(alone) > shared
+
+
+def test_shuffles_are_looked_up_where_the_edges_are_with_the_same_results(spark, monkeypatch):
+    for n in (2, 7, 100, 997):
+        assert (shuffles.bijection(shuffles.bijection(np.arange(n), n, 5), n, 5, back=True) == np.arange(n)).all()
+    rng = np.random.default_rng(1)
+    points = spark.createDataFrame([(k, *map(float, rng.normal(size=3))) for k in range(150)] + [(150, 0.0, 0.0, None)], "grid_uid long, x double, y double, v double")
+    edges = spatial.nearest(points, 4)
+    moved = spatial.moran_permutation(points, edges, "v", 60, batch=25, most=0).first()
+    monkeypatch.setattr(spatial, "dealt", None)  # no value is moved
+    here = spatial.moran_permutation(points, edges, "v", 60).first()
+    assert all(abs(moved[c] - here[c]) < 1e-9 for c in here.asDict())
+    assert spatial.moran_permutation(points.drop("x"), edges, "v", 60).first()["p"] == here["p"]
