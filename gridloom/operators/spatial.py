@@ -160,8 +160,9 @@ def _drawn_there(pairs: DataFrame, base: DataFrame, n: int, permutations: int, s
             out[d] = np.dot(w * y[s], y[t])
         return pa.table({"k": np.arange(permutations), "c": out, "w": np.full(permutations, w.sum())})
 
-    cut = _ranges(pairs, order, RANGES).select("_range", "i", "j", "w")
-    all_z = base.select(F.col("i").cast("long"), "z").mapInArrow(pack, "i binary, z binary").crossJoin(base.sparkSession.range(RANGES).select(F.col("id").cast("int").alias("_range")))
+    ranges = max(2, min(RANGES, n // 800))  # a shuffle has a fixed cost in each
+    cut = _ranges(pairs, order, ranges).select("_range", "i", "j", "w")
+    all_z = base.select(F.col("i").cast("long"), "z").mapInArrow(pack, "i binary, z binary").crossJoin(base.sparkSession.range(ranges).select(F.col("id").cast("int").alias("_range")))
     sums = cut.groupBy("_range").cogroup(all_z.groupBy("_range")).applyInArrow(run, "k long, c double, w double")
     return sums.groupBy("k").agg((F.sum("c") / F.sum("w")).alias("a"))
 
