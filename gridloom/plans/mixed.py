@@ -10,6 +10,7 @@ from gridloom.operators import mixed as M
 from gridloom.operators import panel as P
 from gridloom.plans.descriptive import rounded
 from gridloom.plans.relations import panel, sql
+from gridloom.sources.scratch import checkpointed
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -29,8 +30,8 @@ _CONTROLS = [*(f"is_{c.lower().replace(' ', '_')}" for c in _COUNTRIES), "year_z
 
 
 def scores(spark, sf):
-    """Four scores of the panel within its season (meteorology, vegetation, topography, people), controls, response and log exposure."""
-    own = panel(spark, sf)
+    """Four scores of the panel within its season (meteorology, vegetation, topography, people), controls, response and log exposure. The panel is stored, as fits read it again and again."""
+    own = checkpointed(panel(spark, sf))
     scaled = P.zscore(own.withColumns({"year_d": F.col("year").cast("double"), "x5": F.col("x5").cast("double")}), ["season"], ["x1", "x3", "x4", "x5", "year_d"], population=True)
     flags = {n: (F.col("country") == c).cast("double") for n, c in zip(_CONTROLS, _COUNTRIES, strict=False)}
     return scaled.withColumns(flags).select(
@@ -80,7 +81,9 @@ def path_effects(spark, sf):
         "topography>vegetation>activity": [("vegetation", "topography"), ("activity", "vegetation")],
         "topography>meteorology>vegetation>activity": [("meteorology", "topography"), ("vegetation", "meteorology"), ("activity", "vegetation")],
     }
-    found = E.along(E.drawn(E.coefficient_rows(spark, rows), 5000), routes)
+    used = {step for steps in routes.values() for step in steps}
+    on_routes = E.coefficient_rows(spark, rows).where(F.concat_ws(">", "equation", "term").isin([f"{e}>{t}" for e, t in used]))
+    found = E.along(E.drawn(on_routes, 5000), routes)
     return rounded(E.summary(E.with_totals(found, ["topography>activity"])), 4)
 
 
