@@ -5,8 +5,8 @@ Unit effects are eliminated inside their unit, so the driver only sees matrices
 Gaussian: a unit's effect enters through its number of rows n and its sums alone, with the weight 1 / (n + 1 / ratio).
 Cross products of the sums are added up by n, in one aggregation; the likelihood of any variances follows from those.
 
-Tweedie: the likelihood is Laplace's approximation. A pass over the units finds each unit's mode by Newton steps where
-its rows are, and adds up value, slopes and curvature for several candidates of all systems at once.
+Tweedie: the likelihood is Laplace's approximation. A pass over the units, packed in blocks, finds each unit's mode by Newton
+steps where its rows are, and adds up value, slopes and curvature for several candidates of all systems at once.
 """
 
 from __future__ import annotations
@@ -276,69 +276,138 @@ def tweedie_log_density(y: np.ndarray, mean: np.ndarray, phi: float, power: floa
     return out
 
 
-def _unit_pass(y, offset, x, t, first, theta: dict, n_levels: int) -> np.ndarray:
-    """Sums over the units of one batch for one candidate: value, slopes and curvature by (fixed effects, levels), rows, greatest unit slope left."""
+@dataclass
+class Block:
+    """Units of one system: rows' y, offset, x (fixed effects by rows) and level, first row and number of rows of each unit, distinct y above 0 and their counts."""
+
+    y: np.ndarray
+    offset: np.ndarray
+    x: np.ndarray
+    level: np.ndarray
+    n_levels: int
+    first: np.ndarray
+    size: np.ndarray
+    above: np.ndarray
+    times: np.ndarray
+
+
+def _unit_pass(own: Block, theta: dict, series: float, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, modes) of a block for one candidate: value, slopes and curvature by (fixed effects, levels), rows and units.
+
+    Newton steps begin at u. A unit's effect is a factor of its rows' means, so a step needs the unit's two sums only, unless a
+    predictor comes near the bounds, where each row is bounded on its own.
+    """
     power, phi, sd = theta["power"], theta["phi"], theta["sd_unit"]
-    z = np.concatenate([x, np.eye(n_levels)[t]], axis=1)
-    eta0 = z @ theta["z"] + offset
-    u = np.zeros(len(first))
-    size = np.diff(np.r_[first, len(y)])
+    p, units = len(own.x), len(own.first)
+    eta0 = theta["z"][:p] @ own.x + own.offset
+    if own.n_levels:
+        eta0 += theta["z"][p:][own.level]
+    most = np.abs(eta0).max(initial=0)
+    inner = np.clip(eta0, -60, 60)
+    low, high = own.y * np.exp((1 - power) * inner), np.exp((2 - power) * inner)
+    sum_low, sum_high = np.add.reduceat(low, own.first), np.add.reduceat(high, own.first)
+
+    def bounded(u):
+        eta = np.clip(eta0 + np.repeat(u, own.size), -60, 60)
+        return own.y * np.exp((1 - power) * eta), np.exp((2 - power) * eta)
+
     for k in range(60):
-        eta = np.clip(eta0 + np.repeat(u, size), -60, 60)
-        m1, m2 = y * np.exp((1 - power) * eta), np.exp((2 - power) * eta)
-        slope = np.add.reduceat((m1 - m2) / phi, first) - u / sd**2
-        bend = np.add.reduceat(((2 - power) * m2 + (power - 1) * m1) / phi, first) + 1 / sd**2
+        plain = most + np.abs(u).max(initial=0) < 60
+        if plain:
+            a, b = sum_low * np.exp((1 - power) * u), sum_high * np.exp((2 - power) * u)
+        else:
+            a, b = (np.add.reduceat(m, own.first) for m in bounded(u))
+        slope = (a - b) / phi - u / sd**2
+        bend = ((2 - power) * b + (power - 1) * a) / phi + 1 / sd**2
         step = np.clip(slope / bend, -1, 1)
         if k == 59 or np.abs(step).max(initial=0) < 1e-9:
             break
         u = u + step
+    m1, m2 = (low * np.repeat(np.exp((1 - power) * u), own.size), high * np.repeat(np.exp((2 - power) * u), own.size)) if plain else bounded(u)
     d_eta, w = (m1 - m2) / phi, ((2 - power) * m2 + (power - 1) * m1) / phi
-    ll = m1 / ((1 - power) * phi) - m2 / ((2 - power) * phi)
-    value = ll.sum() + theta["series"](y) - (u * u).sum() / (2 * sd**2) - 0.5 * np.log(bend * sd**2).sum()
-    wz = w[:, None] * z
-    sums = np.add.reduceat(wz, first, axis=0)
-    curve = z.T @ wz - (sums / bend[:, None]).T @ sums
-    return np.r_[value, z.T @ d_eta, curve.ravel(), len(y), len(first)]
+    ll = m1.sum() / ((1 - power) * phi) - m2.sum() / ((2 - power) * phi)
+    value = ll + series - (u * u).sum() / (2 * sd**2) - 0.5 * np.log(bend * sd**2).sum()
+    wx = w * own.x
+    cell = np.repeat(np.arange(units), own.size) * own.n_levels + own.level
+    sums = np.concatenate([np.stack([np.add.reduceat(r, own.first) for r in wx], axis=1), np.bincount(cell, w, units * own.n_levels).reshape(units, -1)], axis=1)
+    by_level = lambda v: np.bincount(own.level, v, own.n_levels)
+    cross = np.stack([by_level(r) for r in wx])
+    curve = np.block([[wx @ own.x.T, cross], [cross.T, np.diag(by_level(w))]]) - (sums / bend[:, None]).T @ sums
+    return np.r_[value, own.x @ d_eta, by_level(d_eta), curve.ravel(), len(own.y), units], u
 
 
-def _sum_pass(units: DataFrame, candidates: dict[str, list[dict]], n_levels: int, q: int) -> dict[str, list[np.ndarray]]:
-    """_unit_pass() of all candidates of all systems over all units: one job, summed by cell."""
-    size = 1 + q + q * q + 2
+#: Rows of a block of units: so many that its columns stay close to the processor.
+BLOCK = 1 << 13
+
+
+def _packed(units: DataFrame, p: int) -> DataFrame:
+    """_s, sizes and body of units (_s, rows): one row for about BLOCK rows of a system's units; body is their y, o, t and x, column by column, as bytes."""
 
     def run(batches):
-        total: dict[tuple[str, int], np.ndarray] = {}
         for b in batches:
             system = np.array(b.column(0).to_pylist(), object)
             counts = pa.compute.list_value_length(b.column(1)).to_numpy()
             flat = b.column(1).flatten()
-            cells = {f: flat.field(f).to_numpy(zero_copy_only=False) for f in ("y", "o", "t")}
-            x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+            x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(len(flat), p)
+            cells = np.concatenate([np.stack([flat.field(f).to_numpy(zero_copy_only=False) for f in ("y", "o", "t")]).astype(float), x.T])
             owner = np.repeat(np.arange(len(counts)), counts)
-            for s, own in candidates.items():
-                mine = system == s
-                if not mine.any():
+            for s in set(system):
+                mine = np.flatnonzero(system == s)
+                for part in np.split(mine, np.flatnonzero(np.diff(np.cumsum(counts[mine]) // BLOCK)) + 1):
+                    at = np.isin(owner, part)
+                    yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([counts[part].astype(np.int64).tobytes()], pa.binary()), pa.array([cells[:, at].tobytes()], pa.binary())], ["_s", "sizes", "body"])
+
+    return units.mapInArrow(run, "_s string, sizes binary, body binary")
+
+
+def _block(sizes: bytes, body: bytes, p: int, n_levels: int) -> Block:
+    cells = np.frombuffer(body, np.float64).reshape(3 + p, -1)
+    size = np.frombuffer(sizes, np.int64)
+    y = cells[0]
+    above, times = np.unique(y[y > 0], return_counts=True)
+    return Block(y, cells[1], cells[3:], cells[2].astype(np.int64), n_levels, np.r_[0, np.cumsum(size)[:-1]], size, above, times)
+
+
+def _sum_pass(blocks: DataFrame, candidates: dict[str, list[dict]], n_levels: int, q: int) -> dict[str, list[np.ndarray]]:
+    """_unit_pass() of all candidates of all systems over all units: one job. A task's sums of a system are one row, and these are added up.
+
+    Candidates lie close together, so that each begins at the modes of the one before. Their series goes by distinct y.
+    """
+    size = 1 + q + q * q + 2
+
+    def rows(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["_s", "v"])
+
+    def run(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for s, sizes, body in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if s not in candidates:
                     continue
-                at = mine[owner]
-                first = np.r_[0, np.cumsum(counts[mine])[:-1]]
+                own = _block(sizes.as_buffer(), body.as_buffer(), q - n_levels, n_levels)
                 known: dict[tuple[float, float], float] = {}
-                for i, theta in enumerate(own):
-
-                    def series(y, theta=theta, known=known):
-                        key = theta["phi"], theta["power"]
-                        if key not in known:
-                            known[key] = float(tweedie_series(y[y > 0], *key).sum())
-                        return known[key]
-
-                    part = _unit_pass(cells["y"][at], cells["o"][at], x[at], cells["t"][at], first, {**theta, "series": series}, n_levels)
-                    total[s, i] = total.get((s, i), 0) + part
-        for (s, i), v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([i], pa.int64()), pa.array([v])], ["_s", "i", "v"])
-
-    parts = units.mapInArrow(run, "_s string, i long, v array<double>").select("_s", "i", F.posexplode("v").alias("cell", "v"))
-    out = {s: [np.zeros(size) for _ in c] for s, c in candidates.items()}
-    for s, i, cell, v in parts.groupBy("_s", "i", "cell").agg(F.sum("v")).collect():
-        out[s][i][cell] = v
-    return out
+                u = np.zeros(len(own.first))
+                sums = total.setdefault(s, np.zeros((len(candidates[s]), size)))
+                for i, theta in enumerate(candidates[s]):
+                    key = theta["phi"], theta["power"]
+                    if key not in known:
+                        known[key] = float(tweedie_series(own.above, *key) @ own.times)
+                    part, u = _unit_pass(own, theta, known[key], u)
+                    sums[i] += part
+        yield rows(total)
+
+    def add(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for s, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[s] = total.get(s, 0) + np.frombuffer(v.as_buffer(), np.float64)
+        yield rows(total)
+
+    schema = "_s string, v binary"
+    out = {s: np.zeros((len(c), size)) for s, c in candidates.items()}
+    for s, v in blocks.mapInArrow(run, schema).repartition("_s").mapInArrow(add, schema).collect():
+        out[s] += np.frombuffer(v, np.float64).reshape(-1, size)
+    return {s: list(v) for s, v in out.items()}
 
 
 def _read(v: np.ndarray, z: np.ndarray, sd_level: float, p: int) -> dict:
@@ -364,15 +433,19 @@ def tweedie(df: DataFrame, system: str, unit: str, level: str, features: list[st
 
     Variances, dispersion and power maximise Laplace's likelihood by Newton steps from central differences; fixed effects are at
     the joint mode with the random ones at each of those, then take two steps along the slope of the likelihood itself. Incomplete
-    rows, and those with y below 0, are left out. A unit's rows are one array, as a unit has few rows for each level.
+    rows, and those with y below 0, are left out. A unit's rows are one array, as a unit has few rows for each level. df is read
+    three times, so it should be written out (checkpointed) if it is dear.
     """
     own = complete(df, system, unit, level, y, features, offset).where("_y >= 0")
     levels = _levels(own, "_t", most_levels)
     number = F.array_position(F.array(*map(F.lit, levels)), F.col("_t")).cast("int") - 1 if levels else F.lit(0)
     row = F.struct(F.col("_y").alias("y"), F.col("_o").alias("o"), number.alias("t"), F.array(F.lit(1.0), *(F.col(f"_x{i}") for i in range(len(features)))).alias("x"))
-    units = checkpointed(own.groupBy("_s", "_u").agg(F.collect_list(row).alias("rows")).select("_s", "rows"))
-    start = own.groupBy("_s").agg(F.ln(F.sum("_y") / F.sum(F.exp("_o"))).alias("b"), F.avg("_y").alias("m")).orderBy("_s").collect()
+    start = own.groupBy("_s").agg(F.ln(F.sum("_y") / F.sum(F.exp("_o"))).alias("b"), F.avg("_y").alias("m"), F.count("*").alias("n")).orderBy("_s").collect()
     p, q = len(features) + 1, len(features) + 1 + len(levels)
+    # so many tasks in each pass, whatever the size that the rows had before
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, sum(r["n"] for r in start) // (64 * BLOCK))
+    units = own.repartition(tasks, "_s", "_u").groupBy("_s", "_u").agg(F.collect_list(row).alias("rows")).select("_s", "rows")
+    blocks = checkpointed(_packed(units, p))
     state = {}
     for r in start:
         if r["b"] is None:
@@ -382,7 +455,7 @@ def tweedie(df: DataFrame, system: str, unit: str, level: str, features: list[st
         state[r["_s"]] = {"z": z, "psi": np.array([0.5 * np.log(max(r["m"], 1e-3)), 0.0, -1.0, -1.0]), "best": -np.inf, "damp": 1.0, "done": False}
 
     def evaluate(asked: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> dict[str, list[dict]]:
-        found = _sum_pass(units, {s: [_theta(psi, z) for psi, z in c] for s, c in asked.items()}, len(levels), q)
+        found = _sum_pass(blocks, {s: [_theta(psi, z) for psi, z in c] for s, c in asked.items()}, len(levels), q)
         return {s: [_read(v, z, float(np.exp(psi[3])), p) for v, (psi, z) in zip(found[s], asked[s], strict=True)] for s in asked}
 
     def settle(asked: dict[str, list[tuple[np.ndarray, np.ndarray]]], passes: int) -> tuple[dict, dict]:

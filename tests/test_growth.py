@@ -1,10 +1,15 @@
 """What must not grow faster than the input: guesses of sizes, rounds, passes."""
 
 import math
+import os
 
 import numpy as np
+import pytest
 
-from gridloom.operators import count_fits, graph, shuffles, spatial
+from gridloom.operators import count_fits, graph, mixed, shuffles, spatial
+from gridloom.plans import mixed as plans_mixed
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_components_of_a_long_path_settle_and_keep_a_small_plan(spark):
@@ -57,3 +62,42 @@ def test_shuffles_are_looked_up_where_the_edges_are_with_the_same_results(spark,
     here = spatial.moran_permutation(points, edges, "v", 60).first()
     assert all(abs(moved[c] - here[c]) < 1e-9 for c in here.asDict())
     assert spatial.moran_permutation(points.drop("x"), edges, "v", 60).first()["p"] == here["p"]
+
+
+def _block(rng, units=40, levels=5):
+    size = rng.integers(1, levels + 1, units)
+    level = np.concatenate([rng.permutation(levels)[:k] for k in size])
+    n = len(level)
+    y = rng.integers(0, 4, n) / 2
+    cells = np.stack([y, rng.normal(size=n) * 0.2, level.astype(float), np.ones(n), rng.normal(size=n)])
+    return mixed._block(size.astype(np.int64).tobytes(), cells.tobytes(), 2, levels), cells, size
+
+
+def test_a_pass_of_the_tweedie_fit_takes_distinct_values_and_sums_of_units():
+    own, cells, size = _block(np.random.default_rng(5))
+    y, offset, level, x = cells[0], cells[1], cells[2].astype(int), cells[3:].T
+    assert len(own.above) <= 3 and own.times.sum() == (y > 0).sum()
+    z = np.concatenate([x, np.eye(5)[level]], axis=1)
+    for scale in (0.3, 40.0):  # the larger one reaches the bounds of the predictor
+        theta = {"power": 1.4, "phi": 0.9, "sd_unit": 0.5, "z": scale * np.array([0.4, 1.0, 0.2, -0.1, 0.3, 0.0, -0.2])}
+        got, u = mixed._unit_pass(own, theta, 0.0, np.zeros(len(size)))
+        eta = np.clip(z @ theta["z"] + offset + np.repeat(u, size), -60, 60)
+        low, high = y * np.exp(-0.4 * eta), np.exp(0.6 * eta)
+        w = (0.6 * high + 0.4 * low) / 0.9
+        owner = np.repeat(np.arange(len(size)), size)
+        inside = np.eye(len(size))[owner]
+        bend = inside.T @ w + 4
+        curve = z.T @ (w[:, None] * z) - (z.T @ (w[:, None] * inside) / bend) @ (inside.T @ (w[:, None] * z))
+        value = (low / (-0.4 * 0.9) - high / (0.6 * 0.9)).sum() - 2 * (u * u).sum() - 0.5 * np.log(bend * 0.25).sum()
+        assert np.allclose(got, np.r_[value, z.T @ (low - high) / 0.9, curve.ravel(), len(y), len(size)], rtol=1e-7, atol=1e-7 * np.abs(curve).max())
+        if scale < 1:
+            assert np.allclose(inside.T @ (low - high) / 0.9, 4 * u, atol=1e-6)
+            warm, _ = mixed._unit_pass(own, theta, 0.0, u + 0.1)
+            assert np.allclose(got, warm, rtol=1e-7, atol=1e-7 * np.abs(curve).max())
+
+
+def test_scores_of_the_mixed_models_are_stored_once(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    plan = plans_mixed.scores(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan and "grid_uid" in plan
