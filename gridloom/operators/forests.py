@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import correlation, ratio
 from gridloom.operators.models import assembled
-from gridloom.operators.order import exact_quantiles, numbered
+from gridloom.operators.order import exact_quantiles, numbered, running_totals
 from gridloom.operators.shuffles import sent
 from gridloom.sources.scratch import checkpointed, shared_dir
 
@@ -29,7 +29,9 @@ MOST_NODES = 1 << 20
 
 @dataclass
 class Leaf:
-    """value, and for the distinct features of the path: their number, interval (low, high], share of rows that go on, and path change."""
+    """value, and for the distinct features of the path: their number, interval (low, high], share of rows that go on, and path change.
+
+    table: Shapley values by feature and pattern of the features that hold a row, once they are asked for."""
 
     value: float
     features: np.ndarray
@@ -37,6 +39,7 @@ class Leaf:
     high: np.ndarray
     share: np.ndarray
     change: np.ndarray
+    table: np.ndarray | None = None
 
 
 @dataclass
@@ -119,26 +122,35 @@ def _leaf_values(leaf: Leaf, inside: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Leaves of paths with up to so many features have their values of all patterns in a table.
+TABLED = 10
+
+
 def attributions(x: np.ndarray, own: Forest, method: str = "shapley") -> tuple[np.ndarray, np.ndarray]:
     """(values by row and feature, predictions): base plus a row's values is its prediction.
 
     shapley: over all orders of the features, where an unknown feature sends a row on by the training rows' shares.
     path: the change of the node's value at each split on the row's own path, given to the feature that splits.
     """
-    out, predicted = np.zeros(x.shape), np.zeros(len(x))
-    for leaves in own.trees:
-        for leaf in leaves:
-            cells = x[:, leaf.features]
-            inside = (cells > leaf.low) & (cells <= leaf.high)
-            here = inside.all(1)
-            predicted[here] += leaf.value
-            if method == "path":
-                out[np.ix_(here, leaf.features)] += leaf.change
-            elif len(leaf.features):
-                code, which = np.unique(inside @ (1 << np.arange(len(leaf.features))), return_inverse=True)
-                pattern = ((code[:, None] >> np.arange(len(leaf.features))) & 1).astype(float)
-                out[:, leaf.features] += _leaf_values(leaf, pattern)[which]
-    return out / len(own.trees), predicted / len(own.trees)
+    columns = np.ascontiguousarray(x.T)
+    out, predicted = np.zeros(columns.shape), np.zeros(len(x))
+    for leaf in (leaf for leaves in own.trees for leaf in leaves):
+        m = len(leaf.features)
+        code = np.zeros(len(x), np.int64)
+        for k, f in enumerate(leaf.features):
+            code += ((columns[f] > leaf.low[k]) & (columns[f] <= leaf.high[k])).astype(np.int64) << k
+        here = code == (1 << m) - 1
+        predicted[here] += leaf.value
+        if method == "path":
+            for k, f in enumerate(leaf.features):
+                out[f][here] += leaf.change[k]
+        elif m:
+            known, which = (np.arange(1 << m), code) if m <= TABLED else np.unique(code, return_inverse=True)
+            if leaf.table is None or m > TABLED:
+                leaf.table = np.ascontiguousarray(_leaf_values(leaf, ((known[:, None] >> np.arange(m)) & 1).astype(float)).T)
+            for values, f in zip(leaf.table, leaf.features, strict=True):
+                out[f] += values[which]
+    return np.ascontiguousarray(out.T) / len(own.trees), predicted / len(own.trees)
 
 
 def explained(df: DataFrame, own: Forest, features: list[str], keep: list[str], method: str = "shapley") -> DataFrame:
@@ -180,8 +192,10 @@ def fold_forests(df: DataFrame, features: list[str], y: str, fold: str, trees: i
 def explain_oof(df: DataFrame, features: list[str], y: str, fold: str, keep: list[str], trees: int = 40, depth: int = 6, leaf: int = 5, seed: int = 2026, method: str = "shapley") -> DataFrame:
     """stage, fold, keep, x, phi, base and predicted: each fold's rows explained by forests fitted on the others.
 
-    Stage occurrence explains the chance of a value above 0 of all rows, severity the value of the rows above 0.
+    Stage occurrence explains the chance of a value above 0 of all rows, severity the value of the rows above 0. df is stored, as
+    each fold and stage reads it.
     """
+    df = checkpointed(df)
     out = None
     for k, kind, model in fold_forests(df, features, y, fold, trees, depth, leaf, seed, ("occurrence", "severity")):
         rows = df.where(F.col(fold) == k)
@@ -192,6 +206,7 @@ def explain_oof(df: DataFrame, features: list[str], y: str, fold: str, keep: lis
 
 def forest_oof(df: DataFrame, features: list[str], y: str, fold: str, trees: int = 60, depth: int = 8, leaf: int = 5, seed: int = 2026) -> DataFrame:
     """df with predicted by one forest of the whole response, fitted on the other folds: the baseline of the hurdle."""
+    df = checkpointed(df)
     out = None
     for k, _, model in fold_forests(df, features, y, fold, trees, depth, leaf, seed, ("full",)):
         part = model.setPredictionCol("_f").transform(assembled(df.where(F.col(fold) == k), features)).withColumn("predicted", F.greatest(F.lit(0.0), "_f")).drop("_f", "features")
@@ -205,6 +220,7 @@ def hurdle_importance(df: DataFrame, features: list[str], groups: dict[str, list
     Each fold's rows are predicted by the hurdle of forests that did not see them. They are numbered once; a keyed bijection of
     the numbers deals the columns, so a repeat is one join on the number.
     """
+    df = checkpointed(df)
     models: dict[int, dict[str, object]] = {}
     for k, kind, model in fold_forests(df, features, y, fold, trees, depth, leaf, seed, ("occurrence", "severity")):
         models.setdefault(k, {})[kind] = model
@@ -253,8 +269,8 @@ def value_summary(cells: DataFrame, keys: list[str], low: float = 0.2, high: flo
     ranks = []
     for c in ("x", "phi"):
         counted = cells.groupBy(*own, c).agg(F.count("*").alias("k"))
-        below = F.sum("k").over(Window.partitionBy(*own).orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        ranks.append(counted.select(*own, c, (F.coalesce(below, F.lit(0)) + (F.col("k") + 1) / 2).alias(f"r_{c}")))
+        below = running_totals(checkpointed(counted), own, c, ["k"])
+        ranks.append(below.select(*own, c, (F.col("before_k") + (F.col("k") + 1) / 2).alias(f"r_{c}")))
     rho = cells.join(ranks[0], [*own, "x"]).join(ranks[1], [*own, "phi"]).groupBy(*own).agg(correlation(F.col("r_x"), F.col("r_phi")).alias("rho"))
     out = base.join(middle, own).join(ends, own).join(rho, own).withColumn("contrast", F.col("high_mean") - F.col("low_mean"))
     return out.withColumns({"direction": direction(F.col("rho"), F.col("contrast")), "rank": F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("mean_abs")))})
