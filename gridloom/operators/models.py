@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.scalar import clip, erfc, ratio
 from gridloom.functions.scalar import correlation as pearson
 from gridloom.operators.order import numbered
+from gridloom.sources.scratch import checkpointed
 
 
 def assembled(df: DataFrame, features: list[str], name: str = "features") -> DataFrame:
@@ -115,21 +116,25 @@ def permutation_importance(df: DataFrame, features: list[str], groups: dict[str,
     """Rise of the log loss of an occurrence model when a group of columns is shuffled together, over repeats.
 
     A shuffle deals the columns' values by row order of a hash: the rows are numbered twice and joined on the number,
-    each time by ranges of the hash, so no task sees the whole table."""
-    own = df.withColumns({"_o": (F.col(y) > 0).cast("double"), "_id": F.xxhash64(*df.columns)})
+    each time by ranges of the hash, so no task sees the whole table. The rows are stored with their own number, and a
+    repeat's numbers serve all groups: one join deals the columns of each."""
+    own = df.withColumns({"_o": (F.col(y) > 0).cast("double"), "_id": F.xxhash64(*df.columns)}).select("_id", "_o", *features)
+    own = checkpointed(numbered(own, [], F.col("_id"), ["_id"], "_n"))
     model = LogisticRegression(labelCol="_o", probabilityCol="_p", maxIter=50).fit(assembled(own, features))
 
     def loss(d: DataFrame):
         q = clip(F.get(vector_to_array("_p"), 1), 1e-6, 1 - 1e-6)
         return model.transform(assembled(d, features)).agg((-F.avg(F.col("_o") * F.ln(q) + (1 - F.col("_o")) * F.ln(1 - q))).alias("loss"))
 
-    base = loss(own)
+    base = checkpointed(loss(own))
+    moved = list(dict.fromkeys(c for columns in groups.values() for c in columns))
     out = None
-    for name, columns in groups.items():
-        for k in range(repeats):
-            shuffled = numbered(own.select("_id", *columns), [], F.xxhash64(F.lit(seed), F.lit(k), "_id"), ["_id"], "_n").drop("_id")
-            rows = numbered(own.drop(*columns), [], F.col("_id"), ["_id"], "_n")
-            part = loss(rows.join(shuffled, "_n")).select(F.lit(name).alias("feature"), F.lit(k).alias("repeat"), "loss")
+    for k in range(repeats):
+        shuffled = numbered(own.select("_id", *(F.col(c).alias(f"_d_{c}") for c in moved)), [], F.xxhash64(F.lit(seed), F.lit(k), "_id"), ["_id"], "_n").drop("_id")
+        rows = checkpointed(own.drop("_id").join(shuffled, "_n"))
+        for name, columns in groups.items():
+            dealt = rows.select("_o", *((F.col(f"_d_{c}") if c in columns else F.col(c)).alias(c) for c in features))
+            part = loss(dealt).select(F.lit(name).alias("feature"), F.lit(k).alias("repeat"), "loss")
             out = part if out is None else out.unionByName(part)
     delta = out.crossJoin(base.withColumnRenamed("loss", "base")).withColumn("delta", F.col("loss") - F.col("base"))
     return delta.groupBy("feature").agg(F.avg("delta").alias("mean"), F.stddev_samp("delta").alias("sd"), F.avg((F.col("delta") > 0).cast("double")).alias("share_positive"))

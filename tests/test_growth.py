@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from gridloom.operators import count_fits, graph, mixed, shuffles, spatial
+from gridloom.operators import count_fits, forests, graph, mixed, models, shuffles, spatial
 from gridloom.plans import mixed as plans_mixed
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -101,3 +101,50 @@ def test_scores_of_the_mixed_models_are_stored_once(spark):
         pytest.skip("no test tables")
     plan = plans_mixed.scores(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan and "grid_uid" in plan
+
+
+def _watched(df):
+    """df, and an accumulator of the rows that have been read from it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def _frame(spark, n=300):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, 2))
+    return spark.createDataFrame([(i, i % 3, float(a), float(b), float(max(0, a + b))) for i, (a, b) in enumerate(x)], "id long, fold int, a double, b double, y double")
+
+
+def test_rows_are_read_once_to_be_explained_and_leaves_work_out_their_values_once(spark, monkeypatch):
+    df, seen = _watched(_frame(spark))
+    assert forests.explain_oof(df, ["a", "b"], "y", "fold", ["id"], trees=3, depth=3).count() > 300
+    assert seen.value == 300
+    tree = {0: {"value": 2.0, "cover": 10, "left": 1, "right": 2, "feature": 0, "threshold": 0.5}, 1: {"value": 1.0, "cover": 5, "left": -1}, 2: {"value": 3.0, "cover": 5, "left": -1}}
+    own, calls, real = forests.from_nodes([tree], 2), [], forests._leaf_values
+    monkeypatch.setattr(forests, "_leaf_values", lambda *a: (calls.append(1), real(*a))[1])
+    first = forests.attributions(np.array([[0.1, 0], [0.9, 0]]), own)[0]
+    assert (forests.attributions(np.array([[0.9, 0], [0.1, 0]]), own)[0] == first[::-1]).all() and len(calls) == 2
+    monkeypatch.setattr(forests, "TABLED", 0)
+    assert np.allclose(forests.attributions(np.array([[0.1, 0], [0.9, 0]]), forests.from_nodes([tree], 2))[0], first)
+
+
+def test_ranks_of_a_summary_go_by_ranges(spark):
+    cells = spark.createDataFrame([("s", "u", float(k % 7), float((k * 37) % 50)) for k in range(200)], "stage string, feature string, x double, phi double")
+    found = forests.value_summary(cells, ["stage"])
+    data = np.array([(k % 7, (k * 37) % 50) for k in range(200)], float)
+    ranks = [np.array([(c < v).sum() + ((c == v).sum() + 1) / 2 for v in c]) for c in data.T]
+    assert abs(found.first()["rho"] - np.corrcoef(*ranks)[0, 1]) < 1e-12
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_range" in line for line in plan.splitlines() if "Window [sum(k" in line)
+
+
+def test_rows_are_read_for_their_numbers_only_to_shuffle_columns(spark):
+    df, seen = _watched(_frame(spark))
+    got = {r["feature"]: r["mean"] for r in models.permutation_importance(df, ["a", "b"], {"a": ["a"], "both": ["a", "b"]}, "y", repeats=2).collect()}
+    assert seen.value <= 600 and got["both"] > got["a"] > 0
