@@ -42,7 +42,7 @@ def hurdle_forest(df: DataFrame, features: list[str], y: str, fold: str, trees:
         kinds = fit.agg(F.sum("_o"), F.count("*")).first()
         if not kinds[1] or (kinds[0] or 0) < least_positives or kinds[0] == kinds[1]:
             raise ValueError(f"fold {k}: too few positives or zeros to fit a hurdle")
-        common = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf, "featureSubsetStrategy": "sqrt", "subsamplingRate": 0.7, "seed": seed}
+        common = {"featuresCol": "features", "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf, "featureSubsetStrategy": "sqrt", "subsamplingRate": 0.7, "seed": seed, "cacheNodeIds": True}
         yes = RandomForestClassifier(labelCol="_o", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c", **common).fit(fit)
         size = RandomForestRegressor(labelCol="_y", predictionCol="severity", **common).fit(fit.where("_o = 1"))
         part = size.transform(yes.transform(test)).withColumn("p", F.get(vector_to_array("_p"), 1))
