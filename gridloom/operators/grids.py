@@ -37,7 +37,7 @@ class Config:
 
 
 def _model(stage: str, c: Config, trees: int, depth: int, seed: int):
-    common = {"featuresCol": "_v", "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": c.leaf, "featureSubsetStrategy": c.features, "subsamplingRate": c.rows, "seed": seed, "predictionCol": f"_{stage}_{c.name}"}
+    common = {"featuresCol": "_v", "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": c.leaf, "featureSubsetStrategy": c.features, "subsamplingRate": c.rows, "seed": seed, "cacheNodeIds": True, "predictionCol": f"_{stage}_{c.name}"}
     if stage == "severity":
         return RandomForestRegressor(labelCol="_y", **common)
     weight = {"weightCol": "_w"} if c.balanced else {}
