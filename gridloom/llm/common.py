@@ -14,19 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
-_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
-_REST: list[str] = []
+_OWN: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+_TABLES: list[str] = []
 
 
 @contextmanager
 def own_tables(spark: SparkSession, at_end: bool = True):
     """The list of the tables that are written within this block, for delete(); others' clean_up() leaves them alone. at_end: delete what is left of them."""
     tables: list[str] = []
-    token = _TABLES.set(tables)
+    token = _OWN.set(tables)
     try:
         yield tables
     finally:
-        _TABLES.reset(token)
+        _OWN.reset(token)
         if at_end:
             delete(spark, tables)
 
@@ -58,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, for clean_up() to delete."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (_REST if (own := _TABLES.get()) is None else own).append(path)
+    (_TABLES if (own := _OWN.get()) is None else own).append(path)
     return path
 
 
@@ -71,12 +71,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def leave(tables: list[str]) -> None:
     """Tables that results still read, for clean_up()."""
-    _REST.extend(tables)
+    _TABLES.extend(tables)
 
 
 def clean_up(spark: SparkSession) -> int:
     """Delete the tables that this driver has written() outside of own_tables(); for callers, once they have stored the results that read them."""
-    return delete(spark, _REST)
+    return delete(spark, _TABLES)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
