@@ -8,7 +8,7 @@ rows are explained where they are, in Arrow batches, with the nodes (trees x 2 *
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import correlation, ratio
+from gridloom.operators.forest_fits import fit_forests
 from gridloom.operators.models import assembled
 from gridloom.operators.order import exact_quantiles, numbered, running_totals
 from gridloom.operators.shuffles import sent
@@ -44,9 +45,21 @@ class Leaf:
 
 @dataclass
 class Forest:
+    """seen: rows explained so far; tables: (method, tree) to its table of cells, see attributions()."""
+
     trees: list[list[Leaf]]
     base: float
     n_features: int
+    seen: int = 0
+    tables: dict = field(default_factory=dict)
+
+    def cuts(self, t: int | None = None) -> list[np.ndarray]:
+        """By feature, ascending: the values at which a tree, or any tree, splits."""
+        own: list[list[float]] = [[] for _ in range(self.n_features)]
+        for leaf in (leaf for k, leaves in enumerate(self.trees) if t is None or k == t for leaf in leaves):
+            for f, high in zip(leaf.features, leaf.high, strict=True):
+                own[f].append(high)
+        return [np.array(sorted({v for v in c if v < math.inf})) for c in own]
 
 
 def nodes(model) -> DataFrame:
@@ -126,45 +139,105 @@ def _leaf_values(leaf: Leaf, inside: np.ndarray) -> np.ndarray:
 TABLED = 10
 
 
-def attributions(x: np.ndarray, own: Forest, method: str = "shapley") -> tuple[np.ndarray, np.ndarray]:
-    """(values by row and feature, predictions): base plus a row's values is its prediction.
-
-    shapley: over all orders of the features, where an unknown feature sends a row on by the training rows' shares.
-    path: the change of the node's value at each split on the row's own path, given to the feature that splits.
-    """
-    columns = np.ascontiguousarray(x.T)
-    out, predicted = np.zeros(columns.shape), np.zeros(len(x))
-    for leaf in (leaf for leaves in own.trees for leaf in leaves):
+def _by_leaves(columns: list[np.ndarray], leaves: list[Leaf], method: str) -> np.ndarray:
+    """Values by feature, and last the predictions, of one tree, in the shape that the columns have together."""
+    out = np.zeros((len(columns) + 1, *np.broadcast_shapes(*(c.shape for c in columns))))
+    for leaf in leaves:
         m = len(leaf.features)
-        code = np.zeros(len(x), np.int64)
+        code = np.zeros((1,) * (out.ndim - 1), np.intp)
         for k, f in enumerate(leaf.features):
-            code += ((columns[f] > leaf.low[k]) & (columns[f] <= leaf.high[k])).astype(np.int64) << k
+            code = code + (((columns[f] > leaf.low[k]) & (columns[f] <= leaf.high[k])).astype(np.intp) << k)
         here = code == (1 << m) - 1
-        predicted[here] += leaf.value
+        out[-1] += np.where(here, leaf.value, 0.0)
         if method == "path":
             for k, f in enumerate(leaf.features):
-                out[f][here] += leaf.change[k]
+                out[f] += np.where(here, leaf.change[k], 0.0)
         elif m:
-            known, which = (np.arange(1 << m), code) if m <= TABLED else np.unique(code, return_inverse=True)
+            known, which = (np.arange(1 << m), code) if m <= TABLED else np.unique(code.ravel(), return_inverse=True)
             if leaf.table is None or m > TABLED:
                 leaf.table = np.ascontiguousarray(_leaf_values(leaf, ((known[:, None] >> np.arange(m)) & 1).astype(float)).T)
             for values, f in zip(leaf.table, leaf.features, strict=True):
-                out[f] += values[which]
-    return np.ascontiguousarray(out.T) / len(own.trees), predicted / len(own.trees)
+                out[f] += values[which.reshape(code.shape)]
+    return out
+
+
+#: A tree's splits cut the features into cells; trees of up to so many cells have a table of them.
+CELLS = 1 << 17
+
+
+def _table(own: Forest, t: int, method: str) -> tuple[list[np.ndarray | None], np.ndarray | None]:
+    """By feature what each bin of the forest's cuts adds to the number of the tree's cell, and the values of each cell.
+
+    A cell of the table takes about a quarter of a row's time, so there is none before a quarter as many rows have been seen, or for very many."""
+    if (method, t) not in own.tables:
+        cuts = own.cuts(t)
+        n = math.prod(len(c) + 1 for c in cuts)
+        if n > min(4 * own.seen, CELLS):
+            return [], None
+        ends = [np.append(c, math.inf) for c in cuts]
+        cells = [c.reshape([-1 if k == f else 1 for k in range(len(ends))]) for f, c in enumerate(ends)]
+        steps = [math.prod(len(c) for c in ends[f + 1 :]) for f in range(len(ends))]
+        if ("cuts",) not in own.tables:
+            own.tables[("cuts",)] = own.cuts()
+        bins = [np.searchsorted(c, np.append(all_, math.inf)) * step if len(c) else None for c, all_, step in zip(cuts, own.tables[("cuts",)], steps, strict=True)]
+        own.tables[method, t] = bins, _by_leaves(cells, own.trees[t], method).reshape(len(ends) + 1, -1)
+    return own.tables[method, t]
+
+
+def attributions(x: np.ndarray, own: Forest, method: str = "shapley") -> tuple[np.ndarray, np.ndarray]:
+    """(values by row and feature, predictions): base plus a row's values is its prediction.
+
+    shapley: over all orders of the features, where an unknown feature sends a row on by the training rows' shares.
+    path: the change of the node's value at each split on the row's own path, given to the feature that splits.
+    Once a task has seen as many rows as a tree has cells, rows are looked up by their cell.
+    """
+    columns = np.ascontiguousarray(x.T)
+    own.seen += len(x)
+    out, bins = np.zeros((len(columns) + 1, len(x))), None
+    for t, leaves in enumerate(own.trees):
+        steps, table = _table(own, t, method)
+        if table is None:
+            out += _by_leaves(list(columns), leaves, method)
+            continue
+        bins = bins or [np.searchsorted(c, v) for c, v in zip(own.tables[("cuts",)], columns, strict=True)]
+        cell = np.zeros(len(x), np.int64)
+        for s, b in zip(steps, bins, strict=True):
+            if s is not None:
+                cell += s[b]
+        for f, values in enumerate(table):
+            out[f] += values[cell]
+    return np.ascontiguousarray(out[:-1].T) / len(own.trees), out[-1] / len(own.trees)
 
 
 def explained(df: DataFrame, own: Forest, features: list[str], keep: list[str], method: str = "shapley") -> DataFrame:
     """keep, x (the features), phi (their values), base and predicted for each row that has all features."""
-    rows = df.dropna(subset=features).select(*keep, F.array(*(F.col(c).cast("double") for c in features)).alias("x"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "phi array<double>", "base double", "predicted double"])
+    return _explained(df, [(None, None, own)], None, None, features, keep, method).drop("stage")
+
+
+def _explained(df: DataFrame, forests: list[tuple], y: str | None, fold: str | None, features: list[str], keep: list[str], method: str) -> DataFrame:
+    """keep, x, phi, base, predicted and stage by forests (fold, stage, forest) in one reading of the rows.
+
+    A forest explains the rows of its fold, all rows if that is None, and of those only the ones above 0 if the stage is severity."""
+    folds = sorted({k for k, _, _ in forests if k is not None})
+    number = F.array_position(F.array(*(F.lit(k) for k in folds)), F.col(fold)).cast("int") if folds else F.lit(0)
+    above = (F.col(y) > 0) if y else F.lit(True)
+    rows = df.dropna(subset=features).select(F.coalesce(number, F.lit(0)).alias("_fold"), F.coalesce(above, F.lit(False)).alias("_above"), *keep, F.array(*(F.col(c).cast("double") for c in features)).alias("x"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]), "phi array<double>", "base double", "predicted double", "stage string"])
     width = len(features)
 
     def run(batches):
         for b in batches:
-            x = b.column(b.num_columns - 1).flatten().to_numpy().reshape(-1, width)
-            phi, predicted = attributions(x, own, method)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, width, dtype=np.int32)), pa.array(phi.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists, pa.array(np.full(len(x), own.base)), pa.array(predicted)], [*b.schema.names, "phi", "base", "predicted"])
+            at, is_above = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            kept = b.select(b.schema.names[2:])
+            for k, stage, own in forests:
+                mine = np.ones(len(at), bool) if k is None else at == folds.index(k) + 1
+                part = kept.filter(pa.array(mine & is_above if stage == "severity" else mine))
+                if not part.num_rows:
+                    continue
+                x = part.column(part.num_columns - 1).flatten().to_numpy().reshape(-1, width)
+                phi, predicted = attributions(x, own, method)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, width, dtype=np.int32)), pa.array(phi.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.full(len(x), own.base)), pa.array(predicted), pa.array([stage] * len(x), pa.string())], [*part.schema.names, "phi", "base", "predicted", "stage"])
 
     return rows.mapInArrow(run, schema)
 
@@ -192,16 +265,13 @@ def fold_forests(df: DataFrame, features: list[str], y: str, fold: str, trees: i
 def explain_oof(df: DataFrame, features: list[str], y: str, fold: str, keep: list[str], trees: int = 40, depth: int = 6, leaf: int = 5, seed: int = 2026, method: str = "shapley") -> DataFrame:
     """stage, fold, keep, x, phi, base and predicted: each fold's rows explained by forests fitted on the others.
 
-    Stage occurrence explains the chance of a value above 0 of all rows, severity the value of the rows above 0. df is stored, as
-    each fold and stage reads it.
+    Stage occurrence explains the chance of a value above 0 of all rows, severity the value of the rows above 0. df is stored; all
+    forests are fitted in common passes, and one more reading explains the rows.
     """
     df = checkpointed(df)
-    out = None
-    for k, kind, model in fold_forests(df, features, y, fold, trees, depth, leaf, seed, ("occurrence", "severity")):
-        rows = df.where(F.col(fold) == k)
-        part = explained(rows if kind == "occurrence" else rows.where(F.col(y) > 0), forest(model, len(features)), features, [fold, *keep], method).withColumn("stage", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    fits = fit_forests(df, features, y, fold, ("occurrence", "severity"), trees, depth, leaf, seed)
+    forests = [(k, kind, from_nodes(own, len(features))) for (k, kind), own in fits.items()]
+    return _explained(df, forests, y, fold, features, [fold, *keep], method)
 
 
 def forest_oof(df: DataFrame, features: list[str], y: str, fold: str, trees: int = 60, depth: int = 8, leaf: int = 5, seed: int = 2026) -> DataFrame:
