@@ -265,13 +265,14 @@ def fold_forests(df: DataFrame, features: list[str], y: str, fold: str, trees: i
 def explain_oof(df: DataFrame, features: list[str], y: str, fold: str, keep: list[str], trees: int = 40, depth: int = 6, leaf: int = 5, seed: int = 2026, method: str = "shapley") -> DataFrame:
     """stage, fold, keep, x, phi, base and predicted: each fold's rows explained by forests fitted on the others.
 
-    Stage occurrence explains the chance of a value above 0 of all rows, severity the value of the rows above 0. df is stored; all
-    forests are fitted in common passes, and one more reading explains the rows.
+    Stage occurrence explains the chance of a value above 0 of all rows, severity the value of the rows above 0. The columns needed
+    are stored; all forests are fitted in common passes, and one more reading explains the rows, in two tasks a core, since
+    each task has the trees' tables to fill.
     """
-    df = checkpointed(df)
+    df = checkpointed(df.select(*dict.fromkeys([fold, *keep, y, *features])))
     fits = fit_forests(df, features, y, fold, ("occurrence", "severity"), trees, depth, leaf, seed)
     forests = [(k, kind, from_nodes(own, len(features))) for (k, kind), own in fits.items()]
-    return _explained(df, forests, y, fold, features, [fold, *keep], method)
+    return _explained(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), forests, y, fold, features, [fold, *keep], method)
 
 
 def forest_oof(df: DataFrame, features: list[str], y: str, fold: str, trees: int = 60, depth: int = 8, leaf: int = 5, seed: int = 2026) -> DataFrame:

@@ -22,11 +22,15 @@ def doy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier x year x season panel: exposure, two counts and five covariates."""
+    """Supplier x year x season panel: exposure, two counts and five covariates.
+
+    Line items are summed by the supplier's number before they meet the suppliers: a task's sums then have three short keys, and
+    one row for each group goes through the joins. A supplier that is there k times counts k times, its means stay.
+    """
     t = lambda n: table(spark, sf, n)
-    own = t("lineitem").join(t("supplier"), F.expr("l_suppkey = s_suppkey")).join(t("nation"), F.expr("s_nationkey = n_nationkey")).join(t("region"), F.expr("n_regionkey = r_regionkey"))
     season = ((F.month("l_shipdate") - 1) / 4).cast("int") + 1
-    return own.groupBy(F.col("l_suppkey").alias("grid_uid"), F.col("r_name").alias("country"), F.year("l_shipdate").alias("year"), season.alias("season")).agg(
+    own = t("lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("year"), season.alias("season"))
+    own = own.agg(
         F.count("*").alias("pixels"),
         F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45)).alias("fire_count"),
         F.count_if((F.col("l_discount") >= 0.09) & (F.col("l_tax") >= 0.07)).alias("burned_count"),
@@ -34,6 +38,11 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("l_discount").alias("x2"),
         F.avg("l_tax").alias("x3"),
         F.avg("l_extendedprice").alias("x4"),
+    )
+    own = own.join(t("supplier"), F.expr("l_suppkey = s_suppkey")).join(t("nation"), F.expr("s_nationkey = n_nationkey")).join(t("region"), F.expr("n_regionkey = r_regionkey"))
+    return own.groupBy(F.col("l_suppkey").alias("grid_uid"), F.col("r_name").alias("country"), "year", "season").agg(
+        *(F.sum(c).alias(c) for c in ("pixels", "fire_count", "burned_count")),
+        *(F.max(c).alias(c) for c in ("x1", "x2", "x3", "x4")),
         F.max("s_acctbal").alias("x5"),
     )
 

@@ -3,11 +3,14 @@
 import math
 import os
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.operators import count_fits, forests, graph, mixed, models, shuffles, spatial
+from gridloom.operators import count_fits, forest_fits, forests, graph, mixed, models, shuffles, spatial
 from gridloom.plans import mixed as plans_mixed
+from gridloom.plans import relations
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -134,6 +137,53 @@ def test_rows_are_read_once_to_be_explained_and_leaves_work_out_their_values_onc
     assert np.allclose(forests.attributions(np.array([[0.1, 0], [0.9, 0]]), forests.from_nodes([tree], 2))[0], first)
 
 
+def test_explained_rows_have_two_tasks_a_core_and_only_the_columns_needed(spark):
+    df = _frame(spark).repartition(30).withColumn("dear", F.raise_error(F.lit("an unused column was worked out")).cast("double"))
+    found = forests.explain_oof(df, ["a", "b"], "y", "fold", ["id", "fold"], trees=3, depth=3)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert {r["id"] for r in found.where("stage = 'occurrence'").collect()} == set(range(300))
+
+
+def test_forests_of_all_folds_and_stages_share_a_pass_for_each_level(spark, monkeypatch):
+    df, seen = _watched(_frame(spark).repartition(3))
+    passes, real = [], forest_fits._sums
+    monkeypatch.setattr(forest_fits, "_sums", lambda *a: (passes.append(len(a[1])), real(*a))[1])
+    found = forest_fits.fit_forests(df, ["a", "b"], "y", "fold", ("occurrence", "severity"), 4, 3, 5, 7)
+    assert passes == [6, 6, 6] and seen.value == 900 and set(found) == {(k, kind) for k in range(3) for kind in ("occurrence", "severity")}
+    for trees in found.values():
+        assert len(trees) == 4
+        for tree in trees:
+            for at in tree.values():
+                if at["left"] >= 0:
+                    children = [tree[at[c]] for c in ("left", "right")]
+                    assert min(c["cover"] for c in children) >= 5 and sum(c["cover"] for c in children) == at["cover"]
+                    assert abs(sum(c["cover"] * c["value"] for c in children) - at["cover"] * at["value"]) < 1e-9 * at["cover"]
+
+
+def test_line_items_are_summed_before_they_meet_suppliers_with_the_same_panel(spark, tmp_path):
+    con, sf = duckdb.connect(), str(tmp_path)
+    con.sql("SET TimeZone = 'UTC'")
+    made = {
+        "region": "SELECT * FROM (VALUES (0, 'A'), (1, 'B'), (2, NULL)) t(r_regionkey, r_name)",
+        "nation": "SELECT * FROM (VALUES (0, 0), (1, 1), (2, 2), (3, NULL), (4, 0), (4, 1)) t(n_nationkey, n_regionkey)",
+        # number 1 twice in one region, 2 in two regions, 3 in none, 4 with a region without a name, 5 by a nation of two regions
+        "supplier": "SELECT s::BIGINT AS s_suppkey, n::INTEGER AS s_nationkey, b::DOUBLE AS s_acctbal FROM (VALUES (0, 0, 1.5), (1, 0, 2), (1, 0, -3), (1, 0, NULL), (2, 0, 4), (2, 1, 5), (3, 3, 6), (4, 2, NULL), (5, 4, 8), (NULL, 0, 9)) t(s, n, b)",
+        "lineitem": """SELECT CASE WHEN i % 8 < 7 THEN i % 8 END::BIGINT AS l_suppkey, CASE WHEN i % 11 THEN 40 + i % 13 END::DOUBLE AS l_quantity, CASE WHEN i % 8 <> 4 THEN ((i % 7) * 0.03)::DOUBLE END AS l_discount, ((i % 5) * 0.02)::DOUBLE AS l_tax,
+            (1000.25 * (i % 17))::DOUBLE AS l_extendedprice, CASE i % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'N' END AS l_returnflag, CASE WHEN i % 19 THEN TIMESTAMP '1995-01-15' + to_days((i * 37 % 900)::INTEGER) END AS l_shipdate FROM range(4000) t(i)""",
+    }
+    for name, body in made.items():
+        con.sql(f"COPY ({body}) TO '{sf}/{name}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {name} AS FROM '{sf}/{name}.parquet'")
+    order = ["grid_uid", "country", "year", "season", "pixels", "fire_count", "burned_count", "x1", "x2", "x3", "x4", "x5"]
+    own = relations.panel(spark, sf).select(*order)
+    cells = lambda rows: sorted(tuple(f"{v:.9f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    got, want = cells(own.collect()), cells(con.sql(relations.sql("panel", f"SELECT {', '.join(order)} FROM panel")).fetchall())
+    assert len(got) > 60 and got == want
+    plan = own._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first_join = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert any("Aggregate [l_suppkey" in line for line in plan[first_join:])
+
+
 def test_ranks_of_a_summary_go_by_ranges(spark):
     cells = spark.createDataFrame([("s", "u", float(k % 7), float((k * 37) % 50)) for k in range(200)], "stage string, feature string, x double, phi double")
     found = forests.value_summary(cells, ["stage"])
